@@ -24,19 +24,46 @@ EMPLOYEE_COLUMNS = (
     "e.birth_date, e.is_active, e.updated_at"
 )
 
-# What (project, employee) pairs cost a month, times 1200.
-COST_POINTS = """sum(CASE WHEN hourly_rate IS NOT NULL
-                         THEN CAST(hourly_rate AS DOUBLE) * 1920 * participation_percentage
-                         ELSE CAST(salary AS DOUBLE) * participation_percentage END)"""
+# What assignments cost a month, in cents times 1200, as a whole number.
+COST_POINTS = """CAST(sum(CASE WHEN hourly_rate IS NOT NULL
+                              THEN hourly_rate * 192000 * participation_percentage
+                              ELSE salary * 100 * participation_percentage END) AS HUGEINT)"""
 
-HIRES_BY_MONTH = """
+
+def from_points(points: str) -> str:
+    """Points as money, rounded half away from zero without leaving whole numbers."""
+    return (
+        f"sign({points}) * (abs({points}) + 600 - (abs({points}) + 600) % 1200) / 1200 / 100"
+    )
+
+
+def ratio(above: str, below: str) -> str:
+    """A quotient of whole numbers to two digits, rounded half up exactly."""
+    top = f"(200 * CAST({above} AS HUGEINT) + {below})"
+    return f"({top} - {top} % (2 * {below})) / (2 * {below}) / 100"
+
+
+def mean(amount: str, where: str = "") -> str:
+    """The average of an amount with two digits; NULL over nothing."""
+    only = f" FILTER (WHERE {where})" if where else ""
+    below = f"(100 * nullif(count({amount}){only}, 0))"
+    return ratio(f"sum({amount}){only} * 100", below)
+
+
+def share(part: str, whole: str) -> str:
+    """An amount as a percentage of another, both with two digits."""
+    return ratio(f"({part}) * 10000", f"nullif(CAST({whole} * 100 AS HUGEINT), 0)")
+
+
+HIRES_BY_MONTH = f"""
     hires AS (
-        SELECT date_trunc('month', hire_date) AS m, count(*) AS n, avg(salary) AS pay
+        SELECT date_trunc('month', hire_date) AS m, count(*) AS n, avg(salary) AS pay,
+               {mean('salary')} AS pay_shown
         FROM employees
         WHERE is_active AND hire_date BETWEEN DATE '1998-06-30' AND DATE '1999-06-30'
         GROUP BY 1),
     newest AS (
-        SELECT n, pay, coalesce(lag(n) OVER (ORDER BY m), 0) AS n_before,
+        SELECT n, pay, pay_shown, coalesce(lag(n) OVER (ORDER BY m), 0) AS n_before,
                coalesce(lag(pay) OVER (ORDER BY m), 0) AS pay_before
         FROM hires ORDER BY m DESC LIMIT 1)"""
 
@@ -52,7 +79,7 @@ NEW_HIRES = f"""
     SELECT 'Новых сотрудников' AS metric_name, CAST(n AS DOUBLE) AS metric_value,
            'человек' AS metric_unit, {trend('n', 'n_before')} FROM newest"""
 HIRE_PAY = f"""
-    SELECT 'Средняя зарплата' AS metric_name, round(pay, 2) AS metric_value,
+    SELECT 'Средняя зарплата' AS metric_name, pay_shown AS metric_value,
            'руб.' AS metric_unit, {trend('pay', 'pay_before')} FROM newest"""
 TURNOVER = """
     SELECT 'Текучесть кадров' AS metric_name, rate AS metric_value, '%' AS metric_unit,
@@ -98,7 +125,7 @@ def _details_sql() -> str:
 
 
 LEVEL_PAY = ", ".join(
-    f"round(avg(salary) FILTER (WHERE proficiency_level = '{level}'), 2) AS avg_salary_{level}"
+    mean("salary", f"proficiency_level = '{level}'") + f" AS avg_salary_{level}"
     for level in ("beginner", "intermediate", "advanced", "expert")
 )
 
@@ -108,7 +135,7 @@ SKILL_SQL = f"""
         FROM employee_skills es
         LEFT JOIN (SELECT * FROM employees WHERE is_active) e USING (employee_id)
         LEFT JOIN departments d USING (department_id)),
-    leading AS (
+    front AS (
         SELECT skill_id, string_agg(department_name, ', ' ORDER BY place) AS names
         FROM (SELECT skill_id, department_name,
                      row_number() OVER (PARTITION BY skill_id
@@ -130,7 +157,7 @@ SKILL_SQL = f"""
            coalesce(any_value(names), '') AS top_departments
     FROM skills s
     LEFT JOIN holders h USING (skill_id)
-    LEFT JOIN leading l ON l.skill_id = s.skill_id
+    LEFT JOIN front l ON l.skill_id = s.skill_id
     GROUP BY s.skill_id, s.skill_name, s.category"""
 
 TREE_SQL = f"""
@@ -514,18 +541,18 @@ BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY department_id
                                    ORDER BY salary DESC, employee_id) = 2""",
     "v1_employee_details": _details_sql(),
-    "v2_department_salary_report": """
+    "v2_department_salary_report": f"""
         SELECT d.department_id, department_name, CAST(budget AS DOUBLE) AS budget,
                count(employee_id) AS total_employees,
                count(*) FILTER (WHERE is_active) AS active_employees,
                count(*) FILTER (WHERE NOT is_active) AS inactive_employees,
                CAST(coalesce(sum(salary) FILTER (WHERE is_active), 0) AS DOUBLE)
                    AS total_salary_fund,
-               round(coalesce(avg(salary) FILTER (WHERE is_active), 0), 2) AS avg_salary,
+               coalesce({mean('salary', 'is_active')}, 0) AS avg_salary,
                CAST(coalesce(min(salary) FILTER (WHERE is_active), 0) AS DOUBLE) AS min_salary,
                CAST(coalesce(max(salary) FILTER (WHERE is_active), 0) AS DOUBLE) AS max_salary,
-               round(coalesce(sum(salary) FILTER (WHERE is_active), 0) * 100
-                     / nullif(budget, 0), 2) AS salary_to_budget_percentage,
+               {share('coalesce(sum(salary) FILTER (WHERE is_active), 0)', 'budget')}
+                   AS salary_to_budget_percentage,
                count(*) FILTER (WHERE is_active AND salary < base_salary_min)
                    AS below_min_salary,
                count(*) FILTER (WHERE is_active AND salary > base_salary_max)
@@ -544,7 +571,7 @@ BODIES: dict[str, str] = {
                        WHERE end_date IS NULL OR end_date >= DATE '1999-06-30') AS present,
                    round(avg(participation_percentage), 1) AS mean_share,
                    CAST(sum(participation_percentage) AS BIGINT) AS share,
-                   {COST_POINTS} / 1200 AS cost
+                   {COST_POINTS} AS points
             FROM employee_projects
             LEFT JOIN (SELECT employee_id, salary FROM employees) USING (employee_id)
             GROUP BY 1)
@@ -555,7 +582,7 @@ BODIES: dict[str, str] = {
                coalesce(present, 0) AS current_team_members,
                mean_share AS avg_participation_percentage,
                share AS total_participation_percentage,
-               round(coalesce(cost, 0), 2) AS estimated_monthly_cost,
+               {from_points('coalesce(points, 0)')} AS estimated_monthly_cost,
                CASE WHEN end_date = start_date THEN 100
                     WHEN end_date IS NOT NULL
                     THEN round(greatest(0, least(100, (DATE '1999-06-30' - start_date) * 100.0
@@ -587,10 +614,10 @@ BODIES: dict[str, str] = {
         LEFT JOIN positions p ON p.position_id = e.position_id
         LEFT JOIN employees a ON a.employee_id = v.approved_by
         WHERE status = 'approved' OR status = 'taken'""",
-    "v7_salary_change_analysis": """
+    "v7_salary_change_analysis": f"""
         WITH dated AS (
             SELECT *, CAST(date_trunc('month', change_date) AS DATE) AS m,
-                   CAST(new_salary - old_salary AS DOUBLE) AS rise
+                   new_salary - old_salary AS rise
             FROM salary_history),
         reasons AS (
             SELECT m, string_agg(change_reason, ', ' ORDER BY place) AS names
@@ -611,19 +638,20 @@ BODIES: dict[str, str] = {
                rpad(strftime(m, '%B'), 9, ' ') || strftime(m, ' %Y') AS month_name,
                count(DISTINCT employee_id) AS employees_with_changes,
                count(*) AS total_changes,
-               round(avg(rise * 100 / nullif(CAST(old_salary AS DOUBLE), 0)), 2)
+               round(avg(CAST(rise AS DOUBLE) * 100 / nullif(CAST(old_salary AS DOUBLE), 0)), 2)
                    AS avg_percentage_increase,
-               round(avg(rise), 2) AS avg_amount_increase,
-               sum(rise) AS total_salary_increase,
+               {mean('rise')} AS avg_amount_increase,
+               CAST(sum(rise) AS DOUBLE) AS total_salary_increase,
                any_value(r.names) AS top_reasons, any_value(p.names) AS top_departments
         FROM dated LEFT JOIN reasons r USING (m) LEFT JOIN places p USING (m)
         GROUP BY m""",
-    "v8_hr_dashboard": """
+    "v8_hr_dashboard": f"""
         SELECT s.*, d.*, w.active_projects, l.employees_on_vacation_today,
-               round(total_salary_fund * 100 / nullif(total_company_budget, 0), 2)
+               {share('CAST(total_salary_fund AS DECIMAL(30,2))',
+                       'CAST(total_company_budget AS DECIMAL(30,2))')}
                    AS salary_to_budget_percentage_company
         FROM (SELECT count(*) FILTER (WHERE is_active) AS total_active_employees,
-                     round(avg(salary) FILTER (WHERE is_active), 2) AS company_avg_salary,
+                     {mean('salary', 'is_active')} AS company_avg_salary,
                      CAST(sum(salary) FILTER (WHERE is_active) AS DOUBLE) AS total_salary_fund,
                      count(*) FILTER (WHERE year(hire_date) = 1999) AS hires_this_year,
                      count(*) FILTER (WHERE year(hire_date) = 1999 AND month(hire_date) = 6)
@@ -668,23 +696,23 @@ BODIES: dict[str, str] = {
         LEFT JOIN departments d ON d.department_id = e.department_id
         LEFT JOIN positions p ON p.position_id = e.position_id
         ORDER BY e.department_id, e.salary DESC, e.employee_id LIMIT 10""",
-    "r4_department_statistics": """
+    "r4_department_statistics": f"""
         SELECT department_name, count(salary) AS total_employees,
                CAST(coalesce(sum(salary), 0) AS DOUBLE) AS total_salary_fund,
-               round(coalesce(avg(salary), 0), 2) AS avg_salary,
+               coalesce({mean('salary')}, 0) AS avg_salary,
                CAST(budget AS DOUBLE) AS budget
         FROM departments
         LEFT JOIN (SELECT department_id, salary FROM employees WHERE is_active)
              USING (department_id)
         GROUP BY department_id, department_name, budget""",
-    "r5_department_payroll": """
+    "r5_department_payroll": f"""
         SELECT department_id, department_name, count(salary) AS employee_count,
-               CAST(sum(salary) AS DOUBLE) AS total_salary, round(avg(salary), 2) AS avg_salary
+               CAST(sum(salary) AS DOUBLE) AS total_salary, {mean('salary')} AS avg_salary
         FROM departments
         LEFT JOIN (SELECT department_id, salary FROM employees WHERE department_id <> 7)
              USING (department_id)
         GROUP BY 1, 2""",
-    "r6_employee_statistics": """
+    "r6_employee_statistics": f"""
         WITH sums AS (
             SELECT CASE WHEN grouping(department_id) = 1 THEN 'company' ELSE 'department' END
                        AS scope,
@@ -692,7 +720,7 @@ BODIES: dict[str, str] = {
                    count(*) FILTER (WHERE is_active) AS active_employees,
                    CAST(coalesce(sum(salary) FILTER (WHERE is_active), 0) AS DOUBLE)
                        AS total_salary_budget,
-                   round(coalesce(avg(salary) FILTER (WHERE is_active), 0), 2) AS avg_salary
+                   coalesce({mean('salary', 'is_active')}, 0) AS avg_salary
             FROM employees GROUP BY GROUPING SETS ((department_id), ()))
         SELECT scope, s.department_id, department_name, total_employees, active_employees,
                total_salary_budget, avg_salary
@@ -731,21 +759,22 @@ BODIES: dict[str, str] = {
     "f5_project_cost": f"""
         WITH costs AS (
             SELECT p.project_id, CAST(p.budget AS DOUBLE) AS budget,
-                   coalesce(cost, 0) AS people
+                   coalesce(points, 0) AS people,
+                   CAST(p.budget * 120000 AS HUGEINT) - coalesce(points, 0) AS other
             FROM projects p
-            LEFT JOIN (SELECT project_id, {COST_POINTS} / 1200 AS cost
+            LEFT JOIN (SELECT project_id, {COST_POINTS} AS points
                        FROM employee_projects ep
                        JOIN (SELECT employee_id, salary FROM employees WHERE is_active)
                             USING (employee_id)
                        WHERE end_date IS NULL OR end_date >= DATE '1999-06-30'
                        GROUP BY 1) c ON c.project_id = p.project_id)
         SELECT project_id, 'Стоимость человеческих ресурсов' AS cost_component,
-               round(people, 2) AS amount,
-               round(people * 100 / nullif(budget, 0), 2) AS percentage_of_budget
+               {from_points('people')} AS amount,
+               round(people / nullif(budget, 0) / 1200, 2) AS percentage_of_budget
         FROM costs
         UNION ALL
-        SELECT project_id, 'Прочие расходы', round(budget - people, 2),
-               round((budget - people) * 100 / nullif(budget, 0), 2)
+        SELECT project_id, 'Прочие расходы', {from_points('other')},
+               round(other / nullif(budget, 0) / 1200, 2)
         FROM costs""",
     "f6a_new_hires": f"WITH {HIRES_BY_MONTH} {NEW_HIRES}",
     "f6b_avg_hire_salary": f"WITH {HIRES_BY_MONTH} {HIRE_PAY}",
@@ -825,7 +854,7 @@ BODIES: dict[str, str] = {
                    CAST(budget * 0.7 AS DOUBLE) AS fund_limit
             FROM employees e JOIN departments d ON d.department_id = e.department_id)
         WHERE fund > fund_limit""",
-    "t7c_department_stats_after": """
+    "t7c_department_stats_after": f"""
         WITH b AS (SELECT * FROM before_rows WHERE employee_id % 23 <> 0 OR department_id < 9),
         a AS (SELECT * FROM after_rows WHERE employee_id % 23 <> 0 OR department_id < 9),
         pairs AS (
@@ -838,7 +867,7 @@ BODIES: dict[str, str] = {
             UNION SELECT new_place FROM pairs WHERE new_place IS NOT NULL)
         SELECT t.department_id, count(a.employee_id) AS employees,
                CAST(coalesce(sum(salary) FILTER (WHERE is_active), 0) AS DOUBLE) AS fund,
-               round(avg(salary) FILTER (WHERE is_active), 2) AS avg_salary,
+               {mean('salary', 'is_active')} AS avg_salary,
                CAST(min(salary) FILTER (WHERE is_active) AS DOUBLE) AS min_salary,
                CAST(max(salary) FILTER (WHERE is_active) AS DOUBLE) AS max_salary
         FROM touched t LEFT JOIN a ON a.department_id = t.department_id
