@@ -26,6 +26,13 @@ FUND_LIMIT = Decimal("0.7")
 LEAVE_DAYS = 28
 
 
+def active_funds(employees: DataFrame) -> DataFrame:
+    """Active payroll per department that has active staff."""
+    return (
+        employees.filter("is_active").groupBy("department_id").agg(F.sum("salary").alias("fund"))
+    )
+
+
 def department_fund(
     departments: DataFrame, employees: DataFrame, department_id: int | None = None
 ) -> DataFrame:
@@ -33,10 +40,9 @@ def department_fund(
     if department_id is not None:
         departments = departments.filter(F.col("department_id") == department_id)
         employees = employees.filter(F.col("department_id") == department_id)
-    funds = (
-        employees.filter("is_active").groupBy("department_id").agg(F.sum("salary").alias("fund"))
-    )
-    return departments.select("department_id").join(funds, "department_id", "left").select(
+    return departments.select("department_id").join(
+        active_funds(employees), "department_id", "left"
+    ).select(
         "department_id",
         F.coalesce("fund", F.lit(0)).cast("decimal(15,2)").alias("total_fund"),
     )
@@ -48,12 +54,13 @@ def check_hire(candidates: DataFrame, departments: DataFrame, employees: DataFra
     ``candidates`` needs ``department_id`` and ``salary``; an unknown department
     gives NULL.
     """
-    room = department_fund(departments, employees).join(
-        departments.select("department_id", "budget"), "department_id"
+    room = departments.select("department_id", "budget").join(
+        active_funds(employees), "department_id", "left"
     )
+    fund = F.coalesce("fund", F.lit(0))
     return candidates.join(room, "department_id", "left").select(
         *[F.col(c) for c in candidates.columns],
-        (F.col("total_fund") + F.col("salary") <= F.col("budget") * F.lit(FUND_LIMIT)).alias(
+        (fund + F.col("salary") <= F.col("budget") * F.lit(FUND_LIMIT)).alias(
             "within_budget"
         ),
     )
@@ -238,9 +245,6 @@ def turnover(employees: DataFrame, start: date, end: date) -> DataFrame:
 
 def department_utilization(departments: DataFrame, employees: DataFrame) -> DataFrame:
     """Mean fund share of the budget over departments with active staff."""
-    funds = (
-        employees.filter("is_active").groupBy("department_id").agg(F.sum("salary").alias("fund"))
-    )
     share = (
         F.coalesce(F.col("fund"), F.lit(0)).cast("decimal(20,2)")
         * 100
@@ -248,7 +252,7 @@ def department_utilization(departments: DataFrame, employees: DataFrame) -> Data
     ).cast("decimal(24,10)")
     return (
         departments.select("department_id", "budget")
-        .join(funds, "department_id")
+        .join(active_funds(employees), "department_id")
         .agg(F.avg(share).alias("rate"))
         .select(
             F.inline(

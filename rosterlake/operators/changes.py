@@ -7,7 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payroll import FUND_LIMIT
+from ..functions.payroll import FUND_LIMIT, active_funds
+from ..sources.scratch import write_and_read
 from ..sources.tables import json_record
 
 # The columns an audit row shows, defaults for who and why.
@@ -172,10 +173,9 @@ def budget_violations(employees: DataFrame, departments: DataFrame) -> DataFrame
     The fund is summed once per department; a row that is not active adds its own
     pay to it, an active one is in it already.
     """
-    funds = (
-        employees.filter("is_active").groupBy("department_id").agg(F.sum("salary").alias("fund"))
+    limits = departments.select("department_id", "budget").join(
+        active_funds(employees), "department_id", "left"
     )
-    limits = departments.select("department_id", "budget").join(funds, "department_id", "left")
     own = F.when(F.coalesce("is_active", F.lit(False)), F.lit(0)).otherwise(F.col("salary"))
     fund = F.coalesce("fund", F.lit(0)) + own
     limit = F.col("budget") * F.lit(FUND_LIMIT)
@@ -264,7 +264,8 @@ def delete_employees(
     """Tables without the given employees, and the ids that may not go.
 
     An employee who manages a project or recorded a raise stays. References are
-    reduced to distinct keys before they meet the ids.
+    reduced to distinct keys before they meet the ids. The ids that go are
+    written once, since every table reads them.
     """
     wanted = ids.select("employee_id").distinct()
     blocked = None
@@ -278,7 +279,9 @@ def delete_employees(
             blocked = holders if blocked is None else blocked.unionByName(holders)
     gone = wanted
     if blocked is not None:
+        blocked = write_and_read(blocked, "blocked")
         gone = wanted.join(blocked, "employee_id", "left_anti")
+    gone = write_and_read(gone, "gone")
     left = dict(tables)
     left["employees"] = tables["employees"].join(gone, "employee_id", "left_anti")
     for name in CASCADING:

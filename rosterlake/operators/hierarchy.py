@@ -111,7 +111,7 @@ def employee_hierarchy(
             ).alias("indented_name"),
         )
     )
-    return arranged(tree, ordered, asc("reporting_path"))
+    return arranged(tree, ordered, asc("reporting_path"), asc("employee_id"))
 
 
 def _descend(edges: DataFrame, manager_id: int, first: DataFrame, grow: dict[str, Column]):
@@ -151,6 +151,7 @@ def subordinates(employees: DataFrame, manager_id: int, ordered: bool = True) ->
         asc("level"),
         asc("last_name"),
         asc("first_name"),
+        asc("employee_id"),
     )
 
 
@@ -192,6 +193,7 @@ def manager_subordinates(
         ordered,
         asc("hierarchy_level"),
         asc("subordinate_name"),
+        asc("subordinate_id"),
     )
 
 

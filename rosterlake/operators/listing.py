@@ -93,7 +93,7 @@ def department_employees(
         .join(managers, "manager_id", "left")
         .select(*[F.col(c) for c in employees.columns], "position_title", "manager_name")
     )
-    return arranged(staff, ordered, asc("last_name"), asc("first_name"))
+    return arranged(staff, ordered, asc("last_name"), asc("first_name"), asc("employee_id"))
 
 
 def search_employees(
@@ -156,9 +156,9 @@ def search_employees(
             "first_name",
         )
     )
-    return arranged(matched, ordered, asc("last_name"), asc("first_name")).drop(
-        "last_name", "first_name"
-    )
+    return arranged(
+        matched, ordered, asc("last_name"), asc("first_name"), asc("employee_id")
+    ).drop("last_name", "first_name")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

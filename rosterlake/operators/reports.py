@@ -106,7 +106,12 @@ def employee_details(
         )
     )
     return arranged(
-        detailed, ordered, asc("department_name"), desc("position_level"), asc("last_name")
+        detailed,
+        ordered,
+        asc("department_name"),
+        desc("position_level"),
+        asc("last_name"),
+        asc("employee_id"),
     )
 
 
@@ -414,7 +419,12 @@ def vacation_calendar(
         )
     )
     return arranged(
-        calendar, ordered, asc("start_date"), asc("department_name"), asc("last_name")
+        calendar,
+        ordered,
+        asc("start_date"),
+        asc("department_name"),
+        asc("last_name"),
+        asc("vacation_id"),
     ).drop("last_name")
 
 

@@ -59,7 +59,8 @@ def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = False)
     """Rows of CSV files as text with ``row_no`` in file order, counted from 1.
 
     Positions run on within a split, so the splits' sizes give the offsets; only
-    those, one row per split, meet in one task.
+    those, one row per split, meet in one task. They are written out, so that the
+    planner sees how small they are and leaves the rows where they are.
     """
     lines = (
         spark.read.option("header", True)
@@ -82,7 +83,7 @@ def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = False)
         .agg(F.min("position").alias("first"), F.count("*").alias("n"))
         .select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     )
-    return placed.join(splits, ["file", "block"]).select(
+    return placed.join(write_and_read(splits, "splits"), ["file", "block"]).select(
         (F.col("offset") + F.col("position") - F.col("first") + 1).alias("row_no"),
         *[
             F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c)

@@ -85,9 +85,13 @@ def once(changes: DataFrame, delay: str) -> DataFrame:
 
 
 def drain_rows(stream: DataFrame, label: str) -> DataFrame:
-    """Append what the source holds to a table, then read the table."""
+    """Append what the source holds to a table, then read the table.
+
+    The empty start lets the table be read when the source holds nothing.
+    """
     spark = stream.sparkSession
     folder = scratch_folder(spark, label)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
@@ -106,6 +110,7 @@ def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:
     """
     spark = stream.sparkSession
     folder = scratch_folder(spark, label)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
