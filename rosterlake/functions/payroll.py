@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import labels
+from ..sources.scratch import write_and_read
 from .expressions import (
     arranged,
     asc,
@@ -33,6 +34,21 @@ def active_funds(employees: DataFrame) -> DataFrame:
     )
 
 
+def budget_room(departments: DataFrame, employees: DataFrame) -> DataFrame:
+    """Budget and fund per department, written out.
+
+    Joined as written it has a known size: small, it is broadcast and the rows it
+    joins stay where they are; large, it is shuffled on its own, which lets a
+    department that holds much of those rows be split.
+    """
+    return write_and_read(
+        departments.select("department_id", "budget").join(
+            active_funds(employees), "department_id", "left"
+        ),
+        "room",
+    )
+
+
 def department_fund(
     departments: DataFrame, employees: DataFrame, department_id: int | None = None
 ) -> DataFrame:
@@ -54,9 +70,7 @@ def check_hire(candidates: DataFrame, departments: DataFrame, employees: DataFra
     ``candidates`` needs ``department_id`` and ``salary``; an unknown department
     gives NULL.
     """
-    room = departments.select("department_id", "budget").join(
-        active_funds(employees), "department_id", "left"
-    )
+    room = budget_room(departments, employees)
     fund = F.coalesce("fund", F.lit(0))
     return candidates.join(room, "department_id", "left").select(
         *[F.col(c) for c in candidates.columns],

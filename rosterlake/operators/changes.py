@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payroll import FUND_LIMIT, active_funds
+from ..functions.payroll import FUND_LIMIT, budget_room
 from ..sources.scratch import write_and_read
 from ..sources.tables import json_record
 
@@ -173,15 +173,12 @@ def budget_violations(employees: DataFrame, departments: DataFrame) -> DataFrame
     The fund is summed once per department; a row that is not active adds its own
     pay to it, an active one is in it already.
     """
-    limits = departments.select("department_id", "budget").join(
-        active_funds(employees), "department_id", "left"
-    )
     own = F.when(F.coalesce("is_active", F.lit(False)), F.lit(0)).otherwise(F.col("salary"))
     fund = F.coalesce("fund", F.lit(0)) + own
     limit = F.col("budget") * F.lit(FUND_LIMIT)
     return (
         employees.select("employee_id", "department_id", "salary", "is_active")
-        .join(limits, "department_id")
+        .join(budget_room(departments, employees), "department_id")
         .select(
             "employee_id",
             "department_id",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import labels
+from ..sources.scratch import write_and_read
 
 
 def fill_department_heads(departments: DataFrame, employees: DataFrame) -> DataFrame:
@@ -203,7 +204,9 @@ def assign_projects(
         "project_id",
         parts,
     )
-    sizes = projects.groupBy("department_id").agg(F.count("*").alias("choices"))
+    sizes = write_and_read(
+        projects.groupBy("department_id").agg(F.count("*").alias("choices")), "choices"
+    )
     draws = (
         employees.select("employee_id", "salary", "department_id")
         .join(sizes, "department_id")

@@ -93,7 +93,8 @@ def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = False)
 
 
 def _known(keys: DataFrame, key: str, name: str) -> DataFrame:
-    return keys.select(F.col(key).alias(name)).distinct().withColumn(f"{name}_known", F.lit(True))
+    """Primary keys under another name, with a mark to find after a left join."""
+    return keys.select(F.col(key).alias(name), F.lit(True).alias(f"{name}_known"))
 
 
 def _email_taken(rows: DataFrame, existing: DataFrame, number: str) -> DataFrame:
@@ -101,15 +102,17 @@ def _email_taken(rows: DataFrame, existing: DataFrame, number: str) -> DataFrame
 
     Rows whose ``fault`` is set never hold an email, so a later row may. The
     first sound row per email is a plain minimum, which does not gather the rows
-    of one email in a task.
+    of one email in a task. The holders are written out and so shuffled on their
+    own, which lets the join split an email that many rows share.
     """
-    holders = (
+    holders = write_and_read(
         existing.select("email", F.lit(-1).cast("long").alias("holder"))
         .unionByName(
             rows.filter("fault IS NULL").select("email", F.col(number).alias("holder"))
         )
         .groupBy("email")
-        .agg(F.min("holder").alias("holder"))
+        .agg(F.min("holder").alias("holder")),
+        "holders",
     )
     return rows.join(holders, "email", "left").withColumn(
         "email_taken", F.coalesce(F.col("holder") < F.col(number), F.lit(False))
@@ -125,13 +128,14 @@ def import_employees(
 ) -> Import:
     """Accept or reject the rows of :func:`read_numbered_csv`.
 
-    The outcome is written once and all three results read it. The reason given
+    The rows are parsed and checked once and written, then again with the outcome,
+    which all three results read. The reason given
     is the first that applies: missing fields, address without ``@``, address in
     use, unreadable value, negative salary, broken table rule.
     """
 
     def number(name: str) -> Column:
-        return F.expr(f"try_cast({name} as double)").cast("decimal(38,4)")
+        return F.expr(f"try_cast(try_cast({name} as double) as decimal(38,4))")
 
     def whole(name: str) -> Column:
         return F.expr(f"try_cast(try_cast({name} as double) as bigint)")
@@ -170,8 +174,17 @@ def import_employees(
         .when(F.col("pay") < 0, labels.NEGATIVE_SALARY)
         .when(breaks_rule, labels.TABLE_RULE)
     )
-    rows = checked.select(
-        "*", early.alias("early"), F.coalesce(early, late).alias("fault")
+    rows = write_and_read(
+        checked.select(
+            "row_no",
+            *CSV_COLUMNS,
+            "hired",
+            "pay",
+            *[f"{k}_read" for k in keys],
+            early.alias("early"),
+            F.coalesce(early, late).alias("fault"),
+        ),
+        "rows",
     )
     in_use = F.concat(
         F.lit(labels.EMAIL_EXISTS.split("{}")[0]),
