@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import SCHEMAS
@@ -201,58 +201,109 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return values.join(parent.select(key), key, "left_anti").withColumnRenamed(key, column)
 
 
-def _line(table: str, name: str, counted: DataFrame) -> DataFrame:
-    return counted.select(
-        F.lit(table).alias("table_name"),
-        F.lit(name).alias("constraint_name"),
-        F.col("violations"),
+def _exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
+    """The entries of each row that are not NULL as rows of their own, in one scan."""
+    return df.select(F.inline(F.array_compact(F.array(*entries))))
+
+
+def _with_zeros(
+    counted: DataFrame, spark: SparkSession, lines: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """One line per constraint, 0 where nothing was counted."""
+    zeros = spark.createDataFrame(
+        [(table, name, 0) for table, name in lines],
+        "table_name STRING, constraint_name STRING, violations BIGINT",
+    )
+    return (
+        counted.unionByName(zeros)
+        .groupBy("table_name", "constraint_name")
+        .agg(F.sum("violations").alias("violations"))
     )
 
 
 def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Number of keys held more than once, per unique key."""
-    lines = [
-        _line(
-            table,
-            f"unique {', '.join(key)}",
-            duplicate_keys(tables[table], key).agg(F.count("*").alias("violations")),
-        )
-        for table, key in UNIQUE_KEYS
-        if table in tables
-    ]
-    return _stack(lines)
-
-
-def partial_unique_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """The same for keys that need to be unique among some rows only."""
-    lines = [
-        _line(
-            table,
-            f"unique {', '.join(key)} where {condition}",
-            duplicate_keys(tables[table].filter(condition), key).agg(
-                F.count("*").alias("violations")
-            ),
-        )
-        for table, key, condition in PARTIAL_UNIQUE_KEYS
-        if table in tables
-    ]
-    return _stack(lines)
+    """Number of keys held more than once, per unique key.
+
+    The keys of all constraints go through one shuffle, every table is read once.
+    """
+    keys = [(t, k, "true") for t, k in UNIQUE_KEYS] + PARTIAL_UNIQUE_KEYS
+    lines, parts = [], []
+    for table, df in tables.items():
+        entries = []
+        for owner, key, condition in keys:
+            if owner != table:
+                continue
+            name = f"unique {', '.join(key)}"
+            name += f" where {condition}" if condition != "true" else ""
+            lines.append((table, name))
+            present = F.expr(condition)
+            for column in key:
+                present = present & F.col(column).isNotNull()
+            entries.append(
+                F.when(
+                    present,
+                    F.struct(
+                        F.lit(table).alias("table_name"),
+                        F.lit(name).alias("constraint_name"),
+                        F.array(*[F.col(c).cast("string") for c in key]).alias("key"),
+                    ),
+                )
+            )
+        if entries:
+            parts.append(_exploded(df, entries))
+    counted = (
+        _stack(parts)
+        .groupBy("table_name", "constraint_name", "key")
+        .agg(F.count("*").alias("held"))
+        .filter("held > 1")
+        .groupBy("table_name", "constraint_name")
+        .agg(F.count("*").alias("violations"))
+    )
+    return _with_zeros(counted, parts[0].sparkSession, lines)
 
 
 def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Number of rows per reference that lead nowhere."""
-    lines = [
-        _line(
-            table,
-            f"foreign key {column}",
-            orphans(tables[table], column, tables[parent], key).agg(
-                F.coalesce(F.sum("held"), F.lit(0)).alias("violations")
-            ),
-        )
-        for table, column, parent, key in REFERENCES
-        if table in tables and parent in tables
-    ]
-    return _stack(lines)
+    """Number of rows per reference that lead nowhere.
+
+    References are reduced to distinct values with a count, then meet the keys of
+    all parents in one join: every child and every parent is read once.
+    """
+    lines, parts, parents = [], [], {}
+    for table, df in tables.items():
+        entries = []
+        for owner, column, parent, key in REFERENCES:
+            if owner != table or parent not in tables:
+                continue
+            lines.append((table, f"foreign key {column}"))
+            parents[parent] = key
+            entries.append(
+                F.when(
+                    F.col(column).isNotNull(),
+                    F.struct(
+                        F.lit(table).alias("table_name"),
+                        F.lit(f"foreign key {column}").alias("constraint_name"),
+                        F.lit(parent).alias("parent"),
+                        F.col(column).cast("long").alias("value"),
+                    ),
+                )
+            )
+        if entries:
+            parts.append(_exploded(df, entries))
+    held = (
+        _stack(parts)
+        .groupBy("table_name", "constraint_name", "parent", "value")
+        .agg(F.count("*").alias("violations"))
+    )
+    known = _stack(
+        [
+            tables[parent].select(
+                F.lit(parent).alias("parent"), F.col(key).cast("long").alias("value")
+            )
+            for parent, key in parents.items()
+        ]
+    )
+    lost = held.join(known, ["parent", "value"], "left_anti").drop("parent", "value")
+    return _with_zeros(lost, held.sparkSession, lines)
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -269,7 +320,6 @@ def constraint_report(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
         [
             *checks,
             unique_report(tables),
-            partial_unique_report(tables),
             reference_report(tables),
         ]
     )

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DecimalType
 from ..functions import payroll
 from ..operators import changes, hierarchy, listing, quality, reports, staffing
 from ..sources import intake, tables
-from ..sources.fixtures import AS_OF, Fixtures
+from ..sources.fixtures import AS_OF, BASE_SCHEMAS, Fixtures
 from ..sources.scratch import scratch_folder, write_and_read
 from ..streaming import feeds
 
@@ -819,11 +819,10 @@ def c6_request_errors(f: Fixtures) -> DataFrame:
 
 # Streams
 
-EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
-
 
 def _feed(f: Fixtures) -> DataFrame:
-    return f.change_columns(feeds.read_feed(f.spark, f.folder, "events.parquet", EVENT_SCHEMA))
+    events = feeds.read_feed(f.spark, f.folder, "events.parquet", BASE_SCHEMAS["events"])
+    return f.change_columns(events)
 
 
 @query

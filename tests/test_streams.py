@@ -1,8 +1,7 @@
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from rosterlake.plans.catalog import EVENT_SCHEMA
-from rosterlake.sources.fixtures import Fixtures
+from rosterlake.sources.fixtures import BASE_SCHEMAS, Fixtures
 from rosterlake.streaming import feeds
 
 CHANGE_SCHEMA = (
@@ -12,7 +11,7 @@ CHANGE_SCHEMA = (
 
 
 def feed(spark, f):
-    return f.change_columns(feeds.read_feed(spark, DATA, "events.parquet", EVENT_SCHEMA))
+    return f.change_columns(feeds.read_feed(spark, DATA, "events.parquet", BASE_SCHEMAS["events"]))
 
 
 def same(left, right):
