@@ -82,7 +82,7 @@ def check_hire(candidates: DataFrame, departments: DataFrame, employees: DataFra
 
 def raise_reason(department_id: int, percentage: Decimal) -> str:
     """The reason a department-wide raise leaves in the salary history."""
-    return f"Повышение зарплаты отделу {department_id} на {percentage}%"
+    return labels.RAISE_REASON.format(department_id, percentage)
 
 
 def raise_salaries(
@@ -91,7 +91,7 @@ def raise_salaries(
     """Raise the active staff of a department; returns (employees, changes)."""
     percentage = Decimal(percentage)
     if not 0 < percentage <= 100:
-        raise ValueError("Процент повышения должен быть от 0.01 до 100")
+        raise ValueError(labels.RAISE_BOUNDS)
     raised = (F.col("department_id") == department_id) & F.col("is_active")
     new_salary = F.round(F.col("salary") * F.lit(1 + percentage / 100), 2).cast("decimal(12,2)")
     after = employees.withColumn(

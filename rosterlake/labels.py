@@ -68,6 +68,8 @@ EMAIL_USED = "Email уже используется"
 NO_SUCH_DEPARTMENT = "Отдел не существует"
 NO_SUCH_MANAGER = "Руководитель не существует"
 ROW_PREFIX = "Строка {}: "
+RAISE_BOUNDS = "Процент повышения должен быть от 0.01 до 100"
+RAISE_REASON = "Повышение зарплаты отделу {} на {}%"
 # Ours: conditions the database raised in its own words.
 BAD_VALUE = "Неверное значение поля"
 TABLE_RULE = "Нарушено ограничение таблицы"

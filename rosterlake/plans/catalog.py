@@ -121,8 +121,12 @@ def i1_import_summary(f: Fixtures) -> DataFrame:
 
 @query
 def i2_append_new(f: Fixtures) -> DataFrame:
-    target = f.skills.filter("skill_id % 3 <> 0")
-    return tables.append_new(target, f.skills, "skill_name")
+    kinds = (
+        f.base("part")
+        .groupBy(F.col("p_type").alias("skill_name"))
+        .agg(F.max("p_brand").alias("category"), (F.max("p_partkey") + 1000000).alias("skill_id"))
+    )
+    return tables.append_new(f.skills, kinds.unionByName(f.skills), "skill_name")
 
 
 @query
@@ -130,9 +134,16 @@ def i3_sample_rows(f: Fixtures) -> DataFrame:
     return tables.sample_rows(f.employees.select("employee_id", "last_name"), 100, seed=7)
 
 
+def _moved_out(f: Fixtures) -> DataFrame:
+    """Employees after department 7 moved into department 8, which leaves one empty."""
+    return f.employees.withColumn(
+        "department_id", F.expr("CASE WHEN department_id = 7 THEN 8 ELSE department_id END")
+    )
+
+
 @query
 def i4_report_records(f: Fixtures) -> DataFrame:
-    report = reports.department_payroll(f.departments, f.employees.filter("department_id <> 7"))
+    report = reports.department_payroll(f.departments, _moved_out(f))
     return tables.to_records(
         report.select("department_id", "department_name", "employee_count", "total_salary")
     )
@@ -385,7 +396,7 @@ def r4_department_statistics(f: Fixtures) -> DataFrame:
 
 @query
 def r5_department_payroll(f: Fixtures) -> DataFrame:
-    return reports.department_payroll(f.departments, f.employees.filter("department_id <> 7"))
+    return reports.department_payroll(f.departments, _moved_out(f))
 
 
 @query
@@ -526,10 +537,7 @@ def t7b_budget_violations(f: Fixtures) -> DataFrame:
 
 @query
 def t7c_department_stats_after(f: Fixtures) -> DataFrame:
-    return changes.department_stats_after(
-        f.before.filter("employee_id % 23 <> 0 OR department_id < 9"),
-        f.after.filter("employee_id % 23 <> 0 OR department_id < 9"),
-    )
+    return changes.department_stats_after(f.before, f.after)
 
 
 @query
@@ -585,7 +593,7 @@ def t11_assign_projects(f: Fixtures) -> DataFrame:
 
 @query
 def t12_apply_updates(f: Fixtures) -> DataFrame:
-    patches = f.employees.filter("employee_id % 6 = 0").selectExpr(
+    patches = f.employees.selectExpr(
         "CASE WHEN employee_id % 90 = 0 THEN employee_id + 100000000 ELSE employee_id END AS employee_id",
         "explode(array(1, 2)) AS patch_no",
         "phone",
@@ -597,7 +605,8 @@ def t12_apply_updates(f: Fixtures) -> DataFrame:
         "CASE WHEN employee_id % 12 = 0 THEN phone || '0' END AS phone",
         "cast(salary + patch_no as decimal(12,2)) AS salary",
         "department_id",
-        """CASE WHEN patch_no = 1 THEN array('phone', 'salary')
+        """CASE WHEN employee_id % 6 <> 0 THEN cast(array() AS array<string>)
+           WHEN patch_no = 1 THEN array('phone', 'salary')
            WHEN employee_id % 18 = 0 THEN array('salary', 'department_id')
            ELSE array('department_id') END AS fields""",
     )
@@ -622,7 +631,7 @@ def _delete(f: Fixtures) -> tuple[dict[str, DataFrame], DataFrame]:
         "vacations",
         "employee_skills",
     ]
-    ids = f.employees.filter("employee_id % 15 = 1").select("employee_id")
+    ids = f.employees.filter("NOT is_active").select("employee_id")
     return changes.delete_employees(ids, {n: getattr(f, n) for n in names})
 
 
@@ -751,13 +760,17 @@ class Dirty:
                 "CASE WHEN vacation_id % 79 = 0 THEN 'lost' ELSE status END AS status",
                 "approved_by",
             ),
-            "skills": f.skills.filter("skill_id % 10 <> 0"),
+            "skills": f.skills.selectExpr(
+                "skill_name",
+                "category",
+                "CASE WHEN skill_id % 10 = 0 THEN skill_id + 1000000000 ELSE skill_id END AS skill_id",
+            ),
             "employee_skills": f.employee_skills.selectExpr(
-                "employee_id",
+                "employee_id - CASE WHEN employee_id % 10 = 0 THEN 1 ELSE 0 END AS employee_id",
                 "skill_id",
                 "CASE WHEN (employee_id + skill_id) % 83 = 0 THEN 'guru' ELSE proficiency_level END AS proficiency_level",
                 "certified",
-            ).unionByName(f.employee_skills.filter("employee_id % 100 = 0")),
+            ),
             "audit_log": f.changes.selectExpr(
                 "change_id AS log_id",
                 "'employees' AS table_name",

@@ -112,7 +112,7 @@ TABLES: dict[str, str] = {
         JOIN skills ON p_name = skill_name
         WHERE l_linenumber = 1
         GROUP BY o_custkey, skill_id""",
-    "before_rows": "SELECT * FROM employees WHERE employee_id % 40 <> 0",
+    "before_rows": "SELECT * FROM employees",
     "after_rows": """
         SELECT * REPLACE (
                    CAST(CASE WHEN employee_id % 9 = 0 THEN round(salary * 1.05, 2)
@@ -123,7 +123,8 @@ TABLES: dict[str, str] = {
                    CASE WHEN employee_id % 29 = 0 THEN position_id % 25 + 1
                         ELSE position_id END AS position_id),
                DATE '1999-06-30' - CAST(employee_id % 17 AS INT) AS changed_on
-        FROM employees WHERE employee_id % 50 <> 0""",
+        FROM (SELECT * REPLACE (CASE WHEN employee_id % 50 = 0 THEN employee_id + 1000000000
+                                ELSE employee_id END AS employee_id) FROM employees)""",
     "cyclic": """
         SELECT * REPLACE (CASE employee_id WHEN 2 THEN 13 WHEN 3 THEN 19 WHEN 5 THEN 5
                                WHEN 4 THEN 999999999 ELSE manager_id END AS manager_id)
@@ -213,13 +214,17 @@ TABLES: dict[str, str] = {
                CASE WHEN vacation_id % 79 = 0 THEN 'lost' ELSE status END AS status,
                approved_by
         FROM vacations""",
-    "bad_skills": "SELECT * FROM skills WHERE skill_id % 10 <> 0",
+    "bad_skills": """
+        SELECT skill_name, category,
+               CASE WHEN skill_id % 10 = 0 THEN skill_id + 1000000000 ELSE skill_id END
+                   AS skill_id
+        FROM skills""",
     "bad_employee_skills": """
-        SELECT employee_id, skill_id,
+        SELECT employee_id - CASE WHEN employee_id % 10 = 0 THEN 1 ELSE 0 END AS employee_id,
+               skill_id,
                CASE WHEN (employee_id + skill_id) % 83 = 0 THEN 'guru'
                     ELSE proficiency_level END AS proficiency_level, certified
-        FROM employee_skills
-        UNION ALL SELECT * FROM employee_skills WHERE employee_id % 100 = 0""",
+        FROM employee_skills""",
     "bad_audit_log": """
         SELECT change_id AS log_id, 'employees' AS table_name, employee_id AS record_id,
                CASE WHEN change_id % 79 = 0 THEN 'CALCULATE' ELSE operation END

@@ -422,7 +422,11 @@ BODIES: dict[str, str] = {
         SELECT count(*) FILTER (WHERE reason IS NULL) AS success,
                count(reason) AS failed, count(*) AS total_processed
         FROM csv_verdicts""",
-    "i2_append_new": "SELECT skill_name, category, skill_id FROM skills",
+    "i2_append_new": """
+        SELECT skill_name, category, skill_id FROM skills
+        UNION ALL
+        SELECT p_type, max(p_brand), max(p_partkey) + 1000000 FROM part
+        WHERE p_type NOT IN (SELECT skill_name FROM skills) GROUP BY p_type""",
     "i4_report_records": """
         SELECT '{"department_id":' || CAST(d.department_id AS VARCHAR)
                || ',"department_name":"' || department_name
@@ -430,8 +434,9 @@ BODIES: dict[str, str] = {
                || ',"total_salary":' || coalesce(CAST(sum(salary) AS VARCHAR), 'null') || '}'
                AS record
         FROM departments d
-        LEFT JOIN (SELECT * FROM employees WHERE department_id <> 7) e
-               ON e.department_id = d.department_id
+        LEFT JOIN (SELECT employee_id, salary,
+                          CASE department_id WHEN 7 THEN 8 ELSE department_id END AS place
+                   FROM employees) ON place = d.department_id
         GROUP BY d.department_id, department_name""",
     "q1_list_employees": f"""
         SELECT {EMPLOYEE_COLUMNS} FROM employees e
@@ -709,8 +714,9 @@ BODIES: dict[str, str] = {
         SELECT department_id, department_name, count(salary) AS employee_count,
                CAST(sum(salary) AS DOUBLE) AS total_salary, {mean('salary')} AS avg_salary
         FROM departments
-        LEFT JOIN (SELECT department_id, salary FROM employees WHERE department_id <> 7)
-             USING (department_id)
+        LEFT JOIN (SELECT CASE department_id WHEN 7 THEN 8 ELSE department_id END
+                              AS department_id, salary
+                   FROM employees) USING (department_id)
         GROUP BY 1, 2""",
     "r6_employee_statistics": f"""
         WITH sums AS (
@@ -855,11 +861,9 @@ BODIES: dict[str, str] = {
             FROM employees e JOIN departments d ON d.department_id = e.department_id)
         WHERE fund > fund_limit""",
     "t7c_department_stats_after": f"""
-        WITH b AS (SELECT * FROM before_rows WHERE employee_id % 23 <> 0 OR department_id < 9),
-        a AS (SELECT * FROM after_rows WHERE employee_id % 23 <> 0 OR department_id < 9),
-        pairs AS (
+        WITH pairs AS (
             SELECT b.department_id AS old_place, a.department_id AS new_place
-            FROM b FULL JOIN a ON a.employee_id = b.employee_id
+            FROM before_rows b FULL JOIN after_rows a ON a.employee_id = b.employee_id
             WHERE a.salary IS DISTINCT FROM b.salary
                OR a.department_id IS DISTINCT FROM b.department_id),
         touched AS (
@@ -870,7 +874,7 @@ BODIES: dict[str, str] = {
                {mean('salary', 'is_active')} AS avg_salary,
                CAST(min(salary) FILTER (WHERE is_active) AS DOUBLE) AS min_salary,
                CAST(max(salary) FILTER (WHERE is_active) AS DOUBLE) AS max_salary
-        FROM touched t LEFT JOIN a ON a.department_id = t.department_id
+        FROM touched t LEFT JOIN after_rows a ON a.department_id = t.department_id
         GROUP BY 1""",
     "t8_fill_department_heads": """
         SELECT department_id, department_name, CAST(budget AS DOUBLE) AS budget,
@@ -950,7 +954,7 @@ BODIES: dict[str, str] = {
     "t13_delete_employees": """
         WITH gone AS (
             SELECT employee_id FROM employees
-            WHERE employee_id % 15 = 1
+            WHERE NOT is_active
               AND employee_id NOT IN (SELECT project_manager_id FROM projects)
               AND employee_id NOT IN (SELECT changed_by FROM salary_history))
         SELECT 'employees' AS table_name, employee_id AS id,
@@ -967,11 +971,11 @@ BODIES: dict[str, str] = {
         FROM employee_skills WHERE employee_id NOT IN (FROM gone)""",
     "t13_blocked_deletes": """
         SELECT employee_id, 'projects.project_manager_id' AS held_by FROM employees
-        WHERE employee_id % 15 = 1
+        WHERE NOT is_active
           AND employee_id IN (SELECT project_manager_id FROM projects)
         UNION ALL
         SELECT employee_id, 'salary_history.changed_by' FROM employees
-        WHERE employee_id % 15 = 1 AND employee_id IN (SELECT changed_by FROM salary_history)""",
+        WHERE NOT is_active AND employee_id IN (SELECT changed_by FROM salary_history)""",
     "t14_validate_new_employees": """
         WITH requests AS (
             SELECT employee_id AS request_no, first_name,

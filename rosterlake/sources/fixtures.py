@@ -249,13 +249,22 @@ class Fixtures:
     @property
     def before(self) -> DataFrame:
         """Employees at the first of two snapshots."""
-        return self.employees.filter("employee_id % 40 <> 0")
+        return self.employees
 
     @property
     def after(self) -> DataFrame:
-        """Employees at the second snapshot, with the day each row last changed."""
+        """Employees at the second snapshot, with the day each row last changed.
+
+        Some have left and come back under a new key.
+        """
         return (
-            self.employees.filter("employee_id % 50 <> 0")
+            self.employees.withColumn(
+                "employee_id",
+                F.expr(
+                    """CASE WHEN employee_id % 50 = 0 THEN employee_id + 1000000000
+                       ELSE employee_id END"""
+                ),
+            )
             .withColumn(
                 "salary",
                 F.expr(

@@ -16,14 +16,18 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
+    """A fresh folder name under the shared checkpoint folder.
+
+    All folders of an application share a parent, which may go when it has ended.
+    """
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="rosterlake-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/rosterlake-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def write_and_read(df: DataFrame, label: str) -> DataFrame:

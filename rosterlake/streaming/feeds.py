@@ -14,10 +14,15 @@ from ..sources.scratch import scratch_folder
 from ..sources.tables import json_record
 
 
-def read_feed(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
+def read_feed(
+    spark: SparkSession, folder: str, file_glob: str, schema: str, max_files: int = 1000
+) -> DataFrame:
+    """Parquet files of a folder as they arrive, ``max_files`` to a batch."""
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", file_glob)
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(folder)
     )
 
 
@@ -77,7 +82,8 @@ def department_movement(changes: DataFrame, employees: DataFrame) -> DataFrame:
 def once(changes: DataFrame, delay: str) -> DataFrame:
     """Every change once, however often its delivery is retried.
 
-    The watermark lets the job forget ids, so its state stays bounded.
+    The watermark lets the job forget ids, so its state stays bounded; ``delay``
+    must exceed how late a change, or its retry, may arrive.
     """
     return changes.withWatermark("changed_at", delay).dropDuplicatesWithinWatermark(
         ["change_id"]
