@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,11 @@ def completed_years(since: Column, as_of: date) -> Column:
     return (F.lit(as_of.year) - F.year(since) - before_anniversary.cast("int")).cast("int")
 
 
+def moment(at: datetime) -> Column:
+    """A point in time as the tables hold it, whatever the zone of the session."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def days_between(start: Column, end: Column) -> Column:
     return F.datediff(end, start)
 

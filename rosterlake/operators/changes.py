@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import moment
 from ..functions.payroll import FUND_LIMIT, budget_room
 from ..sources.scratch import write_and_read
 from ..sources.tables import json_record
@@ -68,7 +69,7 @@ def audit_diff(
         shown("old").alias("old_values"),
         shown("new").alias("new_values"),
         F.lit(changed_by).cast("long").alias("changed_by"),
-        F.lit(at).alias("changed_at"),
+        moment(at).alias("changed_at"),
     )
 
 

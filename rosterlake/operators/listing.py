@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import arranged, asc, desc, full_name
+from ..functions.expressions import arranged, asc, desc, full_name, moment
 
 
 def page(df: DataFrame, skip: int, limit: int, *keys: Column) -> DataFrame:
@@ -223,7 +223,7 @@ def open_set(name: str, table: DataFrame, since: datetime | None = None) -> Data
     if name == "approved_vacations":
         return table.filter(F.col("status") == "approved")
     if name == "recent_audit":
-        return table.filter(F.col("changed_at") > F.lit(since))
+        return table.filter(F.col("changed_at") > moment(since))
     if name == "open_assignments":
         return table.filter(F.col("end_date").isNull())
     if name == "certified_skills":

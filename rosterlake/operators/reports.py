@@ -374,8 +374,12 @@ def vacation_calendar(
     """Approved and taken leave with people, places, timeline and alert."""
     today = F.lit(as_of)
     approvers = people(employees, "approver", "first_name", "last_name", "email")
-    staff = employees.select(
-        "employee_id", "first_name", "last_name", "email", "department_id", "position_id"
+    staff = _with_places(
+        employees.select(
+            "employee_id", "first_name", "last_name", "email", "department_id", "position_id"
+        ),
+        departments,
+        positions,
     )
     leave = vacations.filter(F.col("status").isin("approved", "taken")).select(
         "vacation_id",
@@ -388,7 +392,7 @@ def vacation_calendar(
         F.col("approved_by").alias("approver_id"),
     )
     calendar = (
-        _with_places(leave.join(staff, "employee_id"), departments, positions)
+        leave.join(staff, "employee_id")
         .join(approvers, "approver_id", "left")
         .select(
             "vacation_id",

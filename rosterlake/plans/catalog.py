@@ -181,6 +181,11 @@ def _audit(f: Fixtures) -> DataFrame:
     return feeds.audit_rows(f.changes)
 
 
+def _readable(column: str):
+    """A point in time as text, the same in every zone."""
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 @query
 def q5_list_audit(f: Fixtures) -> DataFrame:
     page = listing.list_audit(
@@ -191,7 +196,7 @@ def q5_list_audit(f: Fixtures) -> DataFrame:
         limit=50,
         tie_break=["record_id", "new_values"],
     )
-    return page.withColumn("changed_at", F.unix_micros("changed_at"))
+    return page.withColumn("changed_at", _readable("changed_at"))
 
 
 @query
@@ -263,8 +268,8 @@ def q10_filtered_orders(f: Fixtures) -> DataFrame:
         "o_orderstatus",
         "F",
         "o_orderdate",
-        datetime(1997, 1, 1),
-        datetime(1997, 12, 31),
+        date(1997, 1, 1),
+        date(1997, 12, 31),
     ).select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice", "c_name")
 
 
@@ -277,12 +282,12 @@ def q11_open_sets(f: Fixtures) -> DataFrame:
             (F.col(other) if other else F.lit(None)).cast("long").alias("other_id"),
         )
 
-    audit = _audit(f).withColumn("micros", F.unix_micros("changed_at"))
+    audit = _audit(f).withColumn("digits", F.date_format("changed_at", "yyMMddHHmmssSSSSSS"))
     return (
         keys("active_employees", f.employees, "employee_id")
         .unionByName(keys("open_projects", f.projects, "project_id"))
         .unionByName(keys("approved_vacations", f.vacations, "vacation_id"))
-        .unionByName(keys("recent_audit", audit, "record_id", "micros"))
+        .unionByName(keys("recent_audit", audit, "record_id", "digits"))
         .unionByName(keys("open_assignments", f.employee_projects, "employee_id", "project_id"))
         .unionByName(keys("certified_skills", f.employee_skills, "employee_id", "skill_id"))
     )
@@ -841,7 +846,7 @@ def _feed(f: Fixtures) -> DataFrame:
 @query
 def x1_stream_audit(f: Fixtures) -> DataFrame:
     audit = feeds.drain_rows(feeds.audit_rows(_feed(f)), "audit")
-    return audit.withColumn("changed_at", F.unix_micros("changed_at"))
+    return audit.withColumn("changed_at", _readable("changed_at"))
 
 
 @query

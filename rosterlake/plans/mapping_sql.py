@@ -11,7 +11,7 @@ import re
 
 TABLES: dict[str, str] = {
     "departments": """
-        SELECT n_nationkey + 1 AS department_id, n_name AS department_name,
+        SELECT CAST(n_nationkey + 1 AS BIGINT) AS department_id, n_name AS department_name,
                CAST(CASE WHEN n_nationkey % 13 = 12 THEN 0
                     ELSE coalesce(n, 0) * (70000 + 9000 * (n_nationkey % 9)) END
                     AS DECIMAL(15,2)) AS budget,

@@ -461,7 +461,8 @@ BODIES: dict[str, str] = {
                CAST(base_salary_max AS DOUBLE) AS base_salary_max
         FROM positions ORDER BY position_id LIMIT 10 OFFSET 5""",
     "q5_list_audit": """
-        SELECT * REPLACE (epoch_us(changed_at) AS changed_at) FROM audit_log
+        SELECT * REPLACE (strftime(changed_at, '%Y-%m-%d %H:%M:%S.%f') AS changed_at)
+        FROM audit_log
         WHERE operation_type = 'INSERT'
         ORDER BY changed_at DESC, record_id, new_values LIMIT 50 OFFSET 10""",
     "q6_department_employees": f"""
@@ -520,7 +521,8 @@ BODIES: dict[str, str] = {
                   WHERE status IN ('planning', 'active') AND end_date IS NULL
         UNION ALL SELECT 'approved_vacations', vacation_id, NULL FROM vacations
                   WHERE status = 'approved'
-        UNION ALL SELECT 'recent_audit', record_id, epoch_us(changed_at) FROM audit_log
+        UNION ALL SELECT 'recent_audit', record_id, CAST(strftime(changed_at, '%y%m%d%H%M%S%f') AS BIGINT)
+                  FROM audit_log
                   WHERE changed_at > TIMESTAMP '2024-01-15 00:00:00'
         UNION ALL SELECT 'open_assignments', employee_id, project_id FROM employee_projects
                   WHERE end_date IS NULL
@@ -1028,7 +1030,9 @@ BODIES: dict[str, str] = {
     "c6_request_errors": f"""
         SELECT employee_id, {_broken_list(REQUEST_CHECKS)} AS errors
         FROM bad_employees WHERE {_broken_list(REQUEST_CHECKS)} <> ''""",
-    "x1_stream_audit": "SELECT * REPLACE (epoch_us(changed_at) AS changed_at) FROM audit_log",
+    "x1_stream_audit": """
+        SELECT * REPLACE (strftime(changed_at, '%Y-%m-%d %H:%M:%S.%f') AS changed_at)
+        FROM audit_log""",
     "x2_stream_history": """
         SELECT change_id AS salary_change_id, employee_id,
                CAST(old_salary AS DOUBLE) AS old_salary,
