@@ -201,6 +201,12 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return values.join(parent.select(key), key, "left_anti").withColumnRenamed(key, column)
 
 
+def orphan_rows(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """The rows behind :func:`orphans`."""
+    keys = parent.select(F.col(key).alias(column))
+    return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+
+
 def _exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
     """The entries of each row that are not NULL as rows of their own, in one scan."""
     return df.select(F.inline(F.array_compact(F.array(*entries))))

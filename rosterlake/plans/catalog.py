@@ -816,6 +816,14 @@ def c3_orphans(f: Fixtures) -> DataFrame:
     return quality.orphans(dirty["employee_skills"], "skill_id", dirty["skills"], "skill_id")
 
 
+@query
+def c3_orphan_rows(f: Fixtures) -> DataFrame:
+    dirty = Dirty(f).tables
+    return quality.orphan_rows(
+        dirty["employees"], "manager_id", dirty["employees"], "employee_id"
+    ).select("employee_id", "manager_id")
+
+
 @query
 def c4_missing_values(f: Fixtures) -> DataFrame:
     report = quality.check_report("employees", Dirty(f).tables["employees"], AS_OF)

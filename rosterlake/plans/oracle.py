@@ -1023,6 +1023,10 @@ BODIES: dict[str, str] = {
     "c3_orphans": """
         SELECT skill_id, count(*) AS held FROM bad_employee_skills
         WHERE skill_id NOT IN (SELECT skill_id FROM bad_skills) GROUP BY 1""",
+    "c3_orphan_rows": """
+        SELECT employee_id, manager_id FROM bad_employees
+        WHERE manager_id IS NOT NULL
+          AND manager_id NOT IN (SELECT employee_id FROM bad_employees)""",
     "c4_missing_values": "\nUNION ALL ".join(_required_lines("employees")),
     "c5_partial_unique": """
         SELECT phone, count(*) AS held FROM employees

@@ -15,6 +15,15 @@ SETTINGS = {
 }
 
 
+def partitions_for(shuffled_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """How many shuffle partitions keep each near ``target_bytes``.
+
+    Use it for ``spark.sql.shuffle.partitions`` on a cluster; adaptive execution
+    merges what turns out smaller.
+    """
+    return max(200, -(-shuffled_bytes // target_bytes))
+
+
 def build_session(
     app_name: str = "rosterlake", master: str | None = None, **settings: str
 ) -> SparkSession:

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 from rosterlake import labels
 from rosterlake.operators import quality
+from rosterlake.session import partitions_for
 from rosterlake.sources import intake, tables
 
 AS_OF = date(2023, 2, 28)
@@ -162,6 +163,27 @@ def test_load_reads_what_save_wrote(spark, make, tmp_path):
     assert loaded["employees"].schema["salary"].dataType.simpleString() == "decimal(12,2)"
 
 
+def test_clustered_tables_keep_departments_together(spark, make, tmp_path):
+    rows = [{"employee_id": i, "department_id": i % 10} for i in range(200)]
+    employees = make("employees", *rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.save({"employees": employees}, str(tmp_path / "c"), clustered=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = spark.read.parquet(str(tmp_path / "c" / "employees.parquet"))
+    assert written.count() == 200
+    spread = written.selectExpr("input_file_name() AS file", "department_id").distinct()
+    files = written.selectExpr("input_file_name()").distinct().count()
+    assert files > 1
+    assert spread.count() < 10 + files
+
+
+def test_shuffle_partitions_follow_the_data():
+    assert partitions_for(10**6) == 200
+    assert partitions_for(10**13) == 74506
+
+
 def test_constraints(make):
     bad = {
         "departments": make("departments", {"department_id": 1}, {"department_id": 2}),
