@@ -96,6 +96,10 @@ def department_employees(
     return arranged(staff, ordered, asc("last_name"), asc("first_name"), asc("employee_id"))
 
 
+# Bounds that leave nobody out.
+ANY_BOUNDS = (0, 10_000_000, date(1900, 1, 1), date(9999, 12, 31))
+
+
 def search_employees(
     employees: DataFrame,
     departments: DataFrame,
@@ -104,19 +108,23 @@ def search_employees(
     skills: DataFrame,
     department_id: int | None = None,
     position_id: int | None = None,
-    min_salary: Decimal | int = 0,
-    max_salary: Decimal | int = 10_000_000,
+    min_salary: Decimal | int = ANY_BOUNDS[0],
+    max_salary: Decimal | int = ANY_BOUNDS[1],
     skill_ids: Sequence[int] | None = None,
-    hired_from: date = date(1900, 1, 1),
-    hired_to: date = date(9999, 12, 31),
+    hired_from: date = ANY_BOUNDS[2],
+    hired_to: date = ANY_BOUNDS[3],
     ordered: bool = True,
 ) -> DataFrame:
     """Active employees by any mix of criteria, with all their skills.
 
     Asking for skills finds people who hold any of them; the skill list still
-    shows everything they hold. Skills are gathered once per employee and the
-    asked-for ones recognised in the same pass.
+    shows everything they hold. A search that narrows the staff gathers the
+    skills of those it found only.
     """
+    bounds = (min_salary, max_salary, hired_from, hired_to)
+    narrowed = bounds != ANY_BOUNDS or any(
+        c is not None for c in (department_id, position_id, skill_ids)
+    )
     found = employees.filter(
         F.col("is_active")
         & F.col("salary").between(min_salary, max_salary)
@@ -126,23 +134,22 @@ def search_employees(
         found = found.filter(F.col("department_id") == department_id)
     if position_id is not None:
         found = found.filter(F.col("position_id") == position_id)
-    wanted = F.lit(True) if skill_ids is None else F.col("skill_id").isin(list(skill_ids))
-    held = (
-        employee_skills.groupBy("employee_id", "skill_id")
-        .agg(F.lit(1).alias("one"))
-        .join(skills.select("skill_id", "skill_name"), "skill_id", "left")
+    held = employee_skills.select("employee_id", "skill_id")
+    if skill_ids is not None:
+        holders = held.filter(F.col("skill_id").isin(list(skill_ids)))
+        found = found.join(holders.select("employee_id").distinct(), "employee_id", "left_semi")
+    if narrowed:
+        held = held.join(found.select("employee_id"), "employee_id", "left_semi")
+    gathered = (
+        held.distinct()
+        .join(skills.select("skill_id", "skill_name"), "skill_id")
         .groupBy("employee_id")
-        .agg(
-            F.sort_array(F.collect_set("skill_name")).alias("skills"),
-            F.max(wanted).alias("wanted"),
-        )
+        .agg(F.sort_array(F.collect_set("skill_name")).alias("skills"))
     )
-    if skill_ids is not None:
-        held = held.filter("wanted")
     matched = (
         found.join(departments.select("department_id", "department_name"), "department_id")
         .join(positions.select("position_id", "position_title"), "position_id")
-        .join(held, "employee_id", "left" if skill_ids is None else "inner")
+        .join(gathered, "employee_id", "left")
         .select(
             "employee_id",
             full_name().alias("full_name"),

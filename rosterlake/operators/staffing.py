@@ -117,42 +117,8 @@ SKILL_STEPS = [(150_000, "expert"), (100_000, "advanced"), (70_000, "intermediat
 CERTIFIED_FROM = 100_000
 
 
-def assign_skills(
-    employees: DataFrame,
-    departments: DataFrame,
-    skills: DataFrame,
-    employee_skills: DataFrame,
-    categories: Sequence[str],
-    department_parts: Sequence[str],
-) -> DataFrame:
-    """New skill rows: matching departments' staff get the categories' skills.
-
-    Staff are granted categories and meet skills on the category, so the join is
-    an equality join; pairs that exist already are left out.
-    """
-    named = F.lit(False)
-    for part in department_parts:
-        named = named | F.col("department_name").contains(part)
-    chosen = departments.filter(named).select("department_id")
-    granted = (
-        employees.select("employee_id", "salary", "department_id")
-        .join(chosen, "department_id", "left_semi")
-        .withColumn("category", F.explode(F.array(*[F.lit(c) for c in categories])))
-    )
-    return (
-        granted.join(skills.select("skill_id", "category"), "category")
-        .join(employee_skills.select("employee_id", "skill_id"), ["employee_id", "skill_id"], "left_anti")
-        .select(
-            "employee_id",
-            "skill_id",
-            by_salary(SKILL_STEPS, "beginner").alias("proficiency_level"),
-            (F.col("salary") >= CERTIFIED_FROM).alias("certified"),
-        )
-    )
-
-
 def numbered_in_group(df: DataFrame, group: str, key: str, parts: int) -> DataFrame:
-    """``slot`` 0, 1, 2 … within each group and ``group_size``, without one task per group.
+    """Adds ``slot`` 0, 1, 2 … within each group and ``group_size``, without one task per group.
 
     Rows are numbered inside ``parts`` pieces of a group; the pieces' sizes, a
     handful of rows per group, give the offsets.
@@ -180,6 +146,58 @@ def numbered_in_group(df: DataFrame, group: str, key: str, parts: int) -> DataFr
     )
 
 
+def draws(choices: Column, per_employee: int) -> Column:
+    """Numbers 0, 1, 2 … of an employee's draws, never more than there are choices."""
+    last = F.least(F.lit(per_employee).cast("long"), choices) - 1
+    return F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
+
+
+def assign_skills(
+    employees: DataFrame,
+    departments: DataFrame,
+    skills: DataFrame,
+    employee_skills: DataFrame,
+    categories: Sequence[str],
+    department_parts: Sequence[str],
+    per_employee: int = 1,
+    parts: int = 64,
+) -> DataFrame:
+    """New skill rows: matching departments' staff draw skills of the categories.
+
+    The draw is a function of the keys: the skills are numbered and an employee
+    takes ``per_employee`` of them, all if there are no more, from the number the
+    own key points at. Skills held already are left out.
+    """
+    named = F.lit(False)
+    for part in department_parts:
+        named = named | F.col("department_name").contains(part)
+    chosen = departments.filter(named).select("department_id")
+    offered = skills.filter(F.col("category").isin(list(categories))).select(
+        "skill_id", F.lit("offered").alias("pool")
+    )
+    numbered = numbered_in_group(offered, "pool", "skill_id", parts)
+    slots = write_and_read(numbered.select("skill_id", "slot"), "slots")
+    choices = offered.agg(F.count("*")).scalar()
+    drawn = (
+        employees.select("employee_id", "salary", "department_id")
+        .join(chosen, "department_id", "left_semi")
+        .withColumn("choices", choices)
+        .withColumn("draw", F.explode(draws(F.col("choices"), per_employee)))
+        .withColumn("slot", F.pmod(F.col("employee_id") + F.col("draw"), F.col("choices")))
+    )
+    held = employee_skills.select("employee_id", "skill_id")
+    return (
+        drawn.join(slots, "slot")
+        .join(held, ["employee_id", "skill_id"], "left_anti")
+        .select(
+            "employee_id",
+            "skill_id",
+            by_salary(SKILL_STEPS, "beginner").alias("proficiency_level"),
+            (F.col("salary") >= CERTIFIED_FROM).alias("certified"),
+        )
+    )
+
+
 # Role in a project by salary.
 ROLE_STEPS = [(150_000, labels.ROLE_LEADING), (100_000, labels.ROLE_SENIOR)]
 
@@ -194,30 +212,28 @@ def assign_projects(
     """New assignments: everyone draws projects of the own department.
 
     The draw is a function of the keys: projects of a department are numbered
-    and an employee takes ``per_employee`` of them from the number the own key
-    points at. Work grows with the employees, not with the pairs a department
+    and an employee takes ``per_employee`` of them, all if there are no more, from
+    the number the own key points at. Work grows with the employees, not with the pairs a department
     could form. Assignments that exist already are left out.
     """
-    slots = numbered_in_group(
+    numbered = numbered_in_group(
         projects.select("project_id", "department_id", "start_date", "project_manager_id"),
         "department_id",
         "project_id",
         parts,
     )
+    slots = write_and_read(numbered.drop("group_size"), "slots")
     sizes = write_and_read(
         projects.groupBy("department_id").agg(F.count("*").alias("choices")), "choices"
     )
-    draws = (
+    drawn = (
         employees.select("employee_id", "salary", "department_id")
         .join(sizes, "department_id")
-        .withColumn(
-            "draw",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_employee), "choices") - 1)),
-        )
+        .withColumn("draw", F.explode(draws(F.col("choices"), per_employee)))
         .withColumn("slot", F.pmod(F.col("employee_id") + F.col("draw"), F.col("choices")))
     )
     return (
-        draws.join(slots, ["department_id", "slot"])
+        drawn.join(slots, ["department_id", "slot"])
         .join(
             employee_projects.select("employee_id", "project_id"),
             ["employee_id", "project_id"],

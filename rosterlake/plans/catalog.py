@@ -588,6 +588,7 @@ def t10_assign_skills(f: Fixtures) -> DataFrame:
         f.employee_skills,
         ["ECONOMY", "PROMO"],
         ["_1", "_20"],
+        per_employee=5,
     )
 
 

@@ -905,16 +905,19 @@ BODIES: dict[str, str] = {
                     ELSE CAST({_position_rules_sql()} AS BIGINT) END AS position_id
         FROM doubled JOIN {NAMED_DEPARTMENTS} USING (department_id)""",
     "t10_assign_skills": """
+        WITH slots AS (
+            SELECT skill_id, row_number() OVER (ORDER BY skill_id % 64, skill_id) - 1 AS slot,
+                   count(*) OVER () AS choices
+            FROM skills WHERE category IN ('ECONOMY', 'PROMO'))
         SELECT e.employee_id, s.skill_id,
                CASE WHEN salary >= 150000 THEN 'expert' WHEN salary >= 100000 THEN 'advanced'
                     WHEN salary >= 70000 THEN 'intermediate' ELSE 'beginner' END
                    AS proficiency_level,
                salary >= 100000 AS certified
         FROM employees e
-        JOIN departments d ON d.department_id = e.department_id,
-             skills s
+        JOIN departments d ON d.department_id = e.department_id
+        JOIN slots s ON (slot - e.employee_id % choices + choices) % choices < 5
         WHERE (contains(department_name, '_1') OR contains(department_name, '_20'))
-          AND category IN ('ECONOMY', 'PROMO')
           AND NOT EXISTS (SELECT 1 FROM employee_skills es
                           WHERE es.employee_id = e.employee_id AND es.skill_id = s.skill_id)""",
     "t11_assign_projects": """
