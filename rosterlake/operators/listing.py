@@ -139,7 +139,10 @@ def search_employees(
         holders = held.filter(F.col("skill_id").isin(list(skill_ids)))
         found = found.join(holders.select("employee_id").distinct(), "employee_id", "left_semi")
     if narrowed:
-        held = held.join(found.select("employee_id"), "employee_id", "left_semi")
+        # The new partitioning lets the join split an employee with very many rows.
+        held = held.join(found.select("employee_id"), "employee_id", "left_semi").repartition(
+            "employee_id", "skill_id"
+        )
     gathered = (
         held.distinct()
         .join(skills.select("skill_id", "skill_name"), "skill_id")

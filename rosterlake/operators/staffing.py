@@ -112,11 +112,6 @@ def by_salary(steps: Sequence[tuple[int, str]], otherwise: str) -> Column:
     return chosen
 
 
-# Skill level and certification by salary.
-SKILL_STEPS = [(150_000, "expert"), (100_000, "advanced"), (70_000, "intermediate")]
-CERTIFIED_FROM = 100_000
-
-
 def numbered_in_group(df: DataFrame, group: str, key: str, parts: int) -> DataFrame:
     """Adds ``slot`` 0, 1, 2 … within each group and ``group_size``, without one task per group.
 
@@ -152,6 +147,11 @@ def draws(choices: Column, per_employee: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
 
 
+# Skill level and certification by salary.
+SKILL_STEPS = [(150_000, "expert"), (100_000, "advanced"), (70_000, "intermediate")]
+CERTIFIED_FROM = 100_000
+
+
 def assign_skills(
     employees: DataFrame,
     departments: DataFrame,
@@ -160,7 +160,7 @@ def assign_skills(
     categories: Sequence[str],
     department_parts: Sequence[str],
     per_employee: int = 1,
-    parts: int = 64,
+    parts: int = 61,
 ) -> DataFrame:
     """New skill rows: matching departments' staff draw skills of the categories.
 
@@ -207,7 +207,7 @@ def assign_projects(
     projects: DataFrame,
     employee_projects: DataFrame,
     per_employee: int = 1,
-    parts: int = 64,
+    parts: int = 61,
 ) -> DataFrame:
     """New assignments: everyone draws projects of the own department.
 

@@ -906,7 +906,7 @@ BODIES: dict[str, str] = {
         FROM doubled JOIN {NAMED_DEPARTMENTS} USING (department_id)""",
     "t10_assign_skills": """
         WITH slots AS (
-            SELECT skill_id, row_number() OVER (ORDER BY skill_id % 64, skill_id) - 1 AS slot,
+            SELECT skill_id, row_number() OVER (ORDER BY skill_id % 61, skill_id) - 1 AS slot,
                    count(*) OVER () AS choices
             FROM skills WHERE category IN ('ECONOMY', 'PROMO'))
         SELECT e.employee_id, s.skill_id,
@@ -923,7 +923,7 @@ BODIES: dict[str, str] = {
     "t11_assign_projects": """
         WITH slots AS (
             SELECT *, row_number() OVER (PARTITION BY department_id
-                                         ORDER BY project_id % 64, project_id) - 1 AS slot,
+                                         ORDER BY project_id % 61, project_id) - 1 AS slot,
                    count(*) OVER (PARTITION BY department_id) AS choices
             FROM projects)
         SELECT e.employee_id, project_id,
