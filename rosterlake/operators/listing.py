@@ -214,12 +214,16 @@ def filtered_orders(
     date_column: str,
     start,
     end,
+    key: str,
 ) -> DataFrame:
-    """Orders of a status within a period with their customer, newest first."""
+    """Orders of a status within a period with their customer, newest first.
+
+    ``key`` settles the order within a date, and lets the sort split a busy one.
+    """
     chosen = orders.filter(
         (F.col(status_column) == status) & F.col(date_column).between(start, end)
     )
-    return chosen.join(customers, on).orderBy(desc(date_column))
+    return chosen.join(customers, on).orderBy(desc(date_column), asc(key))
 
 
 def open_set(name: str, table: DataFrame, since: datetime | None = None) -> DataFrame:

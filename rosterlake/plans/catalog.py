@@ -270,6 +270,7 @@ def q10_filtered_orders(f: Fixtures) -> DataFrame:
         "o_orderdate",
         date(1997, 1, 1),
         date(1997, 12, 31),
+        "o_orderkey",
     ).select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice", "c_name")
 
 
