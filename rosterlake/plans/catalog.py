@@ -839,10 +839,28 @@ def c5_partial_unique(f: Fixtures) -> DataFrame:
 
 @query
 def c6_request_errors(f: Fixtures) -> DataFrame:
-    dirty = Dirty(f).tables["employees"]
-    return quality.request_errors("employee", dirty, AS_OF).filter("size(errors) > 0").select(
-        "employee_id", "errors"
-    )
+    dirty = Dirty(f).tables
+    raises = f.employees.selectExpr(
+        "employee_id", "cast(employee_id % 120 - 10 as decimal(5,2)) AS percent"
+    )
+    requests = {
+        "employee": (dirty["employees"], "employee_id"),
+        "department": (dirty["departments"], "department_id"),
+        "position": (dirty["positions"], "position_id"),
+        "project": (dirty["projects"], "project_id"),
+        "vacation": (dirty["vacations"], "vacation_id"),
+        "salary_change": (dirty["salary_history"], "salary_change_id"),
+        "raise": (raises, "employee_id"),
+    }
+    result = None
+    for kind, (rows, key) in requests.items():
+        part = (
+            quality.request_errors(kind, rows, AS_OF)
+            .filter("size(errors) > 0")
+            .select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "errors")
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 # Streams

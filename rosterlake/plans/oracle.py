@@ -381,11 +381,36 @@ EMPLOYEE_CHECKS = {
     "check birth_date": CHECK_SQL["employees", "birth_date"],
     "not null first_name": "first_name IS NOT NULL",
 }
+# Per kind of request: table, key, and the checks its broken values can fail.
 REQUEST_CHECKS = {
-    "first_name_length": "coalesce(length(first_name) BETWEEN 1 AND 100, false)",
-    "email_format": CHECK_SQL["employees", "email_format"],
-    "hire_date": CHECK_SQL["employees", "hire_date"],
-    "salary": "salary > 0",
+    "employee": (
+        "bad_employees",
+        "employee_id",
+        {
+            "first_name_length": "coalesce(length(first_name) BETWEEN 1 AND 100, false)",
+            "email_format": CHECK_SQL["employees", "email_format"],
+            "hire_date": CHECK_SQL["employees", "hire_date"],
+            "salary": "salary > 0",
+        },
+    ),
+    "department": ("bad_departments", "department_id", {"budget": "budget >= 0"}),
+    "position": (
+        "bad_positions",
+        "position_id",
+        {"range": "base_salary_max >= base_salary_min"},
+    ),
+    "project": (
+        "bad_projects",
+        "project_id",
+        {"budget": "budget >= 0", "dates": "end_date >= start_date"},
+    ),
+    "vacation": ("bad_vacations", "vacation_id", {"dates": "end_date >= start_date"}),
+    "salary_change": ("bad_salary_history", "salary_change_id", {"new_salary": "new_salary > 0"}),
+    "raise": (
+        "(SELECT employee_id, employee_id % 120 - 10 AS percent FROM employees)",
+        "employee_id",
+        {"percent": "percent > 0 AND percent <= 100"},
+    ),
 }
 
 
@@ -1034,9 +1059,11 @@ BODIES: dict[str, str] = {
     "c5_partial_unique": """
         SELECT phone, count(*) AS held FROM employees
         WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
-    "c6_request_errors": f"""
-        SELECT employee_id, {_broken_list(REQUEST_CHECKS)} AS errors
-        FROM bad_employees WHERE {_broken_list(REQUEST_CHECKS)} <> ''""",
+    "c6_request_errors": "\nUNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {key} AS id, {_broken_list(checks)} AS errors "
+        f"FROM {source} WHERE {_broken_list(checks)} <> ''"
+        for kind, (source, key, checks) in REQUEST_CHECKS.items()
+    ),
     "x1_stream_audit": """
         SELECT * REPLACE (strftime(changed_at, '%Y-%m-%d %H:%M:%S.%f') AS changed_at)
         FROM audit_log""",
