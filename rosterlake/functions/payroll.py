@@ -285,10 +285,25 @@ def department_utilization(departments: DataFrame, employees: DataFrame) -> Data
     )
 
 
+def year_before(day: date) -> date:
+    """The same day a year earlier; 28 February for a leap day."""
+    if (day.month, day.day) == (2, 29):
+        return date(day.year - 1, 2, 28)
+    return day.replace(year=day.year - 1)
+
+
 def hr_statistics(
-    employees: DataFrame, departments: DataFrame, start: date, end: date
+    employees: DataFrame,
+    departments: DataFrame,
+    as_of: date,
+    start: date | None = None,
+    end: date | None = None,
 ) -> DataFrame:
-    """The four metrics; hires and their pay come out of one scan."""
+    """The four metrics over a period, the last year unless given.
+
+    Hires and their pay come out of one scan.
+    """
+    start, end = start or year_before(as_of), end or as_of
     hires = _hires_by_month(employees, start, end).select(
         F.inline(F.array(_hires_metric(), _pay_metric()))
     )
@@ -298,13 +313,14 @@ def hr_statistics(
 
 
 def vacation_days(
-    vacations: DataFrame, year: int, as_of: date, employee_id: int | None = None
+    vacations: DataFrame, as_of: date, year: int | None = None, employee_id: int | None = None
 ) -> DataFrame:
     """Leave taken, planned and left per employee and type, with a total row.
 
     A type taken in another year still shows with 0 days. For one employee
     without any leave the total row shows the full entitlement.
     """
+    year = year or as_of.year
     leave = vacations.filter(F.col("status").isin("taken", "approved"))
     if employee_id is not None:
         leave = leave.filter(F.col("employee_id") == employee_id)

@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.tables import SCHEMAS
 
@@ -212,60 +213,64 @@ def _exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array_compact(F.array(*entries))))
 
 
-def _with_zeros(
+def _named(
     counted: DataFrame, spark: SparkSession, lines: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """One line per constraint, 0 where nothing was counted."""
-    zeros = spark.createDataFrame(
-        [(table, name, 0) for table, name in lines],
-        "table_name STRING, constraint_name STRING, violations BIGINT",
+    """Counts per line number under the names of the lines, 0 where nothing was counted."""
+    names = spark.createDataFrame(
+        [(number, table, name) for number, (table, name) in enumerate(lines)],
+        "line INT, table_name STRING, constraint_name STRING",
     )
-    return (
-        counted.unionByName(zeros)
-        .groupBy("table_name", "constraint_name")
-        .agg(F.sum("violations").alias("violations"))
+    return names.join(counted, "line", "left").select(
+        "table_name",
+        "constraint_name",
+        F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
     )
 
 
+def _key_fields(df: DataFrame, key: Sequence[str], width: int) -> list[Column]:
+    """The columns of a key in typed places: texts apart from whole numbers."""
+    texts = [c for c in key if isinstance(df.schema[c].dataType, StringType)]
+    wholes = [c for c in key if c not in texts]
+    fields = []
+    for place in range(width):
+        text = F.col(texts[place]) if place < len(texts) else F.lit(None).cast("string")
+        whole = F.col(wholes[place]) if place < len(wholes) else F.lit(None)
+        fields += [text.alias(f"text_{place}"), whole.cast("long").alias(f"whole_{place}")]
+    return fields
+
+
 def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Number of keys held more than once, per unique key.
 
     The keys of all constraints go through one shuffle, every table is read once.
     """
     keys = [(t, k, "true") for t, k in UNIQUE_KEYS] + PARTIAL_UNIQUE_KEYS
+    width = max(len(k) for _, k, _ in keys)
     lines, parts = [], []
     for table, df in tables.items():
         entries = []
         for owner, key, condition in keys:
             if owner != table:
                 continue
-            name = f"unique {', '.join(key)}"
-            name += f" where {condition}" if condition != "true" else ""
-            lines.append((table, name))
             present = F.expr(condition)
             for column in key:
                 present = present & F.col(column).isNotNull()
-            entries.append(
-                F.when(
-                    present,
-                    F.struct(
-                        F.lit(table).alias("table_name"),
-                        F.lit(name).alias("constraint_name"),
-                        F.array(*[F.col(c).cast("string") for c in key]).alias("key"),
-                    ),
-                )
-            )
+            line = F.lit(len(lines)).alias("line")
+            entries.append(F.when(present, F.struct(line, *_key_fields(df, key, width))))
+            name = f"unique {', '.join(key)}"
+            lines.append((table, name if condition == "true" else f"{name} where {condition}"))
         if entries:
             parts.append(_exploded(df, entries))
+    stacked = _stack(parts)
     counted = (
-        _stack(parts)
-        .groupBy("table_name", "constraint_name", "key")
+        stacked.groupBy(*stacked.columns)
         .agg(F.count("*").alias("held"))
         .filter("held > 1")
-        .groupBy("table_name", "constraint_name")
+        .groupBy("line")
         .agg(F.count("*").alias("violations"))
     )
-    return _with_zeros(counted, parts[0].sparkSession, lines)
+    return _named(counted, stacked.sparkSession, lines)
 
 
 def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
@@ -274,42 +279,44 @@ def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
     References are reduced to distinct values with a count, then meet the keys of
     all parents in one join: every child and every parent is read once.
     """
-    lines, parts, parents = [], [], {}
+    parents = {p: k for _, _, p, k in REFERENCES if p in tables}
+    numbers = {parent: number for number, parent in enumerate(parents)}
+    lines, parts = [], []
     for table, df in tables.items():
         entries = []
-        for owner, column, parent, key in REFERENCES:
+        for owner, column, parent, _ in REFERENCES:
             if owner != table or parent not in tables:
                 continue
-            lines.append((table, f"foreign key {column}"))
-            parents[parent] = key
             entries.append(
                 F.when(
                     F.col(column).isNotNull(),
                     F.struct(
-                        F.lit(table).alias("table_name"),
-                        F.lit(f"foreign key {column}").alias("constraint_name"),
-                        F.lit(parent).alias("parent"),
+                        F.lit(len(lines)).alias("line"),
+                        F.lit(numbers[parent]).alias("parent"),
                         F.col(column).cast("long").alias("value"),
                     ),
                 )
             )
+            lines.append((table, f"foreign key {column}"))
         if entries:
             parts.append(_exploded(df, entries))
     held = (
-        _stack(parts)
-        .groupBy("table_name", "constraint_name", "parent", "value")
-        .agg(F.count("*").alias("violations"))
+        _stack(parts).groupBy("line", "parent", "value").agg(F.count("*").alias("rows"))
     )
     known = _stack(
         [
             tables[parent].select(
-                F.lit(parent).alias("parent"), F.col(key).cast("long").alias("value")
+                F.lit(numbers[parent]).alias("parent"), F.col(key).cast("long").alias("value")
             )
             for parent, key in parents.items()
         ]
     )
-    lost = held.join(known, ["parent", "value"], "left_anti").drop("parent", "value")
-    return _with_zeros(lost, held.sparkSession, lines)
+    counted = (
+        held.join(known, ["parent", "value"], "left_anti")
+        .groupBy("line")
+        .agg(F.sum("rows").alias("violations"))
+    )
+    return _named(counted, held.sparkSession, lines)
 
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:

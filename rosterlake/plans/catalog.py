@@ -471,12 +471,12 @@ def f6d_department_utilization(f: Fixtures) -> DataFrame:
 
 @query
 def f6_hr_statistics(f: Fixtures) -> DataFrame:
-    return payroll.hr_statistics(f.employees, f.departments, YEAR_AGO, AS_OF)
+    return payroll.hr_statistics(f.employees, f.departments, AS_OF)
 
 
 @query
 def f8_vacation_days(f: Fixtures) -> DataFrame:
-    return payroll.vacation_days(f.vacations, 1999, AS_OF)
+    return payroll.vacation_days(f.vacations, AS_OF)
 
 
 @query
