@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import license_scan, source_mix, substring_lines
+from rosterlake.llm import bpe_automaton, license_scan, source_mix, substring_lines
 
 QUERIES = {
+    "op5_bpe": bpe_automaton.op5_bpe,
     "op7_source_mix": source_mix.op7_source_mix,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
