@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import bpe_automaton, license_scan, source_mix, substring_lines
+from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, source_mix, substring_lines
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op5_bpe": bpe_automaton.op5_bpe,
     "op7_source_mix": source_mix.op7_source_mix,
     "op9_license_scan": license_scan.op9_license_scan,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_line_dedup": substring_lines.ORACLE,
 }
