@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, source_mix, substring_lines
+from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, source_mix, substring_lines, suffix_dedup
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe_automaton.op5_bpe,
     "op7_source_mix": source_mix.op7_source_mix,
     "op9_license_scan": license_scan.op9_license_scan,
