@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, source_mix, substring_lines, suffix_dedup
+from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, ngram_join, source_mix, substring_lines, suffix_dedup
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe_automaton.op5_bpe,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_source_mix": source_mix.op7_source_mix,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_line_dedup": substring_lines.ORACLE,
 }
