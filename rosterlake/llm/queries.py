@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import bpe_automaton, embedding_dedup, license_scan, ngram_join, source_mix, substring_lines, suffix_dedup
+from rosterlake.llm import (
+    bpe_automaton,
+    embedding_dedup,
+    license_scan,
+    ngram_join,
+    source_mix,
+    substring_lines,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -10,6 +19,7 @@ QUERIES = {
     "op5_bpe": bpe_automaton.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
 }
