@@ -6,9 +6,9 @@ single letters set apart by blanks) become a lattice: each character may stand f
 looks like, or for nothing. Viterbi decoding under the trigram model picks the reading.
 
 The restored words are scored against evidence learned from labelled rows: words and word
-beginnings, by the lower bound of their log odds, found in one half of a bounded sample. A
-logistic regression over a document's strongest words, fitted on the other half, gives the
-score.
+beginnings, by the lower bound of their log odds in a bounded sample. A logistic regression
+over a document's strongest words gives the score; it is fitted on rows of each half of the
+sample by the evidence of the other half.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import read_table, text_batches
+from rosterlake.llm.common import read_table, text_batches, write_and_read
 
 #: Labelled rows the classifier learns from, of either label; picked by a hash of doc_id.
 FIT_TOXIC, FIT_CLEAN = 4000, 6000
@@ -34,6 +34,8 @@ REMEMBERED = 500_000
 BEGINNINGS = (4, 5, 6)
 #: Evidence must have been seen in so many toxic documents.
 LEAST_SEEN = 3
+#: Lower bound of the log odds from which a word or beginning is evidence.
+LEAST_STRENGTH = 1.0
 
 _CLASSES = 64
 # Letters that digits and signs are used for.
@@ -214,7 +216,7 @@ class Scorer(dict):
         tokens = self.reader.tokens(text)
         strong = sorted((s for s in map(self.__getitem__, tokens) if s > 0), reverse=True)
         top = (strong + [0.0, 0.0, 0.0])[:3]
-        return [*top, math.log1p(len(strong)), math.log1p(len(tokens)) / 10]
+        return [*top, math.log1p(len(strong))]
 
     def score(self, text: str) -> float:
         if self.weights is None:
@@ -224,14 +226,13 @@ class Scorer(dict):
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights and intercept by Newton's method, both labels weighing the same."""
+    """Weights and intercept by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (share * (p - y)) + ridge * w
-        hessian = (x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        gradient = x.T @ (p - y) + ridge * w
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -239,7 +240,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def lower_log_odds(p: np.ndarray, n: np.ndarray, n_toxic: float, n_clean: float, z: float = 1.64) -> np.ndarray:
+def lower_log_odds(p: np.ndarray, n: np.ndarray, n_toxic: float, n_clean: float, z: float = 1.96) -> np.ndarray:
     """Lower confidence bound of how much more often toxic documents hold a feature."""
     odds = np.log((p + 0.5) / (n_toxic + 1)) - np.log((n + 0.5) / (n_clean + 1))
     return odds - z * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) * (n > 0))
@@ -249,21 +250,24 @@ def _feature_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
                 words = {w for t in reader.tokens(text or "") for w in reader[t]}
                 found = sorted({f for w in words for f in features(w)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.string()), pa.array([int(toxic)] * len(found), pa.int32())], names=["feature", "toxic"]
-                )
+                numbers = [pa.array([x] * len(found), pa.int32()) for x in (toxic, half)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *numbers], names=["feature", "toxic", "half"])
 
     return run
 
 
 def _summaries(shared):
+    """Strongest words of each sample row, by what the other half of the sample says."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        model, evidence = shared.value
+        scorers = [Scorer(model, evidence[1 - half], None, 0.0) for half in (0, 1)]
         for batch in batches:
-            rows = [scorer.summary(t or "") for t in batch.column("text").to_pylist()]
+            texts, halves = batch.column("text").to_pylist(), batch.column("half").to_pylist()
+            rows = [scorers[half].summary(t or "") for t, half in zip(texts, halves, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["summary", "toxic"]
             )
@@ -274,7 +278,8 @@ def _summaries(shared):
 def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> tuple:
     """(trigram model, evidence, weights, base rate) from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Without rows of both labels the score is the share of toxic ones, 0 if none is labelled.
+    Without rows of both labels in both halves of the sample the score is the share of
+    toxic ones, 0 if none is labelled.
     """
     spark = docs.sparkSession
     model = trigram_model(docs)
@@ -288,31 +293,39 @@ def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clea
     )
     # At most FIT_TOXIC + FIT_CLEAN pairs of numbers are broadcast.
     sample = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("its"), "toxic")), F.col("doc_id") == F.col("its"))
-    sample = sample.select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(order, F.lit(2)) == 0).alias("half"))
-    first, second = sample.filter("half").select("text", "toxic"), sample.filter("not half").select("text", "toxic")
+    sample = write_and_read(
+        sample.select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(order, F.lit(2)).cast("int").alias("half")),
+        "toxicity_sample",
+    )
+    sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
+    known = sum(sizes.values())
+    base = sum(n for (_, toxic), n in sizes.items() if toxic) / known if known else 0.0
+    if len(sizes) < 4:
+        return model, {}, None, base
     shared = spark.sparkContext.broadcast(model)
-    sizes = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
+    rows = sample.mapInArrow(_feature_rows(shared), "feature string, toxic int, half int")
     counted = (
-        first.mapInArrow(_feature_rows(shared), "feature string, toxic int")
-        .groupBy("feature")
-        .agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-        .filter(F.col("p") >= LEAST_SEEN)
+        rows.groupBy("feature")
+        .agg(
+            *[F.sum(F.when(F.col("half") == h, F.col("toxic")).otherwise(0)).alias(f"p{h}") for h in (0, 1)],
+            *[F.sum(F.when(F.col("half") == h, 1 - F.col("toxic")).otherwise(0)).alias(f"n{h}") for h in (0, 1)],
+        )
+        .filter(F.col("p0") + F.col("p1") >= LEAST_SEEN)
         .toPandas()
     )
-    strength = lower_log_odds(
-        counted["p"].to_numpy(float), counted["n"].to_numpy(float), sizes.get(1, 0), sizes.get(0, 0)
-    )
-    evidence = {f: float(s) for f, s in zip(counted["feature"], strength, strict=True) if s > 0.5}
-    shared = spark.sparkContext.broadcast((model, evidence, None, 0.0))
-    rows = second.mapInArrow(_summaries(shared), "summary array<double>, toxic int").toPandas()
-    y = rows["toxic"].to_numpy(float)
-    known = len(y) + sum(sizes.values())
-    base = (float(y.sum()) + sizes.get(1, 0)) / known if known else 0.0
-    if not len(y) or y.min() == y.max() or len(sizes) < 2:
-        return model, evidence, None, base
-    x = np.array(rows["summary"].tolist())
+
+    def evidence(*halves: int) -> dict[str, float]:
+        p, n = (sum(counted[f"{c}{h}"].to_numpy(float) for h in halves) for c in "pn")
+        toxic, clean = (sum(sizes[h, label] for h in halves) for label in (1, 0))
+        strength = lower_log_odds(p, n, toxic, clean)
+        strong = (p >= LEAST_SEEN) & (strength > LEAST_STRENGTH)
+        return dict(zip(counted["feature"][strong], strength[strong].tolist(), strict=True))
+
+    shared = spark.sparkContext.broadcast((model, (evidence(0), evidence(1))))
+    got = sample.mapInArrow(_summaries(shared), "summary array<double>, toxic int").toPandas()
+    y, x = got["toxic"].to_numpy(float), np.array(got["summary"].tolist())
     order = np.lexsort((*x.T, y))  # sums do not depend on the order rows arrive in
-    return model, evidence, fit_logistic(x[order], y[order]), base
+    return model, evidence(0, 1), fit_logistic(x[order], y[order]), base
 
 
 def _score(shared):
