@@ -5,6 +5,7 @@ from __future__ import annotations
 from rosterlake.llm import (
     bpe_automaton,
     embedding_dedup,
+    language_id,
     license_scan,
     ngram_join,
     source_mix,
@@ -15,6 +16,7 @@ from rosterlake.llm import (
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_language_id": language_id.op2_language_id,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe_automaton.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
