@@ -27,7 +27,7 @@ MOST_COUNTED = 255
 #: Stands for a NULL doc_id, which so comes before all others.
 NO_ID = np.iinfo(np.int64).min
 
-_SCHEMA = "block long, n_bytes long, ids binary, lengths binary, texts binary"
+_SCHEMA = "block long, n_bytes long, ids binary, lengths binary, texts binary, carried binary"
 
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -40,6 +40,18 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _carry(columns: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns.schema) as stream:
+        stream.write_batch(columns)
+    return pack(sink.getvalue().to_pybytes())
+
+
+def carried(block: dict) -> pa.Table:
+    """The further columns of the rows in a block."""
+    return pa.ipc.open_stream(unpack(block["carried"])).read_all()
+
+
 def _fill(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -55,8 +67,9 @@ def _fill(block_bytes: int):
                         pa.array([ids.tobytes()]),
                         pa.array([np.diff(offsets).astype("<i8").tobytes()]),
                         pa.array([pack(data.tobytes())]),
+                        pa.array([_carry(part.drop_columns(["text", "doc_id"]))], pa.binary()),
                     ],
-                    names=["block", "n_bytes", "ids", "lengths", "texts"],
+                    names=["block", "n_bytes", "ids", "lengths", "texts", "carried"],
                 )
                 number += 1
 
@@ -64,8 +77,11 @@ def _fill(block_bytes: int):
 
 
 def make_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``rows(doc_id, text)``, written to the shared folder. NULL texts become empty."""
-    typed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Blocks of ``rows(doc_id, text, …)``, written to the shared folder.
+
+    NULL texts become empty; other columns are carried along as they are.
+    """
+    typed = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     return write_and_read(typed.mapInArrow(_fill(block_bytes), _SCHEMA), "blocks")
 
 

@@ -231,16 +231,19 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[id(shared.value)]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
+
+
 def _encode_column(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = [encoder.encode(t or "").tolist() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
-                )
+                ids = [encoder.encode(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
 
     return run
 
@@ -255,22 +258,23 @@ def _decode_column(shared):
     return run
 
 
-def _digest_column(shared):
+def _digest_column(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, coded, decoded = [], [], []
+                all_ids, coded, decoded = [], [], []
                 for text in part.column("text"):
                     ids = encoder.encode(text.as_py() or "")
-                    counts.append(len(ids))
+                    all_ids.append(ids)
                     coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     decoded.append(hashlib.sha256(encoder.automaton.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = [part.column("doc_id"), pa.array([len(x) for x in all_ids], pa.int64()), pa.array(coded), pa.array(decoded)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, _lists(all_ids)], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -300,12 +304,16 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(_decode_column(shared), "doc_id long, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them."""
+def digests(
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Per row doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them.
+
+    With ``with_ids`` the ids too, so that texts are encoded once for both.
+    """
     shared = _shared(docs.sparkSession, vocabulary)
-    return _named(docs, doc_id, text).mapInArrow(
-        _digest_column(shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _named(docs, doc_id, text).mapInArrow(_digest_column(shared, with_ids), schema)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

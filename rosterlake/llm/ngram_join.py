@@ -453,6 +453,12 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (with doc_id and text), all its columns, with one document of each group: the smallest doc_id."""
+    found = near_duplicates(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(write_and_read(found, "near_copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 

@@ -44,8 +44,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
             sizes = total[offsets[1:]] - total[offsets[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64())],
-                names=["doc_id", "source", "size"],
+                [part.column(c) for c in ("doc_id", "row", "source")] + [pa.array(sizes, pa.int64())],
+                names=["doc_id", "row", "source", "size"],
             )
 
 
@@ -135,7 +135,7 @@ def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
 def _settle(level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # Rows that tie are equal in all that counts, so their order does not matter.
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last")
+        rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="last")
         rows = rows.reset_index(drop=True)
         sizes = rows["size"].to_numpy(np.int64)
         x = flight(sizes, rows["chance"].to_numpy(float), (level, str(key[0]), int(key[1])))
@@ -146,7 +146,7 @@ def _settle(level: int):
     return run
 
 
-_UNIT = "doc_id long, source string, size long, source_size long, target double, whole int, chance double"
+_UNIT = "doc_id long, row long, source string, size long, source_size long, target double, whole int, chance double"
 
 
 def mix(
@@ -156,21 +156,24 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
+    row: str | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """Per row of ``docs``: doc_id, row, source, size, source_size, target, copies, taken.
 
     ``copies`` (0 to ``most``) is how often the mix takes the row, ``taken`` = copies x size.
     A NULL or empty text has size 0 and costs nothing to take; a NULL source is a source of
     its own, the last. If all sizes are 0, so are all targets. Rows that share a doc_id are
-    separate units. Nothing depends on partitioning or on chance, so reruns agree.
+    separate units; ``row`` names a column of numbers that tells them apart in the result.
+    Nothing depends on partitioning or on chance, so reruns agree.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
+        (F.col(row) if row else F.lit(None)).cast("long").alias("row"),
         F.col(text).alias("text"),
     )
     sizes = write_and_read(
-        rows.mapInArrow(_count_words, "doc_id long, source string, size long"), "mix_sizes"
+        rows.mapInArrow(_count_words, "doc_id long, row long, source string, size long"), "mix_sizes"
     )
     wanted = write_and_read(targets(sizes, weights, most), "mix_targets")
     # A source's row count never decides what is drawn where; only the number of blocks follows it.
@@ -206,11 +209,20 @@ def mix(
     for more in done[1:]:
         result = result.unionByName(more)
     copies = (F.col("whole") + F.round("chance").cast("int")).alias("copies")
-    return result.select("doc_id", "source", "size", "source_size", "target", copies).withColumn(
+    return result.select("doc_id", "row", "source", "size", "source_size", "target", copies).withColumn(
         "taken", F.col("copies") * F.col("size")
     )
 
 
+def resample(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of ``docs`` (doc_id, text, source, …) as often as they are taken."""
+    numbered = write_and_read(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix_rows")
+    taken = mix(numbered, row="mix_row").filter("copies > 0").select("row", "copies")
+    found = numbered.join(taken, F.col("mix_row") == F.col("row"))
+    repeated = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*docs.columns)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")

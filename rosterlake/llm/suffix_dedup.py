@@ -27,12 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rosterlake.llm.blocks import (
     NO_ID,
     block_content,
     bucket_count,
     by_bucket,
+    carried,
     counts_told,
     document_counts,
     make_blocks,
@@ -304,9 +306,6 @@ def _merge(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": table["block"], "payload": out})
 
 
-_RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-
-
 def covered(size: int, marks: list[bytes]) -> np.ndarray:
     """Bytes that a marked string covers."""
     starts = np.zeros(size + 1, np.int32)
@@ -318,23 +317,31 @@ def covered(size: int, marks: list[bytes]) -> np.ndarray:
     return before[1:] > before[np.maximum(np.arange(size) + 1 - LENGTH, 0)]
 
 
-def _cut(key: tuple, block: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    if not len(block):
-        return pd.DataFrame({"doc_id": [], "n_bytes": [], "spans": [], "kept": []})
-    ids, data, offsets = block_content(block.iloc[0])
-    gone = covered(len(data), list(marks["payload"]))
-    out = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(block: pa.Table, marks: pa.Table) -> pa.Table:
+    """A block and the marks for it -> a row per document, further columns included."""
+    row = block.to_pylist()[0]
+    ids, data, offsets = block_content(row)
+    gone = covered(len(data), marks.column("payload").to_pylist())
+    spans, kept = [], []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         edges = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-        out["doc_id"].append(None if ids[i] == NO_ID else int(ids[i]))
-        out["n_bytes"].append(int(b - a))
-        out["spans"].append([{"start": int(x), "end": int(y)} for x, y in edges])
-        out["kept"].append(data[a:b][~gone[a:b]].tobytes())
-    return pd.DataFrame(out).astype({"doc_id": "Int64"})
+        spans.append([{"start": int(x), "end": int(y)} for x, y in edges])
+        kept.append(data[a:b][~gone[a:b]].tobytes())
+    out = {
+        "doc_id": pa.array(ids, mask=ids == NO_ID),
+        "n_bytes": pa.array(np.diff(offsets)),
+        "spans": pa.array(spans, _SPANS),
+        "kept": pa.array(kept, pa.binary()),
+    }
+    more = carried(row)
+    return pa.table(out | {c: more.column(c) for c in more.column_names})
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, spans, kept.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, spans, kept, and the columns named in ``carry``.
 
     A byte is removed if a string of LENGTH bytes that covers it also starts in a document
     with a smaller doc_id, judged on the input. ``spans`` are the maximal removed runs of
@@ -343,13 +350,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     NULL and empty texts have 0 bytes. A NULL doc_id is smaller than any other. Rows that
     share a doc_id are documents of their own, none smaller than the other, so they do not
-    remove each other. Other columns are ignored.
+    remove each other. Columns that are not named are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry)
     blocks = make_blocks(rows)
     buckets, merge_buckets = bucket_count(blocks), bucket_count(blocks, MERGE_BYTES)
     told = document_counts(blocks, _anchor_features, buckets)
-    by_block = blocks.groupBy("block")
+    by_block = blocks.drop("carried").groupBy("block")
     asked = by_block.cogroup(told.groupBy("block")).applyInPandas(
         _ask(buckets, merge_buckets), "bucket int, block long, payload binary"
     )
@@ -358,7 +365,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     marks = asked.select(deal.alias("bucket"), "block", "payload").groupBy("bucket").applyInPandas(
         _merge, "block long, payload binary"
     )
-    return by_block.cogroup(marks.groupBy("block")).applyInPandas(_cut, _RESULT)
+    result = StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    for c in carry:
+        result = result.add(rows.schema[c])
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut, result)
+
+
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x.decode("utf-8", "ignore") for x in batch.column("text").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def shorten(docs: DataFrame) -> DataFrame:
+    """``docs`` (with doc_id and text), all its columns, without the repeats in its texts.
+
+    What is left of a character cut in two is dropped; ``n_chars``, if there, is counted anew.
+    A text that is removed entirely stays as an empty one.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(docs, carry=others).withColumnRenamed("kept", "text").select("doc_id", "text", *others)
+    out = cut.mapInArrow(_readable, StructType([f if f.name != "text" else docs.schema["text"] for f in cut.schema]))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
