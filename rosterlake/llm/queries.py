@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rosterlake.llm import (
+    adaptive_scan,
     bpe_automaton,
     embedding_dedup,
     language_id,
@@ -17,6 +18,7 @@ from rosterlake.llm import (
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op3_adaptive_scan": adaptive_scan.op3_adaptive_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe_automaton.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
