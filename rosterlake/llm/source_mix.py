@@ -6,7 +6,7 @@ probabilities of a few documents at a time move along the null space of the bala
 constraints (words and documents taken), so both totals stay as they are while one
 probability after the other becomes 0 or 1. At most two per block stay open; these meet in
 blocks of their own, round after round, until one block a source is left, whose last two
-are rounded to the nearest total ("landing"). Blocks go by a hash of doc_id and hold some
+are rounded to the nearest total, and the gap that leaves is filled ("landing"). Blocks go by a hash of doc_id and hold some
 thousand rows, so a source with most of the rows is spread over as many tasks as it needs.
 Within a block long documents are settled first, so that the open ones are short.
 """
@@ -118,17 +118,28 @@ def flight(sizes: np.ndarray, chances: np.ndarray, seed: object) -> np.ndarray:
     return x
 
 
-def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Round the last open units (two at most) to the nearest total size, then the nearest count."""
+def landing(sizes: np.ndarray, chances: np.ndarray, open_before: np.ndarray) -> np.ndarray:
+    """Round the last open units (two at most) to the nearest total size, then the nearest count.
+
+    A long document that is left open can miss the total by half its size. So the rest of
+    the gap is filled by turning over units that were open before the flight, the longest
+    that fits first: words come near their total, and documents give way a little.
+    """
     x = chances.copy()
     open_ = np.flatnonzero((x > 0) & (x < 1))
-    if len(open_) == 0:
-        return x
     words, count = float(sizes[open_] @ x[open_]), float(x[open_].sum())
-    x[open_] = min(
-        product((0.0, 1.0), repeat=len(open_)),
-        key=lambda c: (abs(float(sizes[open_] @ np.array(c)) - words), abs(sum(c) - count), c),
-    )
+    if len(open_):
+        x[open_] = min(
+            product((0.0, 1.0), repeat=len(open_)),
+            key=lambda c: (abs(float(sizes[open_] @ np.array(c)) - words), abs(sum(c) - count), c),
+        )
+    missing = words - float(sizes[open_] @ x[open_])
+    able = np.setdiff1d(np.flatnonzero(open_before), open_)
+    for j in able[np.argsort(-sizes[able], kind="stable")]:
+        gain = float(sizes[j]) * (1 - 2 * x[j])
+        if abs(missing - gain) < abs(missing):
+            x[j] = 1 - x[j]
+            missing -= gain
     return x
 
 
@@ -140,7 +151,8 @@ def _settle(level: int):
         sizes = rows["size"].to_numpy(np.int64)
         x = flight(sizes, rows["chance"].to_numpy(float), (level, str(key[0]), int(key[1])))
         if rows["blocks"].iloc[0] == 1:
-            x = landing(sizes, x)
+            chance = rows["chance"].to_numpy(float)
+            x = landing(sizes, x, (chance > 0) & (chance < 1))
         return rows.assign(chance=x)
 
     return run
