@@ -51,7 +51,7 @@ WIDTH = REACH + LENGTH
 #: Rows of a shard whose transform is built on its own.
 SHARD_ROWS = 8192
 #: Text whose runs fill a merging bucket.
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 8 << 20
 #: Positions hashed at a time.
 _SLICE = 1 << 17
 
