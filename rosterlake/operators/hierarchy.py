@@ -1,13 +1,9 @@
 """Reporting lines: the whole tree, one manager's people, and loops.
 
-Two ways of walking, both safe on loops and without a depth limit:
-
-* The whole tree is resolved by jumping. Every row keeps a pointer to its
-  farthest known superior and the path from there; each round a row takes over
-  the pointer of the row it points to, so a line of n levels takes log2(n)
-  rounds instead of n.
-* One manager's people are found level by level, because that reads only the
-  key columns and joins a frontier that is usually small.
+Lines are resolved by jumping, safe on loops and without a depth limit. Every row keeps a
+pointer to its farthest known superior and the path from there; each round a row takes over
+the pointer of the row it points to, so a line of n levels takes log2(n) rounds instead of
+n. One manager's people are the rows whose line ends at that manager.
 
 Each round is written out, which keeps plans short, survives lost executors and
 lets the planner choose the join from the true size of what was written.
@@ -114,37 +110,27 @@ def employee_hierarchy(
     return arranged(tree, ordered, asc("reporting_path"), asc("employee_id"))
 
 
-def _descend(edges: DataFrame, manager_id: int, first: DataFrame, grow: dict[str, Column]):
-    """Levels below a manager, each written and read back.
+def _below(edges: DataFrame, manager_id: int, *carried: Column) -> DataFrame:
+    """Everyone of ``edges(employee_id, manager_id, …)`` whose line leads to a manager, with the level.
 
-    ``edges`` holds ``employee_id`` and ``manager_id`` besides what ``grow``
-    reads; ``grow`` computes a child's columns, the parent's carrying ``up_``.
-    Every employee has one manager, so the only way to meet a row again is
-    through the manager the walk started from.
+    The manager is where lines end, so direct reports are the roots, and whoever's line
+    ends elsewhere, or never, is left out.
     """
-    reached = None
-    frontier = write_and_read(first, "level")
-    below = edges.filter(F.col("employee_id") != manager_id)
-    while not frontier.isEmpty():
-        reached = frontier if reached is None else reached.unionByName(frontier)
-        parents = frontier.select(
-            F.col("employee_id").alias("manager_id"),
-            *[F.col(c).alias(f"up_{c}") for c in grow],
-        )
-        children = below.join(parents, "manager_id").select(
-            "employee_id", *[column.alias(name) for name, column in grow.items()]
+    start = edges.filter(F.col("manager_id").isNotNull() & (F.col("employee_id") != manager_id))
+    reached, _ = _resolve(
+        start.select(
+            "employee_id",
+            F.when(F.col("manager_id") != manager_id, F.col("manager_id")).alias("top"),
+            F.lit(1).alias("level"),
+            *carried,
         )
-        frontier = write_and_read(children, "level")
-    return frontier if reached is None else reached
+    )
+    return reached
 
 
 def subordinates(employees: DataFrame, manager_id: int, ordered: bool = True) -> DataFrame:
     """Everyone below a manager, inactive staff included, with the level."""
-    edges = employees.select("employee_id", "manager_id").filter("manager_id IS NOT NULL")
-    direct = edges.filter(
-        (F.col("manager_id") == manager_id) & (F.col("employee_id") != manager_id)
-    ).select("employee_id", F.lit(1).alias("level"))
-    reached = _descend(edges, manager_id, direct, {"level": F.col("up_level") + 1})
+    reached = _below(employees.select("employee_id", "manager_id"), manager_id)
     return arranged(
         employees.join(reached, "employee_id"),
         ordered,
@@ -159,31 +145,15 @@ def manager_subordinates(
     employees: DataFrame, positions: DataFrame, manager_id: int, ordered: bool = True
 ) -> DataFrame:
     """Active direct and indirect reports with position, level and path."""
-    edges = (
-        employees.filter("is_active AND manager_id IS NOT NULL")
+    placed = employees.filter("is_active").join(positions.select("position_id"), "position_id", "left_semi")
+    reached = _below(placed, manager_id, full_name().alias("path"))
+    shown = (
+        placed.select("employee_id", "position_id", full_name().alias("name"))
+        .join(reached, "employee_id")
         .join(positions.select("position_id", "position_title"), "position_id")
-        .select(
-            "employee_id", "manager_id", full_name().alias("name"), "position_title"
-        )
-    )
-    direct = edges.filter(
-        (F.col("manager_id") == manager_id) & (F.col("employee_id") != manager_id)
-    ).select(
-        "employee_id", "name", "position_title", F.lit(1).alias("level"), F.col("name").alias("path")
-    )
-    reached = _descend(
-        edges,
-        manager_id,
-        direct,
-        {
-            "name": F.col("name"),
-            "position_title": F.col("position_title"),
-            "level": F.col("up_level") + 1,
-            "path": F.concat("up_path", F.lit(labels.PATH_SEPARATOR), "name"),
-        },
     )
     return arranged(
-        reached.select(
+        shown.select(
             F.col("employee_id").alias("subordinate_id"),
             F.col("name").alias("subordinate_name"),
             F.col("position_title").alias("subordinate_position"),

@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.expressions import arranged, asc, desc, full_name, moment
 
 
-def page(df: DataFrame, skip: int, limit: int, *keys: Column) -> DataFrame:
-    """One page in the order of ``keys``; every task keeps ``skip + limit`` rows."""
-    return df.orderBy(*keys).offset(skip).limit(limit)
+def page(df: DataFrame, skip: int, limit: int | None, *keys: Column) -> DataFrame:
+    """One page in the order of ``keys``, or all that follows ``skip`` without a limit.
+
+    Every task keeps ``skip + limit`` rows; for deep pages filter by the last key seen instead.
+    """
+    df = df.orderBy(*keys)
+    df = df.offset(skip) if skip else df
+    return df if limit is None else df.limit(limit)
 
 
 def page_summary(df: DataFrame, skip: int, limit: int) -> DataFrame:
@@ -28,7 +33,7 @@ def page_summary(df: DataFrame, skip: int, limit: int) -> DataFrame:
 
 
 def list_employees(
-    employees: DataFrame, department_id: int | None = None, skip: int = 0, limit: int = 100
+    employees: DataFrame, department_id: int | None = None, skip: int = 0, limit: int | None = None
 ) -> DataFrame:
     if department_id:
         employees = employees.filter(F.col("department_id") == department_id)
@@ -40,7 +45,7 @@ def get_employee(employees: DataFrame, employee_id: int) -> DataFrame:
 
 
 def list_departments(
-    departments: DataFrame, employees: DataFrame, skip: int = 0, limit: int = 100
+    departments: DataFrame, employees: DataFrame, skip: int = 0, limit: int | None = None
 ) -> DataFrame:
     """A page of departments with active payroll and head count."""
     staff = (
@@ -60,7 +65,7 @@ def list_departments(
     )
 
 
-def list_positions(positions: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
+def list_positions(positions: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
     return page(positions, skip, limit, asc("position_id"))
 
 
@@ -69,7 +74,7 @@ def list_audit(
     table_name: str | None = None,
     operation: str | None = None,
     skip: int = 0,
-    limit: int = 100,
+    limit: int | None = None,
     tie_break: Sequence[str] = ("log_id",),
 ) -> DataFrame:
     """A page of the audit log, newest first."""
@@ -96,10 +101,6 @@ def department_employees(
     return arranged(staff, ordered, asc("last_name"), asc("first_name"), asc("employee_id"))
 
 
-# Bounds that leave nobody out.
-ANY_BOUNDS = (0, 10_000_000, date(1900, 1, 1), date(9999, 12, 31))
-
-
 def search_employees(
     employees: DataFrame,
     departments: DataFrame,
@@ -108,28 +109,31 @@ def search_employees(
     skills: DataFrame,
     department_id: int | None = None,
     position_id: int | None = None,
-    min_salary: Decimal | int = ANY_BOUNDS[0],
-    max_salary: Decimal | int = ANY_BOUNDS[1],
+    min_salary: Decimal | int | None = None,
+    max_salary: Decimal | int | None = None,
     skill_ids: Sequence[int] | None = None,
-    hired_from: date = ANY_BOUNDS[2],
-    hired_to: date = ANY_BOUNDS[3],
+    hired_from: date | None = None,
+    hired_to: date | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """Active employees by any mix of criteria, with all their skills.
+    """Active employees by any mix of criteria, with all their skills; None leaves one out.
 
     Asking for skills finds people who hold any of them; the skill list still
     shows everything they hold. A search that narrows the staff gathers the
     skills of those it found only.
     """
-    bounds = (min_salary, max_salary, hired_from, hired_to)
-    narrowed = bounds != ANY_BOUNDS or any(
-        c is not None for c in (department_id, position_id, skill_ids)
-    )
-    found = employees.filter(
-        F.col("is_active")
-        & F.col("salary").between(min_salary, max_salary)
-        & F.col("hire_date").between(hired_from, hired_to)
-    )
+    bounds = [
+        (min_salary, lambda x: F.col("salary") >= x),
+        (max_salary, lambda x: F.col("salary") <= x),
+        (hired_from, lambda x: F.col("hire_date") >= x),
+        (hired_to, lambda x: F.col("hire_date") <= x),
+    ]
+    criteria = [department_id, position_id, skill_ids, *(bound for bound, _ in bounds)]
+    narrowed = any(c is not None for c in criteria)
+    found = employees.filter("is_active")
+    for bound, holds in bounds:
+        if bound is not None:
+            found = found.filter(holds(F.lit(bound)))
     if department_id is not None:
         found = found.filter(F.col("department_id") == department_id)
     if position_id is not None:
@@ -264,31 +268,6 @@ def token_search(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -
     return df.filter(match)
 
 
-def token_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row per word and key, to be written once and searched often.
-
-    Postings stay rows: a word that a third of all rows share would not fit in
-    one array.
-    """
-    return (
-        df.select(F.col(key), F.explode(F.array_distinct(words(*columns))).alias("token"))
-        .filter("token <> ''")
-        .select("token", key)
-    )
-
-
-def search_index(index: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
-    """Keys that hold every wanted word, by equality lookups in the index."""
-    terms = sorted({w.lower() for w in wanted})
-    return (
-        index.filter(F.col("token").isin(terms))
-        .groupBy(key)
-        .agg(F.count("*").alias("hits"))
-        .filter(F.col("hits") == len(terms))
-        .select(key)
-    )
-
-
 def second_highest_paid(employees: DataFrame) -> DataFrame:
     """The second-highest paid employee of every department.
 

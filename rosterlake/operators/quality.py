@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from ..sources.tables import SCHEMAS
 
@@ -66,6 +66,34 @@ UNIQUE_KEYS: list[tuple[str, tuple[str, ...]]] = [
     ("employee_skills", ("employee_id", "skill_id")),
 ]
 
+# The primary key of every table.
+PRIMARY_KEYS: dict[str, str] = {
+    "departments": "department_id",
+    "positions": "position_id",
+    "employees": "employee_id",
+    "projects": "project_id",
+    "employee_projects": "employee_project_id",
+    "salary_history": "salary_change_id",
+    "vacations": "vacation_id",
+    "skills": "skill_id",
+    "employee_skills": "employee_skill_id",
+    "audit_log": "log_id",
+}
+
+# The longest text a column takes.
+LENGTHS: dict[str, dict[str, int]] = {
+    "departments": {"department_name": 255, "location": 255},
+    "positions": {"position_title": 255, "position_level": 50},
+    "employees": {"first_name": 100, "last_name": 100, "email": 255, "phone": 20},
+    "projects": {"project_name": 255, "status": 50},
+    "employee_projects": {"role_in_project": 100},
+    "salary_history": {"change_reason": 255},
+    "vacations": {"vacation_type": 50, "status": 50},
+    "skills": {"skill_name": 255, "category": 100},
+    "employee_skills": {"proficiency_level": 50},
+    "audit_log": {"table_name": 100, "operation_type": 10},
+}
+
 # Table, column, and the table and key it refers to.
 REFERENCES: list[tuple[str, str, str, str]] = [
     ("employees", "department_id", "departments", "department_id"),
@@ -141,21 +169,23 @@ def _row_rules(table: str, df: DataFrame, as_of: date) -> dict[str, Column]:
     """Every rule of a table that looks at one row, as "is broken"."""
     rules = {f"check {n}": _broken(c, as_of) for n, c in CHECKS.get(table, {}).items()}
     for column in required_columns(table):
-        if column in df.columns:
-            rules[f"not null {column}"] = F.col(column).isNull()
+        rules[f"not null {column}"] = F.col(column).isNull()
+    for column, most in LENGTHS.get(table, {}).items():
+        rules[f"length {column}"] = F.length(column) > most
     return rules
 
 
-def _usable(rules: dict[str, Column], table: str, df: DataFrame) -> dict[str, Column]:
-    """Without the rules on optional columns that ``df`` does not carry."""
-    if table == "employee_skills" and "certification_date" not in df.columns:
-        return {n: c for n, c in rules.items() if n != "check certification_date"}
-    return rules
+def _complete(table: str, df: DataFrame) -> DataFrame:
+    """``df`` with the columns it lacks as NULLs: a required one is then missing in every row."""
+    fields = StructType.fromDDL(SCHEMAS[table].replace("NOT NULL", "")).fields
+    absent = [f for f in fields if f.name not in df.columns]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent])
 
 
 def check_report(table: str, df: DataFrame, as_of: date) -> DataFrame:
     """Violations of the checks and NOT NULLs of one table, in one scan."""
-    rules = _usable(_row_rules(table, df, as_of), table, df)
+    df = _complete(table, df)
+    rules = _row_rules(table, df, as_of)
     counted = df.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
     return counted.select(
         F.inline(
@@ -175,9 +205,9 @@ def check_report(table: str, df: DataFrame, as_of: date) -> DataFrame:
 
 def check_violations(table: str, df: DataFrame, as_of: date) -> DataFrame:
     """The rows that break a row rule, with the names of the rules."""
-    rules = _usable(_row_rules(table, df, as_of), table, df)
+    rules = _row_rules(table, df, as_of)
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return df.withColumn("broken", names).filter(F.size("broken") > 0)
+    return _complete(table, df).withColumn("broken", names).select(*df.columns, "broken").filter(F.size("broken") > 0)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -245,7 +275,8 @@ def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
 
     The keys of all constraints go through one shuffle, every table is read once.
     """
-    keys = [(t, k, "true") for t, k in UNIQUE_KEYS] + PARTIAL_UNIQUE_KEYS
+    keys = [(t, (k,), "primary key") for t, k in PRIMARY_KEYS.items()]
+    keys += [(t, k, "true") for t, k in UNIQUE_KEYS] + PARTIAL_UNIQUE_KEYS
     width = max(len(k) for _, k, _ in keys)
     lines, parts = [], []
     for table, df in tables.items():
@@ -253,13 +284,19 @@ def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
         for owner, key, condition in keys:
             if owner != table:
                 continue
-            present = F.expr(condition)
+            if not set(key) <= set(df.columns):
+                continue  # the missing column is reported where it is required
+            present = F.lit(True) if condition == "primary key" else F.expr(condition)
             for column in key:
                 present = present & F.col(column).isNotNull()
             line = F.lit(len(lines)).alias("line")
             entries.append(F.when(present, F.struct(line, *_key_fields(df, key, width))))
             name = f"unique {', '.join(key)}"
-            lines.append((table, name if condition == "true" else f"{name} where {condition}"))
+            if condition == "primary key":
+                name = f"primary key {key[0]}"
+            elif condition != "true":
+                name = f"{name} where {condition}"
+            lines.append((table, name))
         if entries:
             parts.append(_exploded(df, entries))
     stacked = _stack(parts)

@@ -112,13 +112,15 @@ def by_salary(steps: Sequence[tuple[int, str]], otherwise: str) -> Column:
     return chosen
 
 
-def numbered_in_group(df: DataFrame, group: str, key: str, parts: int) -> DataFrame:
-    """Adds ``slot`` 0, 1, 2 … within each group and ``group_size``, without one task per group.
+def numbered_in_group(df: DataFrame, group: str, key: str) -> DataFrame:
+    """Adds ``slot`` 0, 1, 2 … in key order within each group, and ``group_size``.
 
-    Rows are numbered inside ``parts`` pieces of a group; the pieces' sizes, a
-    handful of rows per group, give the offsets.
+    Rows are laid out by range, so a group that holds most rows is several pieces; the
+    rows of a piece are numbered, and the sizes of the pieces before it (a handful of rows
+    per group) are added. How many pieces there are cannot show in the result.
     """
-    pieces = df.withColumn("piece", F.pmod(F.col(key), F.lit(parts)))
+    ranged = df.repartitionByRange(group, key).withColumn("piece", F.spark_partition_id())
+    pieces = write_and_read(ranged, "pieces")
     inside = Window.partitionBy(group, "piece").orderBy(key)
     ahead = Window.partitionBy(group).orderBy("piece").rowsBetween(
         Window.unboundedPreceding, -1
@@ -160,7 +162,6 @@ def assign_skills(
     categories: Sequence[str],
     department_parts: Sequence[str],
     per_employee: int = 1,
-    parts: int = 61,
 ) -> DataFrame:
     """New skill rows: matching departments' staff draw skills of the categories.
 
@@ -175,7 +176,7 @@ def assign_skills(
     offered = skills.filter(F.col("category").isin(list(categories))).select(
         "skill_id", F.lit("offered").alias("pool")
     )
-    numbered = numbered_in_group(offered, "pool", "skill_id", parts)
+    numbered = numbered_in_group(offered, "pool", "skill_id")
     slots = write_and_read(numbered.select("skill_id", "slot"), "slots")
     choices = offered.agg(F.count("*")).scalar()
     drawn = (
@@ -207,7 +208,6 @@ def assign_projects(
     projects: DataFrame,
     employee_projects: DataFrame,
     per_employee: int = 1,
-    parts: int = 61,
 ) -> DataFrame:
     """New assignments: everyone draws projects of the own department.
 
@@ -220,7 +220,6 @@ def assign_projects(
         projects.select("project_id", "department_id", "start_date", "project_manager_id"),
         "department_id",
         "project_id",
-        parts,
     )
     slots = write_and_read(numbered.drop("group_size"), "slots")
     sizes = write_and_read(

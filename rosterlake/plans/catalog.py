@@ -61,18 +61,9 @@ def plain(df: DataFrame) -> DataFrame:
 @query
 def i0_load_tables(f: Fixtures) -> DataFrame:
     folder = scratch_folder(f.spark, "tables")
-    tables.save(
-        {"departments": f.departments, "positions": f.positions, "employees": f.employees}, folder
-    )
-    parts = {}
-    for name in ("departments", "positions", "employees"):
-        parts[name] = f.spark.read.schema(tables.SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-    return (
-        parts["employees"]
-        .join(parts["departments"].drop("manager_id", "updated_at"), "department_id")
-        .join(parts["positions"], "position_id")
-        .select("employee_id", "email", "hire_date", "salary", "department_name", "position_title")
-    )
+    tables.save({name: getattr(f, name) for name in tables.SCHEMAS if name != "audit_log"}, folder)
+    tables.save({"audit_log": _audit(f)}, folder)
+    return listing.table_counts(tables.load(f.spark, folder))
 
 
 def _csv_lines(f: Fixtures) -> DataFrame:
@@ -121,17 +112,30 @@ def i1_import_summary(f: Fixtures) -> DataFrame:
 
 @query
 def i2_append_new(f: Fixtures) -> DataFrame:
-    kinds = (
-        f.base("part")
-        .groupBy(F.col("p_type").alias("skill_name"))
-        .agg(F.max("p_brand").alias("category"), (F.max("p_partkey") + 1000000).alias("skill_id"))
+    return tables.append_new(f.skills, _offered_skills(f), "skill_name", "skill_id")
+
+
+def _offered_skills(f: Fixtures) -> DataFrame:
+    """Kinds of parts as new skills, each by many rows, some without a name."""
+    kinds = f.base("part").selectExpr(
+        "CASE WHEN p_partkey % 50 <> 0 THEN p_type END AS skill_name",
+        "p_brand AS category",
+        "cast(p_partkey + 1000000 as bigint) AS skill_id",
     )
-    return tables.append_new(f.skills, kinds.unionByName(f.skills), "skill_name")
+    return kinds.unionByName(f.skills)
+
+
+@query
+def i2_refused(f: Fixtures) -> DataFrame:
+    _, refused = tables.split_new(f.skills, _offered_skills(f), "skill_name", "skill_id")
+    return refused.groupBy("refused").agg(F.count("*").alias("rows"))
 
 
 @query
 def i3_sample_rows(f: Fixtures) -> DataFrame:
-    return tables.sample_rows(f.employees.select("employee_id", "last_name"), 100, seed=7)
+    return tables.sample_rows(
+        f.employees.select("employee_id", "last_name"), "employee_id", 100, seed=7
+    )
 
 
 def _moved_out(f: Fixtures) -> DataFrame:
@@ -302,17 +306,6 @@ def q12_token_search(f: Fixtures) -> DataFrame:
     return found.select("project_id", "description")
 
 
-@query
-def q12_token_index(f: Fixtures) -> DataFrame:
-    index = listing.token_index(f.employees, "employee_id", ["first_name", "last_name", "email"])
-    return index
-
-
-@query
-def q12_index_search(f: Fixtures) -> DataFrame:
-    index = listing.token_index(f.employees, "employee_id", ["first_name", "last_name", "email"])
-    return listing.search_index(index, "employee_id", ["Machinery", "000000001"])
-
 
 @query
 def s2_second_highest_paid(f: Fixtures) -> DataFrame:
@@ -692,7 +685,8 @@ def t15_create_departments(f: Fixtures) -> DataFrame:
         "cast(null as string) AS location",
         "cast(null as bigint) AS manager_id",
     )
-    return intake.create_departments(requests, f.departments)
+    created, _ = intake.create_departments(requests, f.departments)
+    return created
 
 
 # Data quality
@@ -741,9 +735,11 @@ class Dirty:
                 "project_manager_id",
             ),
             "employee_projects": f.employee_projects.selectExpr(
+                """CASE WHEN employee_id % 101 <> 0 THEN (employee_id - CASE WHEN employee_id % 103 = 0 THEN 1 ELSE 0 END)
+                   * 1000000 + project_id END AS employee_project_id""",
                 "employee_id",
                 "project_id",
-                "role_in_project",
+                "CASE WHEN employee_id % 107 = 0 THEN repeat('x', 101) ELSE role_in_project END AS role_in_project",
                 "participation_percentage + CASE WHEN employee_id % 73 = 0 THEN 60 ELSE 0 END AS participation_percentage",
                 "start_date",
                 "end_date",
@@ -777,6 +773,8 @@ class Dirty:
                 "skill_id",
                 "CASE WHEN (employee_id + skill_id) % 83 = 0 THEN 'guru' ELSE proficiency_level END AS proficiency_level",
                 "certified",
+                "employee_id * 1000000 + skill_id AS employee_skill_id",
+                "CASE WHEN (employee_id + skill_id) % 89 = 0 THEN DATE'1999-12-31' WHEN certified THEN DATE'1998-01-01' END AS certification_date",
             ),
             "audit_log": f.changes.selectExpr(
                 "change_id AS log_id",
@@ -884,5 +882,4 @@ def x2_stream_history(f: Fixtures) -> DataFrame:
 
 @query
 def x3_stream_department_movement(f: Fixtures) -> DataFrame:
-    stream = feeds.stream_department_movement(_feed(f), f.employees)
-    return feeds.drain_latest(stream, "department_id", "movement")
+    return feeds.stream_department_movement(_feed(f), f.employees, "movement")

@@ -75,9 +75,9 @@ TABLES: dict[str, str] = {
                CAST(floor(o_totalprice / 10)
                     + floor(o_totalprice * (1 + o_orderkey % 15) / 1000) AS DECIMAL(12,2))
                    AS new_salary,
-               CAST(o_orderdate AS DATE) AS change_date, o_orderpriority AS change_reason,
+               CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 YEAR AS DATE) AS change_date, o_orderpriority AS change_reason,
                o_orderkey % 5 + 1 AS changed_by
-        FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1999-06-30'""",
+        FROM orders""",
     "vacations": """
         SELECT vacation_id, employee_id, vacation_type, start_date, end_date,
                CAST(end_date - start_date + 1 AS INT) AS days_count, status, approved_by
@@ -89,12 +89,13 @@ TABLES: dict[str, str] = {
                      CAST(min(l_shipdate) AS DATE) AS start_date,
                      CAST(min(l_shipdate) AS DATE) + CAST(min(l_quantity) + 14 AS INT)
                          AS end_date,
+                     CASE WHEN max(l_returnflag) = 'A' THEN 'taken'
+                          WHEN max(l_returnflag) <> 'R' THEN 'requested' ELSE
                      CASE min(l_partkey) % 5 WHEN 0 THEN 'requested' WHEN 1 THEN 'approved'
-                          WHEN 2 THEN 'taken' WHEN 3 THEN 'rejected' ELSE 'cancelled' END
+                          WHEN 2 THEN 'taken' WHEN 3 THEN 'rejected' ELSE 'cancelled' END END
                          AS status,
                      min(l_suppkey) + 1 AS approved_by
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-              WHERE l_returnflag = 'R'
               GROUP BY l_orderkey, l_linenumber)""",
     "skills": """
         SELECT p_name AS skill_name, min(p_type) AS category, min(p_partkey) + 1 AS skill_id
@@ -110,7 +111,6 @@ TABLES: dict[str, str] = {
         JOIN orders ON l_orderkey = o_orderkey
         JOIN part ON l_partkey = p_partkey
         JOIN skills ON p_name = skill_name
-        WHERE l_linenumber = 1
         GROUP BY o_custkey, skill_id""",
     "before_rows": "SELECT * FROM employees",
     "after_rows": """
@@ -187,7 +187,12 @@ TABLES: dict[str, str] = {
                project_manager_id
         FROM projects""",
     "bad_employee_projects": """
-        SELECT employee_id, project_id, role_in_project,
+        SELECT CASE WHEN employee_id % 101 <> 0
+                    THEN (employee_id - CASE WHEN employee_id % 103 = 0 THEN 1 ELSE 0 END) * 1000000
+                         + project_id END AS employee_project_id,
+               employee_id, project_id,
+               CASE WHEN employee_id % 107 = 0 THEN repeat('x', 101) ELSE role_in_project END
+                   AS role_in_project,
                participation_percentage + CASE WHEN employee_id % 73 = 0 THEN 60 ELSE 0 END
                    AS participation_percentage,
                start_date, end_date,
@@ -223,7 +228,10 @@ TABLES: dict[str, str] = {
         SELECT employee_id - CASE WHEN employee_id % 10 = 0 THEN 1 ELSE 0 END AS employee_id,
                skill_id,
                CASE WHEN (employee_id + skill_id) % 83 = 0 THEN 'guru'
-                    ELSE proficiency_level END AS proficiency_level, certified
+                    ELSE proficiency_level END AS proficiency_level, certified,
+               employee_id * 1000000 + skill_id AS employee_skill_id,
+               CASE WHEN (employee_id + skill_id) % 89 = 0 THEN DATE '1999-12-31'
+                    WHEN certified THEN DATE '1998-01-01' END AS certification_date
         FROM employee_skills""",
     "bad_audit_log": """
         SELECT change_id AS log_id, 'employees' AS table_name, employee_id AS record_id,

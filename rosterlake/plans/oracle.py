@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.quality import (
-    CHECKS,
-    PARTIAL_UNIQUE_KEYS,
-    REFERENCES,
-    UNIQUE_KEYS,
-    required_columns,
-)
-from ..operators.staffing import POSITION_RULES
 from .mapping_sql import with_tables
 
 
@@ -254,12 +246,23 @@ AUDIT_SQL = f"""
     WHERE b.employee_id IS NULL OR a.employee_id IS NULL OR {ANY_CHANGE}"""
 
 
-def _position_rules_sql() -> str:
-    lines = []
-    for least, part, position in POSITION_RULES:
-        named = f" AND contains(department_name, '{part}')" if part else ""
-        lines.append(f"WHEN salary >= {least}{named} THEN {position}")
-    return "CASE " + "\n".join(lines) + " ELSE 18 END"
+POSITION_BY_SALARY = """CASE
+    WHEN salary >= 250000 THEN 1
+    WHEN salary >= 200000 AND contains(department_name, 'Руковод') THEN 1
+    WHEN salary >= 200000 AND contains(department_name, 'ИТ') THEN 2
+    WHEN salary >= 180000 AND contains(department_name, 'Финан') THEN 3
+    WHEN salary >= 150000 AND contains(department_name, 'Разраб') THEN 4
+    WHEN salary >= 150000 AND contains(department_name, 'Продаж') THEN 6
+    WHEN salary >= 120000 AND contains(department_name, 'ИТ') THEN 7
+    WHEN salary >= 90000 AND contains(department_name, 'ИТ') THEN 8
+    WHEN salary >= 80000 AND contains(department_name, 'Бухгал') THEN 14
+    WHEN salary >= 70000 AND contains(department_name, 'Продаж') THEN 12
+    WHEN salary >= 65000 AND contains(department_name, 'Маркет') THEN 13
+    WHEN salary >= 60000 AND contains(department_name, 'Кадр') THEN 15
+    WHEN salary >= 50000 AND contains(department_name, 'ИТ') THEN 9
+    WHEN salary >= 40000 AND contains(department_name, 'Поддерж') THEN 16
+    WHEN salary >= 35000 THEN 18
+    ELSE 18 END"""
 
 
 NAMED_DEPARTMENTS = """
@@ -274,35 +277,132 @@ def _dirty(table: str) -> str:
     return f"bad_{table}"
 
 
-# The checks of the data model in SQL, in the order of the rule list.
-CHECK_SQL = {
-    ("employees", "email_format"): "regexp_matches(email, "
-    "'^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$')",
-    ("employees", "hire_date"): "hire_date <= DATE '1999-06-30'",
-    ("employees", "birth_date"): "birth_date <= DATE '1981-06-30'",
-    ("salary_history", "change_date"): "change_date <= DATE '1999-06-30'",
-}
-REQUIRED_PRESENT = {
-    "departments": ["department_id", "department_name", "budget"],
-    "positions": [
-        "position_id",
-        "position_title",
-        "position_level",
-        "base_salary_min",
-        "base_salary_max",
-    ],
-    "employees": required_columns("employees"),
-    "projects": required_columns("projects"),
-    "employee_projects": [
-        c for c in required_columns("employee_projects") if c != "employee_project_id"
-    ],
-    "salary_history": required_columns("salary_history"),
-    "vacations": required_columns("vacations"),
-    "skills": required_columns("skills"),
-    "employee_skills": [
-        c for c in required_columns("employee_skills") if c != "employee_skill_id"
-    ],
-    "audit_log": required_columns("audit_log"),
+EMAIL_SQL = "regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$')"
+
+# The rules of the data model, written down apart from the engine's own lists. By table: key,
+# required columns, longest texts, checks, unique keys (with a condition), references.
+MODEL = {
+    "departments": {
+        "key": "department_id",
+        "required": "department_id department_name budget",
+        "length": {"department_name": 255, "location": None},
+        "check": {"budget_positive": "budget >= 0"},
+        "unique": [("department_name", "")],
+    },
+    "positions": {
+        "key": "position_id",
+        "required": "position_id position_title position_level base_salary_min base_salary_max",
+        "length": {"position_title": 255, "position_level": 50},
+        "check": {
+            "salary_range": "base_salary_max >= base_salary_min",
+            "level_value": "position_level IN ('trainee', 'junior', 'middle', 'senior', 'lead', "
+            "'manager', 'director', 'executive')",
+        },
+        "unique": [("position_title", "")],
+    },
+    "employees": {
+        "key": "employee_id",
+        "required": "employee_id first_name last_name email hire_date salary department_id position_id",
+        "length": {"first_name": 100, "last_name": 100, "email": 255, "phone": 20},
+        "check": {
+            "email_format": EMAIL_SQL,
+            "salary_positive": "salary >= 0",
+            "hire_date": "hire_date <= DATE '1999-06-30'",
+            "birth_date": "birth_date <= DATE '1981-06-30'",
+        },
+        "unique": [("email", ""), ("phone", "phone IS NOT NULL")],
+        "reference": [
+            ("department_id", "departments", "department_id"),
+            ("position_id", "positions", "position_id"),
+            ("manager_id", "employees", "employee_id"),
+        ],
+    },
+    "projects": {
+        "key": "project_id",
+        "required": "project_id project_name department_id start_date budget status project_manager_id",
+        "length": {"project_name": 255, "status": 50},
+        "check": {
+            "budget_positive": "budget >= 0",
+            "dates": "end_date >= start_date",
+            "status_value": "status IN ('planning', 'active', 'on_hold', 'completed', 'cancelled')",
+        },
+        "reference": [
+            ("department_id", "departments", "department_id"),
+            ("project_manager_id", "employees", "employee_id"),
+        ],
+    },
+    "employee_projects": {
+        "key": "employee_project_id",
+        "required": "employee_project_id employee_id project_id role_in_project "
+        "participation_percentage start_date",
+        "length": {"role_in_project": 100},
+        "check": {
+            "percentage": "participation_percentage BETWEEN 0 AND 100",
+            "hourly_rate": "hourly_rate >= 0",
+            "dates_project": "end_date >= start_date",
+        },
+        "unique": [("employee_id, project_id", "end_date IS NULL")],
+        "reference": [
+            ("employee_id", "employees", "employee_id"),
+            ("project_id", "projects", "project_id"),
+        ],
+    },
+    "salary_history": {
+        "key": "salary_change_id",
+        "required": "salary_change_id employee_id old_salary new_salary change_date change_reason "
+        "changed_by",
+        "length": {"change_reason": 255},
+        "check": {
+            "salary_increase": "new_salary >= old_salary",
+            "change_date": "change_date <= DATE '1999-06-30'",
+        },
+        "reference": [
+            ("employee_id", "employees", "employee_id"),
+            ("changed_by", "employees", "employee_id"),
+        ],
+    },
+    "vacations": {
+        "key": "vacation_id",
+        "required": "vacation_id employee_id vacation_type start_date end_date status",
+        "length": {"vacation_type": 50, "status": 50},
+        "check": {
+            "dates_vacation": "end_date >= start_date",
+            "vacation_type": "vacation_type IN ('annual', 'sick', 'maternity', 'unpaid', 'other')",
+            "status": "status IN ('requested', 'approved', 'rejected', 'taken', 'cancelled')",
+        },
+        "reference": [
+            ("employee_id", "employees", "employee_id"),
+            ("approved_by", "employees", "employee_id"),
+        ],
+    },
+    "skills": {
+        "key": "skill_id",
+        "required": "skill_id skill_name category",
+        "length": {"skill_name": 255, "category": 100},
+        "unique": [("skill_name", "")],
+    },
+    "employee_skills": {
+        "key": "employee_skill_id",
+        "required": "employee_skill_id employee_id skill_id proficiency_level",
+        "length": {"proficiency_level": 50},
+        "check": {
+            "proficiency_level": "proficiency_level IN ('beginner', 'intermediate', 'advanced', "
+            "'expert')",
+            "certification_date": "certification_date <= DATE '1999-06-30'",
+        },
+        "unique": [("employee_id, skill_id", "")],
+        "reference": [
+            ("employee_id", "employees", "employee_id"),
+            ("skill_id", "skills", "skill_id"),
+        ],
+    },
+    "audit_log": {
+        "key": "log_id",
+        "required": "log_id table_name record_id operation_type",
+        "length": {"table_name": 100, "operation_type": 10},
+        "check": {"operation_type": "operation_type IN ('INSERT', 'UPDATE', 'DELETE')"},
+        "reference": [("changed_by", "employees", "employee_id")],
+    },
 }
 
 
@@ -315,70 +415,56 @@ def _count_line(table: str, name: str, count: str, source: str) -> str:
 
 def _required_lines(table: str) -> list[str]:
     return [
-        _count_line(
-            table, f"not null {c}", f"count(*) FILTER (WHERE {c} IS NULL)", _dirty(table)
-        )
-        for c in REQUIRED_PRESENT[table]
+        _count_line(table, f"not null {c}", f"count(*) FILTER (WHERE {c} IS NULL)", _dirty(table))
+        for c in MODEL[table]["required"].split()
     ]
 
 
+def _repeated(table: str, columns: str, condition: str) -> str:
+    return (
+        f"(SELECT {columns} FROM {_dirty(table)} WHERE {condition} "
+        f"GROUP BY {columns} HAVING count(*) > 1)"
+    )
+
+
 def _constraint_sql() -> str:
     lines = []
-    for table in REQUIRED_PRESENT:
-        for name, condition in CHECKS.get(table, {}).items():
-            if name == "certification_date":
-                continue
-            condition = CHECK_SQL.get((table, name), condition)
+    for table, model in MODEL.items():
+        for name, condition in model.get("check", {}).items():
+            broken = f"count(*) FILTER (WHERE NOT ({condition}))"
+            lines.append(_count_line(table, f"check {name}", broken, _dirty(table)))
+        lines += _required_lines(table)
+        for column, most in model["length"].items():
+            # The fixture has no such column, so no text in it can be too long.
+            broken = f"count(*) FILTER (WHERE length({column}) > {most})" if most else "count(*) - count(*)"
+            lines.append(_count_line(table, f"length {column}", broken, _dirty(table)))
+        key = model["key"]
+        lines.append(
+            _count_line(table, f"primary key {key}", "count(*)", _repeated(table, key, f"{key} IS NOT NULL"))
+        )
+        for columns, condition in model.get("unique", []):
+            name = f"unique {columns} where {condition}" if condition else f"unique {columns}"
+            present = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(", "))
+            where = f"{present} AND {condition}" if condition else present
+            lines.append(_count_line(table, name, "count(*)", _repeated(table, columns, where)))
+        for column, parent, other in model.get("reference", []):
             lines.append(
                 _count_line(
                     table,
-                    f"check {name}",
-                    f"count(*) FILTER (WHERE NOT ({condition}))",
-                    _dirty(table),
+                    f"foreign key {column}",
+                    "count(*)",
+                    f"{_dirty(table)} child WHERE child.{column} IS NOT NULL AND NOT EXISTS "
+                    f"(SELECT 1 FROM {_dirty(parent)} p WHERE p.{other} = child.{column})",
                 )
             )
-        lines += _required_lines(table)
-    for table, key in UNIQUE_KEYS:
-        columns = ", ".join(key)
-        present = " AND ".join(f"{c} IS NOT NULL" for c in key)
-        lines.append(
-            _count_line(
-                table,
-                f"unique {columns}",
-                "count(*)",
-                f"(SELECT {columns} FROM {_dirty(table)} WHERE {present} "
-                f"GROUP BY {columns} HAVING count(*) > 1)",
-            )
-        )
-    for table, key, condition in PARTIAL_UNIQUE_KEYS:
-        columns = ", ".join(key)
-        lines.append(
-            _count_line(
-                table,
-                f"unique {columns} where {condition}",
-                "count(*)",
-                f"(SELECT {columns} FROM {_dirty(table)} WHERE {condition} "
-                f"GROUP BY {columns} HAVING count(*) > 1)",
-            )
-        )
-    for table, column, parent, key in REFERENCES:
-        lines.append(
-            _count_line(
-                table,
-                f"foreign key {column}",
-                "count(*)",
-                f"{_dirty(table)} child WHERE child.{column} IS NOT NULL AND NOT EXISTS "
-                f"(SELECT 1 FROM {_dirty(parent)} p WHERE p.{key} = child.{column})",
-            )
-        )
     return "\nUNION ALL ".join(lines)
 
 
 EMPLOYEE_CHECKS = {
-    "check email_format": CHECK_SQL["employees", "email_format"],
+    "check email_format": EMAIL_SQL,
     "check salary_positive": "salary >= 0",
-    "check hire_date": CHECK_SQL["employees", "hire_date"],
-    "check birth_date": CHECK_SQL["employees", "birth_date"],
+    "check hire_date": "hire_date <= DATE '1999-06-30'",
+    "check birth_date": "birth_date <= DATE '1981-06-30'",
     "not null first_name": "first_name IS NOT NULL",
 }
 # Per kind of request: table, key, and the checks its broken values can fail.
@@ -388,8 +474,8 @@ REQUEST_CHECKS = {
         "employee_id",
         {
             "first_name_length": "coalesce(length(first_name) BETWEEN 1 AND 100, false)",
-            "email_format": CHECK_SQL["employees", "email_format"],
-            "hire_date": CHECK_SQL["employees", "hire_date"],
+            "email_format": EMAIL_SQL,
+            "hire_date": "hire_date <= DATE '1999-06-30'",
             "salary": "salary > 0",
         },
     ),
@@ -428,14 +514,26 @@ MOVEMENT_SQL = """
                 - sum(CASE WHEN operation <> 'INSERT' THEN old_salary ELSE 0 END) AS DOUBLE)
                AS fund_change,
            CAST(max(new_salary) AS DOUBLE) AS highest_salary
-    FROM changes JOIN employees USING (employee_id)
+    FROM changes LEFT JOIN employees USING (employee_id)
     GROUP BY department_id"""
 
 BODIES: dict[str, str] = {
-    "i0_load_tables": """
-        SELECT employee_id, email, hire_date, CAST(salary AS DOUBLE) AS salary,
-               department_name, position_title
-        FROM employees JOIN departments USING (department_id) JOIN positions USING (position_id)""",
+    "i0_load_tables": "\nUNION ALL ".join(
+        f"SELECT '{n}' AS name, count(*) AS row_count FROM {n}"
+        for n in (
+            "departments",
+            "positions",
+            "employees",
+            "projects",
+            "employee_projects",
+            "salary_history",
+            "vacations",
+            "skills",
+            "employee_skills",
+            "audit_log",
+        )
+    )
+    + "\nUNION ALL SELECT 'active_employees', count(*) FROM employees WHERE is_active",
     "i1_import_accepted": """
         SELECT row_no, first_name, last_name, email, hire_date,
                CAST(salary AS DOUBLE) AS salary, department_id, position_id, manager_id
@@ -450,8 +548,23 @@ BODIES: dict[str, str] = {
     "i2_append_new": """
         SELECT skill_name, category, skill_id FROM skills
         UNION ALL
-        SELECT p_type, max(p_brand), max(p_partkey) + 1000000 FROM part
-        WHERE p_type NOT IN (SELECT skill_name FROM skills) GROUP BY p_type""",
+        SELECT p_type, p_brand, p_partkey + 1000000 FROM part
+        WHERE p_partkey % 50 <> 0 AND p_type NOT IN (SELECT skill_name FROM skills)
+        QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) = 1""",
+    "i2_refused": """
+        WITH offered AS (
+            SELECT CASE WHEN p_partkey % 50 <> 0 THEN p_type END AS skill_name,
+                   p_partkey + 1000000 AS skill_id FROM part
+            UNION ALL SELECT skill_name, skill_id FROM skills)
+        SELECT CASE WHEN skill_name IS NULL THEN 'no key'
+                    WHEN skill_name IN (SELECT skill_name FROM skills) THEN 'key is held'
+                    WHEN turn > 1 THEN 'key is repeated' END AS refused, count(*) AS "rows"
+        FROM (SELECT *, row_number() OVER (PARTITION BY skill_name ORDER BY skill_id) AS turn
+              FROM offered)
+        GROUP BY 1 HAVING refused IS NOT NULL""",
+    "i3_sample_rows": """
+        SELECT employee_id, last_name FROM employees
+        ORDER BY md5('7:' || CAST(employee_id AS VARCHAR)), employee_id LIMIT 100""",
     "i4_report_records": """
         SELECT '{"department_id":' || CAST(d.department_id AS VARCHAR)
                || ',"department_name":"' || department_name
@@ -557,16 +670,6 @@ BODIES: dict[str, str] = {
         SELECT project_id, description FROM projects
         WHERE list_has_all(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}@._+-]+'),
                            ['работы', 'для', 'площадка', '15'])""",
-    "q12_token_index": """
-        SELECT DISTINCT token, employee_id
-        FROM (SELECT employee_id,
-                     unnest(regexp_split_to_array(
-                         lower(first_name || ' ' || last_name || ' ' || email),
-                         '[^\\p{L}\\p{N}@._+-]+')) AS token
-              FROM employees)""",
-    "q12_index_search": """
-        SELECT employee_id FROM employees
-        WHERE lower(first_name) = 'machinery' AND last_name = '000000001'""",
     "s2_second_highest_paid": """
         SELECT employee_id, last_name, department_id, CAST(salary AS DOUBLE) AS salary
         FROM employees
@@ -927,11 +1030,11 @@ BODIES: dict[str, str] = {
             SELECT employee_id, department_id, position_id, salary * 2 AS salary FROM employees)
         SELECT employee_id, CAST(salary AS DOUBLE) AS salary,
                CASE WHEN employee_id % 4 = 0 THEN position_id
-                    ELSE CAST({_position_rules_sql()} AS BIGINT) END AS position_id
+                    ELSE CAST({POSITION_BY_SALARY} AS BIGINT) END AS position_id
         FROM doubled JOIN {NAMED_DEPARTMENTS} USING (department_id)""",
     "t10_assign_skills": """
         WITH slots AS (
-            SELECT skill_id, row_number() OVER (ORDER BY skill_id % 61, skill_id) - 1 AS slot,
+            SELECT skill_id, row_number() OVER (ORDER BY skill_id) - 1 AS slot,
                    count(*) OVER () AS choices
             FROM skills WHERE category IN ('ECONOMY', 'PROMO'))
         SELECT e.employee_id, s.skill_id,
@@ -948,7 +1051,7 @@ BODIES: dict[str, str] = {
     "t11_assign_projects": """
         WITH slots AS (
             SELECT *, row_number() OVER (PARTITION BY department_id
-                                         ORDER BY project_id % 61, project_id) - 1 AS slot,
+                                         ORDER BY project_id) - 1 AS slot,
                    count(*) OVER (PARTITION BY department_id) AS choices
             FROM projects)
         SELECT e.employee_id, project_id,
@@ -1040,7 +1143,8 @@ BODIES: dict[str, str] = {
         FROM (SELECT *, CASE WHEN s_suppkey % 4 = 0
                              THEN 'NATION_' || CAST(s_nationkey AS VARCHAR)
                              ELSE s_name END AS name FROM supplier)
-        WHERE name NOT IN (SELECT department_name FROM departments)""",
+        WHERE name NOT IN (SELECT department_name FROM departments)
+        QUALIFY row_number() OVER (PARTITION BY name ORDER BY s_suppkey) = 1""",
     "c_constraint_report": _constraint_sql(),
     "c1_check_violations": f"""
         SELECT employee_id, {_broken_list(EMPLOYEE_CHECKS)} AS broken

@@ -165,7 +165,6 @@ class Fixtures:
     def salary_history(self) -> DataFrame:
         return (
             self.base("orders")
-            .filter("o_orderdate < TIMESTAMP_NTZ'1999-07-01 00:00:00'")
             .selectExpr(
                 "cast(o_orderkey + 1 as bigint) AS salary_change_id",
                 "cast(o_custkey + 1 as bigint) AS employee_id",
@@ -173,7 +172,7 @@ class Fixtures:
                 """cast(floor(o_totalprice / 10)
                         + floor(o_totalprice * (1 + o_orderkey % 15) / 1000) as decimal(12,2))
                    AS new_salary""",
-                "cast(o_orderdate as date) AS change_date",
+                "add_months(cast(o_orderdate as date), -36) AS change_date",
                 "o_orderpriority AS change_reason",
                 "cast(o_orderkey % 5 + 1 as bigint) AS changed_by",
             )
@@ -184,20 +183,20 @@ class Fixtures:
         # Types and statuses by key.
         types = "array('annual','sick','maternity','unpaid','other')"
         statuses = "array('requested','approved','taken','rejected','cancelled')"
-        returned = (
+        lines = (
             self.base("lineitem")
-            .filter("l_returnflag = 'R'")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_shipdate").alias("ship"),
                 F.min("l_quantity").alias("quantity"),
                 F.min("l_partkey").alias("part"),
                 F.min("l_suppkey").alias("supp"),
+                F.max("l_returnflag").alias("flag"),
             )
         )
         orders = self.base("orders").select("o_orderkey", "o_custkey")
         return (
-            returned.join(orders, returned.l_orderkey == orders.o_orderkey)
+            lines.join(orders, lines.l_orderkey == orders.o_orderkey)
             .withColumn("start_date", F.expr("cast(ship as date)"))
             .withColumn("end_date", F.expr("date_add(start_date, cast(quantity + 14 as int))"))
             .selectExpr(
@@ -207,7 +206,8 @@ class Fixtures:
                 "start_date",
                 "end_date",
                 "datediff(end_date, start_date) + 1 AS days_count",
-                f"element_at({statuses}, cast(part % 5 + 1 as int)) AS status",
+                f"""CASE flag WHEN 'R' THEN element_at({statuses}, cast(part % 5 + 1 as int))
+                    WHEN 'A' THEN 'taken' ELSE 'requested' END AS status""",
                 "cast(supp + 1 as bigint) AS approved_by",
             )
         )
@@ -225,7 +225,7 @@ class Fixtures:
 
     @property
     def employee_skills(self) -> DataFrame:
-        lines = self.base("lineitem").filter("l_linenumber = 1")
+        lines = self.base("lineitem")
         orders = self.base("orders").select("o_orderkey", "o_custkey")
         parts = (
             self.base("part")

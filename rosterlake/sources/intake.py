@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import labels
 from ..operators.quality import EMAIL_PATTERN
 from .scratch import write_and_read
-from .tables import append_new, json_record
+from .tables import json_record, split_new
 
 # Columns of an import file.
 CSV_COLUMNS = [
@@ -55,9 +55,43 @@ class Import(NamedTuple):
     summary: DataFrame
 
 
-def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+# How dates are written in spreadsheets; month before day where both are possible.
+DATE_FORMATS = [
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "yyyy.M.d",
+    "yyyyMMdd",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "M.d.yyyy",
+    "d.M.yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+]
+
+# The longest text a column takes.
+LENGTHS = {"first_name": 100, "last_name": 100, "email": 255}
+
+
+def read_date(text: str) -> Column:
+    """A date column out of text in the first of the known forms that reads it."""
+    shaped = F.regexp_replace(F.trim(F.col(text)), r"[T ]\d{1,2}:\d{2}.*$", "")
+    return F.coalesce(
+        *[F.to_date(F.try_to_timestamp(shaped, F.lit(form))) for form in DATE_FORMATS],
+        F.expr(f"try_cast({text} as date)"),
+    )
+
+
+def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Rows of CSV files as text with ``row_no`` in file order, counted from 1.
 
+    With ``multi_line`` quoted fields may hold line breaks, and a file is read by one
+    task; without it large files are split.
+
     Positions run on within a split, so the splits' sizes give the offsets; only
     those, one row per split, meet in one task. They are written out, so that the
     planner sees how small they are and leaves the rows where they are.
@@ -135,16 +169,23 @@ def import_employees(
     """
 
     def number(name: str) -> Column:
-        return F.expr(f"try_cast(try_cast({name} as double) as decimal(38,4))")
+        # Doubles only for what decimals cannot read, such as 1e5.
+        return F.expr(
+            f"coalesce(try_cast({name} as decimal(38,4)), try_cast(try_cast({name} as double) as decimal(38,4)))"
+        )
 
     def whole(name: str) -> Column:
-        return F.expr(f"try_cast(try_cast({name} as double) as bigint)")
+        # Keys of any size stay exact.
+        return F.expr(
+            f"coalesce(try_cast({name} as bigint), try_cast(try_cast({name} as decimal(38,4)) as bigint),"
+            f" try_cast(try_cast({name} as double) as bigint))"
+        )
 
     keys = ["department_id", "position_id", "manager_id"]
     typed = lines.select(
         "*",
         F.when(F.col("hire_date").isNull(), F.lit(as_of))
-        .otherwise(F.expr("try_cast(hire_date as date)"))
+        .otherwise(read_date("hire_date"))
         .alias("hired"),
         F.when(F.col("salary").isNull(), F.lit(0)).otherwise(number("salary")).alias("pay"),
         *[whole(k).alias(f"{k}_read") for k in keys],
@@ -166,6 +207,8 @@ def import_employees(
         | (F.col("hired") > F.lit(as_of))
         | (F.col("pay") >= 10**10)
     )
+    for column, most in LENGTHS.items():
+        breaks_rule = breaks_rule | (F.length(column) > most)
     early = F.when(
         F.col("email").isNull() | F.col("first_name").isNull(), labels.MISSING_FIELDS
     ).when(~F.col("email").contains("@"), labels.BAD_EMAIL)
@@ -253,6 +296,12 @@ def validate_new_employees(
     )
 
 
-def create_departments(requests: DataFrame, departments: DataFrame) -> DataFrame:
-    """Departments plus the requested ones whose name is new."""
-    return append_new(departments, requests, "department_name")
+def create_departments(
+    requests: DataFrame, departments: DataFrame, number: str = "department_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Departments plus the requested ones whose name is new, and the refused requests.
+
+    ``number`` orders the requests; the first to ask for a name gets it.
+    """
+    new, refused = split_new(departments, requests, "department_name", number)
+    return departments.unionByName(new, allowMissingColumns=True), refused

@@ -7,7 +7,6 @@ written table back also gives the planner its true size.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared checkpoint folder.
-
-    All folders of an application share a parent, which may go when it has ended.
-    """
+def parent_folder(spark: SparkSession) -> str:
+    """What all scratch folders of this application lie in."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="rosterlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    application = spark.sparkContext.applicationId
-    return f"{base.rstrip('/')}/rosterlake-{application}/{label}-{uuid.uuid4().hex}"
+        raise ValueError(f"set {SETTING} to a folder every executor can reach")
+    return f"{base.rstrip('/')}/rosterlake-{spark.sparkContext.applicationId}"
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    return f"{parent_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written there; results must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_and_read(df: DataFrame, label: str) -> DataFrame:

@@ -95,15 +95,43 @@ def save(
         df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
 
 
-def append_new(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """``target`` plus the incoming rows whose natural key it does not hold yet."""
-    missing = incoming.join(target.select(key), key, "left_anti")
-    return target.unionByName(missing, allowMissingColumns=True)
+def split_new(
+    target: DataFrame, incoming: DataFrame, key: str, order: str
+) -> tuple[DataFrame, DataFrame]:
+    """Incoming rows that may be added, and the refused ones with ``refused``, the reason.
 
-
-def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn at random; each task keeps at most ``n`` of its own."""
-    return df.orderBy(F.rand(seed)).limit(n)
+    Of the rows with one natural key the first in ``order`` (unique) may go in, unless
+    ``target`` holds the key; rows without a key may not.
+    """
+    first = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first_row"))
+    held = target.select(key).distinct().withColumn("is_held", F.lit(True))
+    judged = (
+        incoming.join(first, key, "left")
+        .join(held, key, "left")
+        .withColumn(
+            "refused",
+            F.when(F.col(key).isNull(), "no key")
+            .when(F.col("is_held"), "key is held")
+            .when(F.col(order) > F.col("first_row"), "key is repeated"),
+        )
+    )
+    new = judged.filter("refused IS NULL").select(*incoming.columns)
+    return new, judged.filter("refused IS NOT NULL").select(*incoming.columns, "refused")
+
+
+def append_new(target: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
+    """``target`` plus the incoming rows that :func:`split_new` lets in."""
+    new, _ = split_new(target, incoming, key, order)
+    return target.unionByName(new, allowMissingColumns=True)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn by a seeded hash of their key, so the draw can be repeated.
+
+    Each task keeps at most ``n`` of its own.
+    """
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.orderBy(drawn, key).limit(n)
 
 
 def json_record(*columns: str | Column) -> Column:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.changes import DEFAULT_REASON, SYSTEM_USER
-from ..sources.scratch import scratch_folder
+from ..sources.scratch import scratch_folder, write_and_read
 from ..sources.tables import json_record
 
 
@@ -62,13 +63,16 @@ def history_rows(
 
 
 def department_movement(changes: DataFrame, employees: DataFrame) -> DataFrame:
-    """What a feed has done to each department's heads and fund so far."""
+    """What a feed has done to each department's heads and fund so far.
+
+    Changes of people the employee table does not know yet (hires) count under a NULL department.
+    """
     operation = F.col("operation")
     old = F.when(operation != "INSERT", F.col("old_salary")).otherwise(0)
     new = F.when(operation != "DELETE", F.col("new_salary")).otherwise(0)
     heads = F.when(operation == "INSERT", 1).when(operation == "DELETE", -1).otherwise(0)
     return (
-        changes.join(employees.select("employee_id", "department_id"), "employee_id")
+        changes.join(employees.select("employee_id", "department_id"), "employee_id", "left")
         .groupBy("department_id")
         .agg(
             F.count("*").alias("changes"),
@@ -79,17 +83,6 @@ def department_movement(changes: DataFrame, employees: DataFrame) -> DataFrame:
     )
 
 
-def once(changes: DataFrame, delay: str) -> DataFrame:
-    """Every change once, however often its delivery is retried.
-
-    The watermark lets the job forget ids, so its state stays bounded; ``delay``
-    must exceed how late a change, or its retry, may arrive.
-    """
-    return changes.withWatermark("changed_at", delay).dropDuplicatesWithinWatermark(
-        ["change_id"]
-    )
-
-
 def drain_rows(stream: DataFrame, label: str) -> DataFrame:
     """Append what the source holds to a table, then read the table.
 
@@ -109,35 +102,45 @@ def drain_rows(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:
-    """Write changed groups batch by batch, then read the last state of each.
+def stream_department_movement(changes: DataFrame, employees: DataFrame, label: str) -> DataFrame:
+    """The running form of :func:`department_movement`: drain a stream of changes, read the sums.
 
-    A batch that is retried overwrites its own folder, so nothing counts twice.
+    Every change counts once, however often and however late it is delivered: a batch
+    leaves out the ids that earlier batches stored (by day, so that only the days it
+    touches are read) and adds what is new as one row a department. A batch that is
+    retried overwrites its own folders, so nothing counts twice.
     """
-    spark = stream.sparkSession
+    spark = changes.sparkSession
     folder = scratch_folder(spark, label)
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
+    ids, sums = f"{folder}/ids", f"{folder}/sums"
+    day = F.to_date("changed_at").alias("day")
+    id_schema = StructType.fromDDL("change_id long, batch long, day date")
+    nothing = spark.createDataFrame([], changes.schema)
+    empty = department_movement(nothing, employees)
+    empty.write.parquet(f"{sums}/batch=-1")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        session = batch.sparkSession
+        batch = batch.dropDuplicates(["change_id"]).withColumn("day", day)
+        if batch_id:
+            # The folders of earlier batches only: an attempt that failed does not hide its own rows.
+            earlier = [f"{ids}/batch={i}" for i in range(batch_id)]
+            seen = session.read.schema(id_schema).option("basePath", ids).parquet(*earlier)
+            batch = batch.join(seen.select("day", "change_id"), ["day", "change_id"], "left_anti")
+        new = write_and_read(batch, label + "_new")
+        new.select("change_id", "day").write.mode("overwrite").partitionBy("day").parquet(f"{ids}/batch={batch_id}")
+        department_movement(new.drop("day"), employees).write.mode("overwrite").parquet(f"{sums}/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write_batch)
+        changes.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    states = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
-    rest = [c for c in stream.columns if c != key]
-    return states.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(
-        key, *[F.col(f"last.{c}").alias(c) for c in rest]
+    stored = spark.read.schema(empty.schema).option("basePath", sums).parquet(sums)
+    return stored.groupBy("department_id").agg(
+        *[F.sum(c).alias(c) for c in ("changes", "head_change")],
+        F.sum("fund_change").cast(empty.schema["fund_change"].dataType).alias("fund_change"),
+        F.max("highest_salary").alias("highest_salary"),
     )
-
-
-def stream_department_movement(
-    changes: DataFrame, employees: DataFrame, delay: str = "1 day"
-) -> DataFrame:
-    """The running form of :func:`department_movement` over a stream."""
-    return department_movement(once(changes, delay), employees)

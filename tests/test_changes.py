@@ -243,23 +243,23 @@ def test_everyone_draws_from_the_own_department(make):
         *[{"employee_id": i, "department_id": i % 3 + 1} for i in range(1, 13)],
     )
     none = make("employee_projects")
-    drawn = staffing.assign_projects(employees, projects, none, per_employee=2, parts=3)
+    drawn = staffing.assign_projects(employees, projects, none, per_employee=2)
     rows = [(r.employee_id, r.project_id) for r in drawn.collect()]
     assert len(rows) == len(set(rows)) == 16
     for employee, project in rows:
         assert (employee % 3 + 1) == (1 if project < 6 else 2)
     kept = make("employee_projects", *[{"employee_id": e, "project_id": p} for e, p in rows[:5]])
-    again = staffing.assign_projects(employees, projects, kept, per_employee=2, parts=3)
+    again = staffing.assign_projects(employees, projects, kept, per_employee=2)
     assert {(r.employee_id, r.project_id) for r in again.collect()} == set(rows[5:])
 
 
 def test_slots_number_every_group_without_gaps(spark):
     rows = [(i % 3, i) for i in range(50)]
     df = spark.createDataFrame(rows, "g int, k long")
-    slots = staffing.numbered_in_group(df, "g", "k", 4).collect()
+    slots = staffing.numbered_in_group(df.repartition(7), "g", "k").collect()
     for group in range(3):
-        of_group = [r for r in slots if r.g == group]
-        assert sorted(r.slot for r in of_group) == list(range(len(of_group)))
+        of_group = sorted((r for r in slots if r.g == group), key=lambda r: r.k)
+        assert [r.slot for r in of_group] == list(range(len(of_group)))
         assert {r.group_size for r in of_group} == {len(of_group)}
 
 

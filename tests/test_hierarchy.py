@@ -90,3 +90,12 @@ def test_tails_of_any_length_below_a_loop(make):
 def test_no_loops_in_a_sound_tree(make):
     assert hierarchy.hierarchy_violations(staff(make, (1, None, True), (2, 1, True))).count() == 0
     assert hierarchy.hierarchy_violations(staff(make)).count() == 0
+
+
+def test_a_long_line_takes_few_rounds(spark, make):
+    rows = [(i, i - 1 if i > 1 else None) for i in range(1, 1001)]
+    edges = spark.createDataFrame(rows, "employee_id long, manager_id long")
+    named = edges.selectExpr("*", "'A' AS first_name", "cast(employee_id as string) AS last_name")
+    found = hierarchy.subordinates(named, 3, ordered=False)
+    assert {(r.employee_id, r.level) for r in found.collect()} == {(i, i - 3) for i in range(4, 1001)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 40

@@ -147,9 +147,21 @@ def test_new_employees(spark, make):
 
 def test_append_new_and_records(make):
     target = make("skills", {"skill_id": 1})
-    more = make("skills", {"skill_id": 8}, {"skill_id": 9, "skill_name": "Git"})
-    merged = tables.append_new(target, more, "skill_name")
+    more = make(
+        "skills",
+        {"skill_id": 8},
+        {"skill_id": 10, "skill_name": "Git"},
+        {"skill_id": 9, "skill_name": "Git"},
+        {"skill_id": 11, "skill_name": None},
+    )
+    merged = tables.append_new(target, more, "skill_name", "skill_id")
     assert {r.skill_id for r in merged.collect()} == {1, 9}
+    _, refused = tables.split_new(target, more, "skill_name", "skill_id")
+    assert {(r.skill_id, r.refused) for r in refused.collect()} == {
+        (8, "key is held"),
+        (10, "key is repeated"),
+        (11, "no key"),
+    }
     record = tables.to_records(target.select("skill_id", "description")).collect()[0].record
     assert record == '{"skill_id":1,"description":null}'
 
@@ -229,3 +241,27 @@ def test_requests(spark):
         [(1, date(2020, 1, 2), date(2020, 1, 1))], "employee_id long, start_date date, end_date date"
     )
     assert quality.request_errors("vacation", vacations, AS_OF).collect()[0].errors == ["dates"]
+
+
+def test_large_keys_dates_lengths_and_line_breaks(spark, make, tmp_path):
+    folder = tmp_path / "file.csv"
+    header = "first_name,last_name,email,hire_date,salary,department_id,position_id,manager_id\n"
+    big = 9007199254740993
+    folder.write_text(
+        header
+        + f'Ann,Lee,a@b.com,1999/06/30,10,1,1,{big}\n'
+        + f'Bob,Lee,b@b.com,06/29/1999,1e2,1.0,1,{big - 1}\n'
+        + '"Cy\nOne",Lee,c@b.com,28.06.1999,10,1,1,\n'
+        + f'{"x" * 150},Lee,d@b.com,1999-06-27,10,1,1,\n'
+        + 'Eve,Lee,e@b.com,"June 26, 1999",10.25,1,1,\n'
+    )
+    existing = make("employees", {"employee_id": big - 1, "email": "boss@b.com"})
+    lines = intake.read_numbered_csv(spark, str(folder))
+    result = intake.import_employees(
+        lines, existing, make("departments", {"department_id": 1}), make("positions", {"position_id": 1}), date(1999, 6, 30)
+    )
+    got = {r.row_no: r for r in result.accepted.collect()}
+    assert set(got) == {2, 3, 5}
+    assert (got[2].manager_id, got[2].salary, got[2].hire_date) == (big - 1, Decimal(100), date(1999, 6, 29))
+    assert got[3].first_name == "Cy\nOne" and got[3].hire_date == date(1999, 6, 28)
+    assert got[5].hire_date == date(1999, 6, 26) and got[5].salary == Decimal("10.25")

@@ -40,9 +40,20 @@ def test_movement_over_many_batches_with_retries(spark, tmp_path):
     stream = (
         spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
     )
-    movement = feeds.stream_department_movement(stream, f.employees, "400 days")
-    drained = feeds.drain_latest(movement, "department_id", "movement")
+    drained = feeds.stream_department_movement(stream, f.employees, "movement")
     assert same(drained, feeds.department_movement(f.changes, f.employees))
+    counted = drained.agg({"changes": "sum"}).first()[0]
+    assert counted == f.changes.count()
+
+
+def test_movement_counts_people_the_table_does_not_know(spark, tmp_path):
+    f = Fixtures(spark, DATA)
+    known = f.employees.filter("employee_id % 2 = 0")
+    f.changes.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(str(tmp_path / "feed"))
+    drained = feeds.stream_department_movement(stream, known, "hires")
+    assert same(drained, feeds.department_movement(f.changes, known))
+    assert drained.filter("department_id IS NULL").count() == 1
 
 
 def test_empty_source(spark, tmp_path):
@@ -51,5 +62,4 @@ def test_empty_source(spark, tmp_path):
     stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(str(folder))
     assert feeds.drain_rows(feeds.history_rows(stream), "none").count() == 0
     f = Fixtures(spark, DATA)
-    movement = feeds.stream_department_movement(stream, f.employees)
-    assert feeds.drain_latest(movement, "department_id", "none").count() == 0
+    assert feeds.stream_department_movement(stream, f.employees, "none").count() == 0
