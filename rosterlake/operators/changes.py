@@ -116,9 +116,12 @@ def reassign_department_heads(
     positions: DataFrame,
     departments: DataFrame,
     changed: str = "changed_on",
+    at: Column | None = None,
 ) -> DataFrame:
     """Departments headed by whoever last moved into a leading position there.
 
+    With ``at``, departments that get a new head have it as ``updated_at``.
+
     ``changed`` names the column of ``after`` that orders the moves. A new
     employee counts as a move.
     """
@@ -139,11 +142,11 @@ def reassign_department_heads(
     heads = moved.groupBy("department_id").agg(
         F.max_by("employee_id", F.struct(changed, "employee_id")).alias("new_head")
     )
+    new = {"manager_id": F.coalesce("new_head", "manager_id")}
+    if at is not None:
+        new["updated_at"] = F.when(F.col("new_head").isNotNull(), at).otherwise(F.col("updated_at"))
     return departments.join(heads, "department_id", "left").select(
-        *[
-            F.coalesce("new_head", c).alias(c) if c == "manager_id" else F.col(c)
-            for c in departments.columns
-        ],
+        *[new.get(c, F.col(c)).alias(c) for c in departments.columns],
         F.col("new_head").isNotNull().alias("reassigned"),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType
 
 from ..functions import payroll
-from ..operators import changes, hierarchy, listing, quality, reports, staffing
+from ..operators import changes, hierarchy, listing, quality, raises, reports, staffing
 from ..sources import intake, tables
 from ..sources.fixtures import AS_OF, BASE_SCHEMAS, Fixtures
 from ..sources.scratch import scratch_folder, write_and_read
@@ -432,6 +432,32 @@ def f3_raise_salaries(f: Fixtures) -> DataFrame:
     return raised
 
 
+@query
+def f3_raise_job(f: Fixtures) -> DataFrame:
+    """History of the raises that went through, and whom the others would have concerned."""
+    outcomes = None
+    # A third of the budgets is far too small for its staff, so some raises are refused.
+    departments = f.departments.withColumn(
+        "budget", F.expr("cast(CASE WHEN department_id % 3 = 0 THEN budget / 10000 ELSE budget * 100 END as decimal(15,2))")
+    )
+    for department in (3, 4, 5, 6):
+        job = raises.raise_department(
+            f.employees, departments, department, Decimal("7.50"), MIDNIGHT
+        )
+        done = job.history.select(
+            "employee_id", "old_salary", "new_salary", "change_reason", F.lit("raised").alias("outcome")
+        )
+        held = job.refused.select(
+            "employee_id",
+            *[F.lit(None).cast("decimal(12,2)").alias(c) for c in ("old_salary", "new_salary")],
+            F.lit(None).cast("string").alias("change_reason"),
+            F.lit("refused").alias("outcome"),
+        )
+        both = done.unionByName(held)
+        outcomes = both if outcomes is None else outcomes.unionByName(both)
+    return outcomes
+
+
 @query
 def f4_manager_subordinates(f: Fixtures) -> DataFrame:
     return hierarchy.manager_subordinates(f.employees, f.positions, 1)
@@ -504,9 +530,11 @@ def t3_touch(f: Fixtures) -> DataFrame:
 
 @query
 def t4_reassign_department_heads(f: Fixtures) -> DataFrame:
-    return changes.reassign_department_heads(f.before, f.after, f.positions, f.departments).select(
-        "department_id", "department_name", "manager_id", "reassigned"
+    departments = f.departments.withColumn("updated_at", F.lit(YEAR_AGO))
+    headed = changes.reassign_department_heads(
+        f.before, f.after, f.positions, departments, at=F.lit(AS_OF)
     )
+    return headed.select("department_id", "department_name", "manager_id", "updated_at", "reassigned")
 
 
 @query

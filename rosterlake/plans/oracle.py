@@ -891,6 +891,22 @@ BODIES: dict[str, str] = {
                CAST(round(salary * 1.075, 2) AS DOUBLE) AS new_salary,
                CAST(round(salary * 1.075, 2) - salary AS DOUBLE) AS increase_amount
         FROM employees WHERE department_id = 3 AND is_active""",
+    "f3_raise_job": """
+        WITH staff AS (
+            SELECT employee_id, department_id, salary, round(salary * 1.075, 2) AS raised
+            FROM employees WHERE is_active AND department_id BETWEEN 3 AND 6),
+        over AS (
+            SELECT s.department_id,
+                   sum(raised) > 0.7 * any_value(CAST(CASE WHEN d.department_id % 3 = 0
+                       THEN budget / 10000 ELSE budget * 100 END AS DECIMAL(15,2))) AS broken
+            FROM staff s JOIN departments d ON d.department_id = s.department_id
+            GROUP BY s.department_id)
+        SELECT employee_id, CASE WHEN NOT broken THEN CAST(salary AS DOUBLE) END AS old_salary,
+               CASE WHEN NOT broken THEN CAST(raised AS DOUBLE) END AS new_salary,
+               CASE WHEN NOT broken THEN 'Повышение зарплаты отделу '
+                    || CAST(s.department_id AS VARCHAR) || ' на 7.50%' END AS change_reason,
+               CASE WHEN broken THEN 'refused' ELSE 'raised' END AS outcome
+        FROM staff s JOIN over USING (department_id)""",
     "f4_manager_subordinates": REPORTS_SQL,
     "f5_project_cost": f"""
         WITH costs AS (
@@ -966,6 +982,8 @@ BODIES: dict[str, str] = {
               AND (b.employee_id IS NULL OR b.position_id <> a.position_id
                    OR b.department_id <> a.department_id))
         SELECT d.department_id, department_name, employee_id AS manager_id,
+               CASE WHEN employee_id IS NULL THEN DATE '1998-06-30' ELSE DATE '1999-06-30' END
+                   AS updated_at,
                employee_id IS NOT NULL AS reassigned
         FROM departments d
         LEFT JOIN (SELECT * FROM moves WHERE place = 1) m ON m.department_id = d.department_id""",

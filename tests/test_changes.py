@@ -4,7 +4,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from rosterlake import labels
-from rosterlake.operators import changes, staffing
+from rosterlake.functions import payroll
+from rosterlake.operators import changes, raises, staffing
 
 AS_OF = date(2023, 2, 28)
 
@@ -291,3 +292,25 @@ def test_role_of_the_project_manager(make):
         1: labels.ROLE_HEAD,
         2: labels.ROLE_LEADING,
     }
+
+
+def test_raise_is_all_or_nothing(make):
+    employees = make(
+        "employees",
+        {"employee_id": 1, "salary": Decimal(100), "department_id": 1},
+        {"employee_id": 2, "salary": Decimal(200), "department_id": 1},
+        {"employee_id": 3, "salary": Decimal(300), "department_id": 1, "is_active": False},
+        {"employee_id": 4, "salary": Decimal(400), "department_id": 2},
+    )
+    at = datetime(2024, 1, 1)
+    for budget, paid in ((1000, {1: 110, 2: 220, 3: 300, 4: 400}), (400, {1: 100, 2: 200, 3: 300, 4: 400})):
+        departments = make("departments", {"department_id": 1, "budget": Decimal(budget)}, {"department_id": 2})
+        job = raises.raise_department(employees, departments, 1, Decimal(10), at)
+        assert {r.employee_id: int(r.salary) for r in job.employees.collect()} == paid
+        changed = {i for i in paid if paid[i] != 100 * i}
+        assert {r.employee_id for r in job.history.collect()} == changed
+        assert {r.record_id for r in job.audit.collect()} == changed
+        assert {r.employee_id for r in job.refused.collect()} == (set() if changed else {1, 2})
+        assert [r.department_id for r in job.stats.collect()] == ([1] if changed else [])
+        assert {r.employee_id for r in job.employees.collect() if r.updated_at} == changed
+        assert all(r.change_reason == payroll.raise_reason(1, Decimal(10)) for r in job.history.collect())
