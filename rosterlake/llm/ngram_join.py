@@ -134,18 +134,28 @@ def _sets(buckets: int, words: int, percent: int):
             shingles, edges = shingle_sets(data, offsets, words)
             keys = np.unique(shingles)
             known = counts_told(keys, told, buckets)[np.searchsorted(keys, shingles)] if len(keys) else keys
+            shared = np.concatenate([[0], np.cumsum(known > 1)])
+            n = np.diff(edges)
+            links = (n > 0) & (ids != NO_ID) & (np.diff(shared[edges]) >= least_overlap(n, percent))
             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                df, n = known[a:b], int(b - a)
-                links = n > 0 and ids[i] != NO_ID and int((df > 1).sum()) >= least_overlap(n, percent)
                 out["doc_id"].append(None if ids[i] == NO_ID else int(ids[i]))
-                out["n"].append(n)
-                out["tokens"].append(shingles[a:b].tobytes() if links else None)
-                out["rare"].append(prefix(shingles[a:b], df, percent).tolist() if links else None)
+                out["n"].append(int(b - a))
+                out["tokens"].append(shingles[a:b].tobytes() if links[i] else None)
+                out["rare"].append(prefix(shingles[a:b], known[a:b], percent).tobytes() if links[i] else None)
         return pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix shingle of each representative."""
+    for batch in batches:
+        parts = [np.frombuffer(x, np.int64) for x in batch.column("rare").to_pylist()]
+        reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in parts])
+        tokens = np.concatenate([*parts, np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(tokens)], names=["rep", "token"])
+
+
 def prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
     """The tokens, of the first n - ceil(t n) + 1 in (df, hash) order, that others have too."""
     n = len(tokens)
@@ -352,7 +362,9 @@ def _linked_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFra
     content = ["block", "ids", "sizes", "tokens", "groups"]
     left = blocks.select(*[F.col(c).alias(f"a_{c}") for c in content])
     right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in content])
-    joined = pairs.join(left, "a_block").join(right, "b_block")
+    # Pairs differ much in the work they are, little in size: deal them out one by one.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = pairs.join(left, "a_block").join(right, "b_block").repartition(parts, "a_block", "b_block")
     return joined.mapInArrow(_connect(percent), "a long, b long")
 
 
@@ -401,7 +413,7 @@ def near_duplicates(
     buckets = bucket_count(blocks, BUCKET_BYTES // 2)
     told = document_counts(blocks, _features(words), buckets)
     sets = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _sets(buckets, words, percent), "doc_id long, n int, tokens binary, rare array<long>"
+        _sets(buckets, words, percent), "doc_id long, n int, tokens binary, rare binary"
     )
     sets = write_and_read(
         sets.withColumn("digest", F.when(F.col("tokens").isNotNull(), F.sha2("tokens", 256))), "shingle_sets"
@@ -412,7 +424,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("rare").alias("rare")),
         "set_representatives",
     )
-    shared = reps.select("rep", F.explode("rare").alias("token"))
+    shared = reps.select("rep", "rare").mapInArrow(_spread, "rep long, token long")
     hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     hubs = write_and_read(hubs.select("token", "hub"), "prefix_hubs")
     together = shared.join(hubs, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
