@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -238,140 +238,113 @@ def orphan_rows(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
-def _exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
-    """The entries of each row that are not NULL as rows of their own, in one scan."""
-    return df.select(F.inline(F.array_compact(F.array(*entries))))
-
-
-def _named(
-    counted: DataFrame, spark: SparkSession, lines: Sequence[tuple[str, str]]
-) -> DataFrame:
-    """Counts per line number under the names of the lines, 0 where nothing was counted."""
-    names = spark.createDataFrame(
-        [(number, table, name) for number, (table, name) in enumerate(lines)],
-        "line INT, table_name STRING, constraint_name STRING",
-    )
-    return names.join(counted, "line", "left").select(
-        "table_name",
-        "constraint_name",
-        F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
-    )
-
-
 def _key_fields(df: DataFrame, key: Sequence[str], width: int) -> list[Column]:
     """The columns of a key in typed places: texts apart from whole numbers."""
     texts = [c for c in key if isinstance(df.schema[c].dataType, StringType)]
     wholes = [c for c in key if c not in texts]
     fields = []
     for place in range(width):
-        text = F.col(texts[place]) if place < len(texts) else F.lit(None).cast("string")
+        text = F.col(texts[place]) if place < len(texts) else F.lit(None)
         whole = F.col(wholes[place]) if place < len(wholes) else F.lit(None)
-        fields += [text.alias(f"text_{place}"), whole.cast("long").alias(f"whole_{place}")]
+        fields += [text.cast("string").alias(f"text_{place}"), whole.cast("long").alias(f"whole_{place}")]
     return fields
 
 
-def unique_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Number of keys held more than once, per unique key.
-
-    The keys of all constraints go through one shuffle, every table is read once.
-    """
-    keys = [(t, (k,), "primary key") for t, k in PRIMARY_KEYS.items()]
-    keys += [(t, k, "true") for t, k in UNIQUE_KEYS] + PARTIAL_UNIQUE_KEYS
-    width = max(len(k) for _, k, _ in keys)
-    lines, parts = [], []
-    for table, df in tables.items():
-        entries = []
-        for owner, key, condition in keys:
-            if owner != table:
-                continue
-            if not set(key) <= set(df.columns):
-                continue  # the missing column is reported where it is required
-            present = F.lit(True) if condition == "primary key" else F.expr(condition)
-            for column in key:
-                present = present & F.col(column).isNotNull()
-            line = F.lit(len(lines)).alias("line")
-            entries.append(F.when(present, F.struct(line, *_key_fields(df, key, width))))
-            name = f"unique {', '.join(key)}"
-            if condition == "primary key":
-                name = f"primary key {key[0]}"
-            elif condition != "true":
-                name = f"{name} where {condition}"
-            lines.append((table, name))
-        if entries:
-            parts.append(_exploded(df, entries))
-    stacked = _stack(parts)
-    counted = (
-        stacked.groupBy(*stacked.columns)
-        .agg(F.count("*").alias("held"))
-        .filter("held > 1")
-        .groupBy("line")
-        .agg(F.count("*").alias("violations"))
-    )
-    return _named(counted, stacked.sparkSession, lines)
+#: What a tagged row of the report says: a broken row rule, a key to be unique, a reference, what is referred to.
+_BROKEN, _KEY, _CHILD, _PARENT = range(4)
 
 
-def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Number of rows per reference that lead nowhere.
+def constraint_report(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
+    """Violations per table and constraint; every table is read once.
 
-    References are reduced to distinct values with a count, then meet the keys of
-    all parents in one join: every child and every parent is read once.
+    One select per table emits tagged rows for the rules a row breaks, the keys it
+    holds, the references it makes and the key others refer to. All of them go through one
+    aggregation: a broken rule is a count per task before the shuffle, a key held more than
+    once is a violation, and so is every row whose reference meets no parent.
     """
-    parents = {p: k for _, _, p, k in REFERENCES if p in tables}
+    width = max(len(key) for _, key in UNIQUE_KEYS)
+    parents = {parent: key for _, _, parent, key in REFERENCES if parent in tables}
     numbers = {parent: number for number, parent in enumerate(parents)}
-    lines, parts = [], []
+    lines: list[tuple[str, str]] = []
+    references: list[int] = []
+    tagged = None
+
+    def number_of(table: str, name: str) -> int:
+        lines.append((table, name))
+        return len(lines) - 1
+
+    def tag(kind: int, group: int, line: int, fields: Sequence[Column]) -> Column:
+        head = [F.lit(x).alias(n) for n, x in (("kind", kind), ("group", group), ("line", line))]
+        return F.struct(*head, *fields)
+
     for table, df in tables.items():
+        if table not in SCHEMAS:
+            continue
+        df = _complete(table, df)
+        no_key = _key_fields(df, (), width)
         entries = []
+        for name, broken in _row_rules(table, df, as_of).items():
+            line = number_of(table, name)
+            entries.append(F.when(broken, tag(_BROKEN, line, line, no_key)))
+        keys = [(f"primary key {PRIMARY_KEYS[table]}", (PRIMARY_KEYS[table],), "true")]
+        keys += [(f"unique {', '.join(k)}", k, "true") for t, k in UNIQUE_KEYS if t == table]
+        keys += [
+            (f"unique {', '.join(k)} where {c}", k, c) for t, k, c in PARTIAL_UNIQUE_KEYS if t == table
+        ]
+        for name, key, condition in keys:
+            line = number_of(table, name)
+            present = F.expr(condition)
+            for column in key:
+                present = present & F.col(column).isNotNull()
+            entries.append(F.when(present, tag(_KEY, line, line, _key_fields(df, key, width))))
         for owner, column, parent, _ in REFERENCES:
-            if owner != table or parent not in tables:
-                continue
-            entries.append(
-                F.when(
-                    F.col(column).isNotNull(),
-                    F.struct(
-                        F.lit(len(lines)).alias("line"),
-                        F.lit(numbers[parent]).alias("parent"),
-                        F.col(column).cast("long").alias("value"),
-                    ),
-                )
-            )
-            lines.append((table, f"foreign key {column}"))
-        if entries:
-            parts.append(_exploded(df, entries))
-    held = (
-        _stack(parts).groupBy("line", "parent", "value").agg(F.count("*").alias("rows"))
+            if owner == table and parent in parents:
+                line = number_of(table, f"foreign key {column}")
+                references.append(line)
+                fields = _key_fields(df, (column,), width)
+                entries.append(F.when(F.col(column).isNotNull(), tag(_CHILD, numbers[parent], line, fields)))
+        if table in parents:
+            fields = _key_fields(df, (parents[table],), width)
+            entries.append(tag(_PARENT, numbers[table], -1, fields))
+        rows = df.select(F.inline(F.array_compact(F.array(*entries))))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+
+    # A parent and its children meet under one kind; a child counts by its line.
+    kind = F.when(F.col("kind") == _PARENT, _CHILD).otherwise(F.col("kind")).alias("kind")
+    key = [f"{c}_{place}" for place in range(width) for c in ("text", "whole")]
+    met = (
+        tagged.select(kind, "group", "line", *key)
+        .groupBy("kind", "group", *key)
+        .agg(
+            F.count("*").alias("held"),
+            F.bool_or(F.col("line") < 0).alias("known"),
+            *[F.count_if(F.col("line") == line).alias(f"line_{line}") for line in references],
+        )
     )
-    known = _stack(
-        [
-            tables[parent].select(
-                F.lit(numbers[parent]).alias("parent"), F.col(key).cast("long").alias("value")
-            )
-            for parent, key in parents.items()
+    found = F.struct(F.col("group").alias("line"), F.col("held").alias("violations"))
+    twice = F.struct(F.col("group").alias("line"), F.lit(1).cast("long").alias("violations"))
+    lost = F.array(
+        *[
+            F.struct(F.lit(line).alias("line"), F.col(f"line_{line}").alias("violations"))
+            for line in references
         ]
     )
+    violations = (
+        F.when(F.col("kind") == _BROKEN, F.array(found))
+        .when((F.col("kind") == _KEY) & (F.col("held") > 1), F.array(twice))
+        .when((F.col("kind") == _CHILD) & ~F.col("known"), lost)
+    )
     counted = (
-        held.join(known, ["parent", "value"], "left_anti")
-        .groupBy("line")
-        .agg(F.sum("rows").alias("violations"))
+        met.select(F.inline(violations)).groupBy("line").agg(F.sum("violations").alias("violations"))
     )
-    return _named(counted, held.sparkSession, lines)
-
-
-def _stack(frames: Sequence[DataFrame]) -> DataFrame:
-    stacked = frames[0]
-    for frame in frames[1:]:
-        stacked = stacked.unionByName(frame)
-    return stacked
-
-
-def constraint_report(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
-    """Violations per table and constraint."""
-    checks = [check_report(t, df, as_of) for t, df in tables.items() if t in SCHEMAS]
-    return _stack(
-        [
-            *checks,
-            unique_report(tables),
-            reference_report(tables),
-        ]
+    names = tagged.sparkSession.createDataFrame(
+        [(number, table, name) for number, (table, name) in enumerate(lines)],
+        "line INT, table_name STRING, constraint_name STRING",
+    )
+    return names.join(counted, "line", "left").select(
+        "table_name",
+        "constraint_name",
+        F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
     )
 
 

@@ -207,10 +207,15 @@ def assign_projects(
     employees: DataFrame,
     projects: DataFrame,
     employee_projects: DataFrame,
+    percentage: Column,
+    starts: Column,
     per_employee: int = 1,
 ) -> DataFrame:
     """New assignments: everyone draws projects of the own department.
 
+    ``percentage`` and ``starts`` say how much of whose time, and from when, over
+    ``employee_id``, ``project_id``, ``salary`` and the project's ``start_date``.
+
     The draw is a function of the keys: projects of a department are numbered
     and an employee takes ``per_employee`` of them, all if there are no more, from
     the number the own key points at. Work grows with the employees, not with the pairs a department
@@ -244,12 +249,7 @@ def assign_projects(
             F.when(F.col("employee_id") == F.col("project_manager_id"), labels.ROLE_HEAD)
             .otherwise(by_salary(ROLE_STEPS, labels.ROLE_OTHER))
             .alias("role_in_project"),
-            (70 + F.pmod(F.col("employee_id") * 7 + F.col("project_id") * 13, F.lit(31)))
-            .cast("int")
-            .alias("participation_percentage"),
-            F.date_add(
-                "start_date",
-                F.pmod(F.col("employee_id") + F.col("project_id"), F.lit(30)).cast("int"),
-            ).alias("start_date"),
+            percentage.cast("int").alias("participation_percentage"),
+            starts.alias("start_date"),
         )
     )

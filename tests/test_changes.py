@@ -244,13 +244,13 @@ def test_everyone_draws_from_the_own_department(make):
         *[{"employee_id": i, "department_id": i % 3 + 1} for i in range(1, 13)],
     )
     none = make("employee_projects")
-    drawn = staffing.assign_projects(employees, projects, none, per_employee=2)
+    drawn = staffing.assign_projects(employees, projects, none, F.lit(50), F.col("start_date"), per_employee=2)
     rows = [(r.employee_id, r.project_id) for r in drawn.collect()]
     assert len(rows) == len(set(rows)) == 16
     for employee, project in rows:
         assert (employee % 3 + 1) == (1 if project < 6 else 2)
     kept = make("employee_projects", *[{"employee_id": e, "project_id": p} for e, p in rows[:5]])
-    again = staffing.assign_projects(employees, projects, kept, per_employee=2)
+    again = staffing.assign_projects(employees, projects, kept, F.lit(50), F.col("start_date"), per_employee=2)
     assert {(r.employee_id, r.project_id) for r in again.collect()} == set(rows[5:])
 
 
