@@ -143,8 +143,9 @@ class Predictor:
             if single:
                 value += np.take(single[1], x[:, single[0] : single[0] + n], axis=0)
             best.append(value.max(1) + bias)
-        z = np.maximum(np.concatenate(best, axis=1), 0) @ self.network.out + self.network.out_bias
-        z = z.astype(float)
+        # Not a matrix product: its sums would depend a little on the rows that happen to be together.
+        hidden = np.maximum(np.concatenate(best, axis=1), 0).astype(float)
+        z = np.einsum("ij,jk->ik", hidden, self.network.out.astype(float)) + self.network.out_bias
         top = z.max(1, keepdims=True)
         return z - top - np.log(np.exp(z - top).sum(1, keepdims=True))
 

@@ -22,7 +22,7 @@ def folder(spark, documents, prose, tmp_path):
     rows += [(100 + i, near_copy(rng.choice(base), rng.randint(0, 1), rng)) for i in range(60)]
     rows += [(300 + i, f"{prose(25, 3000 + i)}\n{passage}\n{prose(20, 4000 + i)}") for i in range(20)]
     rows += [(400 + i, f"{prose(20, 5000 + i)} idiot moron {prose(9, 6000 + i)}") for i in range(60)]
-    rows += [(500, None), (501, ""), (502, "same"), (502, "same"), (None, "no id"), (503, prose(5000, 7))]
+    rows += [(500, None), (501, ""), (502, "same"), (502, "same"), (None, "no id"), (503, prose(300, 7))]
     df = documents(rows, 4, source=lambda i: f"s{(i or 0) % 3}").select("doc_id", "text", "lang", "source", "n_chars")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, int(400 <= i < 500), 1) for i, _ in rows if i is not None]
