@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from llm_fixtures import documents, odd, prose  # noqa: F401
 
 from rosterlake.llm import language_id, toxicity
 

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import documents, prose  # noqa: F401
 from test_text_operators import VOCABULARY, brute_join, brute_repeats, near_copy
 from tokenizers import Tokenizer
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from llm_fixtures import documents, odd, prose  # noqa: F401
 from tokenizers import Tokenizer
 
 from rosterlake.llm import bpe_automaton, license_scan, ngram_join, source_mix, substring_lines, suffix_dedup
