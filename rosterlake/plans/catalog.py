@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType
 
 from ..functions import payroll
-from ..operators import changes, hierarchy, listing, quality, raises, reports, staffing
+from ..operators import changes, hierarchy, listing, patches, quality, raises, reports, staffing
 from ..sources import intake, tables
 from ..sources.fixtures import AS_OF, BASE_SCHEMAS, Fixtures
 from ..sources.scratch import scratch_folder, write_and_read
@@ -670,7 +670,8 @@ def _delete(f: Fixtures) -> tuple[dict[str, DataFrame], DataFrame]:
         "employee_skills",
     ]
     ids = f.employees.filter("NOT is_active").select("employee_id")
-    return changes.delete_employees(ids, {n: getattr(f, n) for n in names})
+    log = f.changes.selectExpr("change_id AS log_id", "employee_id AS changed_by")
+    return changes.delete_employees(ids, {n: getattr(f, n) for n in names} | {"audit_log": log})
 
 
 @query
@@ -682,6 +683,7 @@ def t13_delete_employees(f: Fixtures) -> DataFrame:
         "salary_history": ("salary_change_id", "employee_id"),
         "vacations": ("vacation_id", "approved_by"),
         "employee_skills": ("employee_id", "skill_id"),
+        "audit_log": ("log_id", "changed_by"),
     }
     result = None
     for name, (first, second) in keys.items():
@@ -694,6 +696,23 @@ def t13_delete_employees(f: Fixtures) -> DataFrame:
     return result
 
 
+@query
+def t12_checked_updates(f: Fixtures) -> DataFrame:
+    asked = f.employees.filter("employee_id % 6 = 0").selectExpr(
+        "employee_id",
+        "1 AS patch_no",
+        "cast(CASE WHEN employee_id % 12 = 0 THEN -1 ELSE salary + 1 END as decimal(12,2)) AS salary",
+        "cast(CASE WHEN employee_id % 18 = 0 THEN 99 ELSE 3 END as bigint) AS department_id",
+        "CASE WHEN employee_id % 30 = 0 THEN 'same@company.com' ELSE 'p.' || email END AS email",
+        """CASE WHEN employee_id % 42 = 0 THEN array('email') WHEN employee_id % 30 = 0
+           THEN array('email', 'salary') ELSE array('salary', 'department_id') END AS fields""",
+    )
+    job = patches.apply_checked_updates(f.employees, asked, f.departments, f.positions, AS_OF)
+    return job.employees.join(job.refused, "employee_id", "left").select(
+        "employee_id", "email", "salary", "department_id", F.array_join("broken", ", ").alias("broken")
+    )
+
+
 @query
 def t13_blocked_deletes(f: Fixtures) -> DataFrame:
     return _delete(f)[1]
@@ -912,6 +931,12 @@ def x2_stream_history(f: Fixtures) -> DataFrame:
     return feeds.drain_rows(feeds.history_rows(_feed(f)), "history")
 
 
+@query
+def x3_stream_department_figures(f: Fixtures) -> DataFrame:
+    drained = feeds.drain_rows(_feed(f), "changes")
+    return feeds.department_figures(drained, f.employees)
+
+
 @query
 def x3_stream_department_movement(f: Fixtures) -> DataFrame:
     return feeds.stream_department_movement(_feed(f), f.employees, "movement")

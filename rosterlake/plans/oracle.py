@@ -1102,6 +1102,30 @@ BODIES: dict[str, str] = {
                CASE WHEN (employee_id + 100000000) % 12 = 0 THEN phone || '0' END,
                CAST(salary * 2 + n AS DOUBLE), department_id % 25 + 1, 'unknown'
         FROM employees, (SELECT unnest([1, 2]) AS n) WHERE employee_id % 90 = 0""",
+    "t12_checked_updates": """
+        WITH asked AS (
+            SELECT e.*,
+                   CASE WHEN employee_id % 6 <> 0 OR employee_id % 42 = 0 THEN salary
+                        WHEN employee_id % 12 = 0 THEN -1 ELSE salary + 1 END AS new_salary,
+                   CASE WHEN employee_id % 6 <> 0 OR employee_id % 42 = 0 OR employee_id % 30 = 0
+                        THEN department_id WHEN employee_id % 18 = 0 THEN 99 ELSE 3 END AS new_place,
+                   CASE WHEN employee_id % 6 <> 0 OR (employee_id % 42 <> 0 AND employee_id % 30 <> 0)
+                        THEN email WHEN employee_id % 30 = 0 THEN 'same@company.com'
+                        ELSE 'p.' || email END AS new_email
+            FROM employees e),
+        judged AS (
+            SELECT *, concat_ws(', ',
+                       CASE WHEN new_salary < 0 THEN 'check salary_positive' END,
+                       CASE WHEN new_place = 99 THEN 'foreign key department_id' END,
+                       CASE WHEN new_email <> email
+                             AND count(*) OVER (PARTITION BY new_email) > 1 THEN 'unique email' END)
+                       AS broken
+            FROM asked)
+        SELECT employee_id, CASE WHEN broken = '' THEN new_email ELSE email END AS email,
+               CAST(CASE WHEN broken = '' THEN new_salary ELSE salary END AS DOUBLE) AS salary,
+               CASE WHEN broken = '' THEN new_place ELSE department_id END AS department_id,
+               nullif(broken, '') AS broken
+        FROM judged""",
     "t13_delete_employees": """
         WITH gone AS (
             SELECT employee_id FROM employees
@@ -1119,7 +1143,10 @@ BODIES: dict[str, str] = {
                          CASE WHEN approved_by NOT IN (FROM gone) THEN approved_by END
         FROM vacations WHERE employee_id NOT IN (FROM gone)
         UNION ALL SELECT 'employee_skills', employee_id, skill_id
-        FROM employee_skills WHERE employee_id NOT IN (FROM gone)""",
+        FROM employee_skills WHERE employee_id NOT IN (FROM gone)
+        UNION ALL SELECT 'audit_log', change_id,
+                         CASE WHEN employee_id NOT IN (FROM gone) THEN employee_id END
+        FROM changes""",
     "t13_blocked_deletes": """
         SELECT employee_id, 'projects.project_manager_id' AS held_by FROM employees
         WHERE NOT is_active
@@ -1196,6 +1223,19 @@ BODIES: dict[str, str] = {
                CAST(changed_at AS DATE) AS change_date,
                'salary_adjustment' AS change_reason, CAST(1 AS BIGINT) AS changed_by
         FROM changes WHERE operation = 'UPDATE' AND new_salary > old_salary""",
+    "x3_stream_department_figures": """
+        WITH last AS (
+            SELECT employee_id AS person, operation, new_salary FROM changes
+            QUALIFY row_number() OVER (PARTITION BY employee_id
+                                       ORDER BY changed_at DESC, change_id DESC) = 1),
+        pay AS (
+            SELECT department_id, CASE WHEN operation IS NULL THEN salary
+                                       WHEN operation <> 'DELETE' THEN new_salary END AS pay
+            FROM employees LEFT JOIN last ON person = employee_id WHERE is_active)
+        SELECT department_id, count(pay) AS paid, CAST(sum(pay) AS DOUBLE) AS fund,
+               round(CAST(sum(pay) AS DOUBLE) / count(pay), 2) AS avg_salary,
+               CAST(min(pay) AS DOUBLE) AS min_salary
+        FROM pay GROUP BY department_id""",
     "x3_stream_department_movement": MOVEMENT_SQL,
 }
 

@@ -83,6 +83,27 @@ def department_movement(changes: DataFrame, employees: DataFrame) -> DataFrame:
     )
 
 
+def department_figures(changes: DataFrame, employees: DataFrame) -> DataFrame:
+    """Current fund, average and lowest pay per department after a feed.
+
+    The last change of a person decides; repeated deliveries change nothing, and who left
+    or is not active is not paid. Changes are reduced to one row a person before they join.
+    """
+    last = changes.groupBy("employee_id").agg(
+        F.max_by(F.struct("operation", "new_salary"), F.struct("changed_at", "change_id")).alias("last")
+    )
+    pay = F.when(F.col("last").isNull(), F.col("salary")).when(
+        F.col("last.operation") != "DELETE", F.col("last.new_salary")
+    )
+    paid = employees.filter("is_active").join(last, "employee_id", "left").select("department_id", pay.alias("pay"))
+    return paid.groupBy("department_id").agg(
+        F.count("pay").alias("paid"),
+        F.sum("pay").alias("fund"),
+        F.avg("pay").alias("avg_salary"),
+        F.min("pay").alias("min_salary"),
+    )
+
+
 def drain_rows(stream: DataFrame, label: str) -> DataFrame:
     """Append what the source holds to a table, then read the table.
 
