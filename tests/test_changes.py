@@ -287,6 +287,8 @@ def test_role_of_the_project_manager(make):
         make("employees", {"employee_id": 1}, {"employee_id": 2, "salary": Decimal(150_000)}),
         make("projects", {"project_id": 1}),
         make("employee_projects"),
+        F.lit(100),
+        F.col("start_date"),
     )
     assert {r.employee_id: r.role_in_project for r in drawn.collect()} == {
         1: labels.ROLE_HEAD,
