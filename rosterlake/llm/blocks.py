@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import text_batches, write_and_read
+from rosterlake.llm.common import give_back, text_batches, write_and_read
 
 #: Text a block holds, and text whose features fill one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
@@ -72,6 +72,7 @@ def _fill(block_bytes: int):
                     names=["block", "n_bytes", "ids", "lengths", "texts", "carried"],
                 )
                 number += 1
+        give_back()
 
     return run
 
@@ -127,6 +128,7 @@ def _send(features: Features, buckets: int):
                     ],
                     names=["bucket", "block", "keys", "counts"],
                 )
+        give_back()
 
     return run
 

@@ -29,11 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import read_table
+from rosterlake.llm.common import give_back, read_table
 
 START = -1
-#: Distinct words a worker remembers; beyond that it starts over, which changes no result.
-REMEMBERED = 800_000
+#: Distinct words a task remembers; beyond that it starts over, which changes no result.
+REMEMBERED = 400_000
 #: Bytes of a word's beginning whose path is remembered.
 HEAD = 7
 #: Longer texts are encoded in pieces of about so many characters, cut where no token can span.
@@ -60,7 +60,7 @@ def byte_characters() -> dict[str, int]:
 
 
 class Automaton:
-    """Compiled merges; picklable as plain tables, bounded by the vocabulary."""
+    """Compiled merges, in tables bounded by the vocabulary and by what is remembered."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         self.labels = labels
@@ -95,8 +95,12 @@ class Automaton:
     @classmethod
     def from_file(cls, path: str) -> Automaton:
         """Read a byte-level BPE vocabulary of the tokenizers library."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            return cls.from_json(f.read())
+
+    @classmethod
+    def from_json(cls, content: bytes) -> Automaton:
+        spec = json.loads(content)
         kind = spec["model"].get("type", "BPE"), (spec.get("pre_tokenizer") or {}).get("type")
         if kind != ("BPE", "ByteLevel") or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError(f"not a plain byte-level BPE vocabulary: {kind}")
@@ -113,7 +117,7 @@ class Automaton:
             return True
         known = self.arcs.get((state, token))
         if known is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) >= REMEMBERED // 2:
                 self.arcs.clear()
             known = self.arcs[state, token] = self._derive(state, token)
         return known
@@ -159,7 +163,7 @@ class Automaton:
                             break
                 found = token, at
                 if head:
-                    if len(heads) >= REMEMBERED:
+                    if len(heads) >= REMEMBERED // 4:
                         heads.clear()
                     heads[head] = found
             states.append(found[0])
@@ -220,15 +224,9 @@ class Encoder:
         return np.frombuffer(b"".join(parts), "<u4")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    """One encoder per worker process and broadcast."""
-    if id(shared.value) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[id(shared.value)] = Encoder(shared.value)
-    return _ENCODERS[id(shared.value)]
+    """An encoder of the task's own: compiled in under a second, gone when the task ends."""
+    return Encoder(Automaton.from_json(shared.value))
 
 
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -250,7 +248,7 @@ def _encode_column(shared):
 
 def _decode_column(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = Automaton.from_json(shared.value)
         for batch in batches:
             texts = [automaton.decode(np.array(x or [], "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -275,6 +273,8 @@ def _digest_column(shared, with_ids: bool):
                 if with_ids:
                     columns, names = [*columns, _lists(all_ids)], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        del encoder
+        give_back()
 
     return run
 
@@ -284,8 +284,9 @@ def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, vocabulary: str):
-    # As large as the vocabulary, whatever the data.
-    return spark.sparkContext.broadcast(Automaton.from_file(vocabulary))
+    # As large as the vocabulary file, whatever the data.
+    with open(vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

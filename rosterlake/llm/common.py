@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.sources.scratch import write_and_read
 
-__all__ = ["read_table", "write_and_read", "utf8_parts", "text_batches", "WORD_SPACE"]
+__all__ = ["read_table", "write_and_read", "utf8_parts", "text_batches", "give_back", "WORD_SPACE"]
 
 #: Bytes that end a word: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; Python workers outlive their tasks, and so does what they hold."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library with that call
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

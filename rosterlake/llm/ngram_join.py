@@ -21,7 +21,6 @@ its size, however large it is.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ from rosterlake.llm.blocks import (
     document_counts,
     make_blocks,
 )
-from rosterlake.llm.common import WORD_SPACE, read_table, write_and_read
+from rosterlake.llm.common import WORD_SPACE, give_back, read_table, write_and_read
 from rosterlake.llm.components import components
 
 WORDS = 4
@@ -46,7 +45,9 @@ WORDS = 4
 PERCENT = 85
 #: 64-bit words of a token bitmap.
 BITMAP_WORDS = 32
-LEAF_ROWS, BLOCK_ROWS, BLOCK_TOKENS = 32, 512, 1 << 20
+LEAF_ROWS, BLOCK_ROWS, BLOCK_TOKENS = 32, 512, 1 << 18
+#: Text of a block of documents.
+TEXT_BYTES = 1 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTE_HASH = np.random.RandomState(11).randint(0, 2**62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +61,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
@@ -81,9 +81,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.concatenate([word[1:], [False]])
     begins = np.flatnonzero(word & (~before | edge[:-1]))
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(size)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[data] * power[: len(data)], dtype=np.uint64)])
+    power, inverse = _powers(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_HASH[data] * power, dtype=np.uint64)])
     hashed = (total[ends] - total[begins]) * inverse[begins]
     return _mixed(hashed + (ends - begins).astype(np.uint64) * _MIX[2]), np.searchsorted(offsets, begins, "right") - 1
 
@@ -142,6 +141,7 @@ def _sets(buckets: int, words: int, percent: int):
                 out["n"].append(int(b - a))
                 out["tokens"].append(shingles[a:b].tobytes() if links[i] else None)
                 out["rare"].append(prefix(shingles[a:b], known[a:b], percent).tobytes() if links[i] else None)
+            give_back()
         return pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     return run
@@ -329,6 +329,7 @@ def _connect(percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]
                 )
+        give_back()
 
     return run
 
@@ -409,7 +410,7 @@ def near_duplicates(
     whatever their length; other columns are ignored.
     """
     spark = docs.sparkSession
-    blocks = make_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    blocks = make_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), TEXT_BYTES)
     buckets = bucket_count(blocks, BUCKET_BYTES // 2)
     told = document_counts(blocks, _features(words), buckets)
     sets = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(

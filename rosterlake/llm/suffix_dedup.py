@@ -41,7 +41,7 @@ from rosterlake.llm.blocks import (
     pack,
     unpack,
 )
-from rosterlake.llm.common import read_table
+from rosterlake.llm.common import give_back, read_table
 
 #: Length of the strings that must not repeat, and of the anchors in them.
 LENGTH, GRAM = 50, 20
@@ -51,7 +51,7 @@ WIDTH = REACH + LENGTH
 #: Rows of a shard whose transform is built on its own.
 SHARD_ROWS = 8192
 #: Text whose runs fill a merging bucket.
-MERGE_BYTES = 8 << 20
+MERGE_BYTES = 4 << 20
 #: Positions hashed at a time.
 _SLICE = 1 << 17
 
@@ -198,6 +198,7 @@ def _ask(buckets: int, merge_buckets: int):
                         ]
                     ),
                 )
+        give_back()
         return pd.DataFrame(out)
 
     return run
@@ -303,6 +304,7 @@ def _merge(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         at += len(fields[0])
         marked = own != 0
         out.append(pack(_marks(fields[4][marked], own[marked])))
+    give_back()
     return pd.DataFrame({"block": table["block"], "payload": out})
 
 
@@ -337,6 +339,7 @@ def _cut(block: pa.Table, marks: pa.Table) -> pa.Table:
         "kept": pa.array(kept, pa.binary()),
     }
     more = carried(row)
+    give_back()
     return pa.table(out | {c: more.column(c) for c in more.column_names})
 
 

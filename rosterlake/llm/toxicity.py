@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import read_table, text_batches, write_and_read
+from rosterlake.llm.common import give_back, read_table, text_batches, write_and_read
 
 #: Labelled rows the classifier learns from, of either label; picked by a hash of doc_id.
 FIT_TOXIC, FIT_CLEAN = 4000, 6000
 THRESHOLD = 0.7
 #: Tokens a worker remembers; beyond that it starts over, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Lengths of word beginnings that count as evidence.
 BEGINNINGS = (4, 5, 6)
 #: Evidence must have been seen in so many toxic documents.
@@ -81,6 +81,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             k = np.concatenate([[0], classes_of(text), [0]]).astype(np.int32)
             code = (np.concatenate([[0], k[:-2]]) * _CLASSES + k[:-1]) * _CLASSES + k[1:]
             total += np.bincount(code[(k[:-1] > 0) | (k[1:] > 0)], minlength=_CLASSES**3)
+    give_back()
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["code", "n"])
 
@@ -161,22 +162,17 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
 
 
-class Reader(dict):
+class Reader:
     """Words a token stands for: its own, and the restored one if it may hide another."""
 
     def __init__(self, model: np.ndarray):
         self.channel = Channel(model)
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
+    def words(self, token: str) -> list[str]:
         words = [w.lower() for w in _LETTERS.findall(token)]
         if hides_something(token):
             words.append(self.channel.decode(token.strip(".,;:?\"'()[]{}")))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = tuple(dict.fromkeys(w for w in words if w))
-        if len(token) <= 64:
-            self[token] = found
-        return found
+        return list(dict.fromkeys(w for w in words if w))
 
     def tokens(self, text: str) -> set[str]:
         found = set(text.split())
@@ -204,7 +200,7 @@ class Scorer(dict):
 
     def __missing__(self, token: str) -> float:
         best = 0.0
-        for word in self.reader.__missing__(token):
+        for word in self.reader.words(token):
             best = max(best, *(self.evidence.get(f, 0.0) for f in features(word)))
         if len(self) >= REMEMBERED:
             self.clear()
@@ -251,7 +247,7 @@ def _feature_rows(shared):
         reader = Reader(shared.value)
         for batch in batches:
             for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-                words = {w for t in reader.tokens(text or "") for w in reader[t]}
+                words = {w for t in reader.tokens(text or "") for w in reader.words(t)}
                 found = sorted({f for w in words for f in features(w)})
                 numbers = [pa.array([x] * len(found), pa.int32()) for x in (toxic, half)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *numbers], names=["feature", "toxic", "half"])
@@ -366,8 +362,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            keep = [scorer.score(t.as_py() or "") < threshold for t in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keep = [scorer.score(t.as_py() or "") < threshold for t in part.column("text")]
+                yield part.filter(pa.array(keep, pa.bool_()))
+        scorer.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
