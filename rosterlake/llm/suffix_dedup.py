@@ -135,10 +135,13 @@ def _anchor_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 def aligned(data: np.ndarray, anchor: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
     """One row of WIDTH bytes per run, the anchor at column REACH; 0 outside of its strings."""
-    at = anchor[:, None] + np.arange(-REACH, LENGTH)[None, :]
     column = np.arange(WIDTH)[None, :]
-    known = (column >= REACH - far[:, None]) & (column < REACH + LENGTH - near[:, None])
-    return np.where(known, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+    rows = np.empty((len(anchor), WIDTH), np.uint8)
+    for i in range(0, len(anchor), 4096):  # positions take eight times the room of the bytes
+        a, f, n = (x[i : i + 4096, None] for x in (anchor, far, near))
+        known = (column >= REACH - f) & (column < REACH + LENGTH - n)
+        rows[i : i + 4096] = np.where(known, data[np.clip(a - REACH + column, 0, len(data) - 1)], 0)
+    return rows
 
 
 def _equal_rows(rows: np.ndarray, far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
