@@ -256,9 +256,9 @@ def near_duplicates(
     padded = F.concat(
         F.transform("embedding", lambda x: x / length), F.array_repeat(F.lit(0.0), F.lit(width) - F.col("dim"))
     )
-    # The rotation is as large as a vector is wide; any rotation gives right results.
+    # The rotation is as large as a vector is wide; any rotation gives right results. PCA needs two rows.
     sound = reps.filter(length.between(1e-100, 1e100)).select(array_to_vector(padded).alias("unit"))
-    if sound.isEmpty():
+    if sound.limit(2).count() < 2:
         rotation = np.eye(width)[:, :grid]
     else:
         rotation = PCA(k=grid, inputCol="unit", outputCol="pc").fit(sound).pc.toArray()
