@@ -11,11 +11,11 @@ A cluster lies in blocks in the order of set size. Blocks, and within them the n
 binary trees down to leaves of some documents, carry the OR of their documents' token
 bitmaps, their size range and least bitmap population, which bound the overlap any two of
 their documents can have. A dual traversal of two trees skips node pairs whose bound is too
-small, and pairs already connected; what is left is compared exactly.
+small; all pairs that are left are compared exactly, so every link is found and counted.
 
-Only connections are asked for, so a block compares with itself and its neighbour first.
-What that connects is not compared again: a cluster of near copies costs in proportion to
-its size, however large it is.
+A pair of blocks hands on one row per representative: the sum of the weights it links with
+and the first representative it is connected to. Links are never listed one by one, but a
+cluster of near copies is compared pair by pair, which grows with the square of its size.
 """
 
 from __future__ import annotations
@@ -151,9 +151,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each prefix shingle of each representative."""
     for batch in batches:
         parts = [np.frombuffer(x, np.int64) for x in batch.column("rare").to_pylist()]
-        reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in parts])
+        reps = np.repeat(batch.column("key").to_numpy(), [len(x) for x in parts])
         tokens = np.concatenate([*parts, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(tokens)], names=["rep", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(tokens)], names=["key", "token"])
 
 
 def prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
@@ -164,10 +164,10 @@ def prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Block:
-    """Some documents of one cluster, by size, with their tokens and token bitmaps."""
+    """Some documents of one cluster, by size, with their weights, tokens and token bitmaps."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, group: np.ndarray):
-        self.ids, self.sizes, self.tokens, self.group = ids, sizes, tokens, group
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, weights: np.ndarray):
+        self.ids, self.sizes, self.tokens, self.weights = ids, sizes, tokens, weights
         self.edges = np.concatenate([[0], np.cumsum(sizes)])
         bit = (tokens >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
         flat = np.zeros(len(ids) * 64 * BITMAP_WORDS, bool)
@@ -210,22 +210,22 @@ class _Union:
         return i
 
 
-def connect(a: Block, b: Block, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what was not connected yet, as pairs of ids, by dual traversal."""
+def connect(a: Block, b: Block, same: bool, percent: int, union: _Union | None = None) -> np.ndarray:
+    """All links, as rows (position in a, position in b), by dual traversal; i < j if a is b.
+
+    ``union``, over the positions of a (and then of b, if it is another block), gets joined by them.
+    """
     shift = 0 if same else len(a.ids)
-    union = _Union(a.group if same else np.concatenate([a.group, b.group]))
     vocabulary, dense = np.unique(a.tokens if same else np.concatenate([a.tokens, b.tokens]), return_inverse=True)
     dense_a, dense_b = dense[: len(a.tokens)], dense if same else dense[len(a.tokens) :]
     has = np.zeros(len(vocabulary), bool)
-    links: list[tuple[int, int]] = []
+    links = [np.zeros((0, 2), np.int64)]
 
     def leaves(a0: int, a1: int, b0: int, b1: int) -> None:
-        roots = np.array([union.find(shift + j) for j in range(b0, b1)])
+        every = np.arange(b0, b1)
+        tokens, starts = dense_b[b.edges[b0] : b.edges[b1]], b.edges[b0:b1] - b.edges[b0]
         for i in range(a0, a1):
-            own = union.find(i)
-            rest = np.flatnonzero(roots != own) + b0
-            if same:
-                rest = rest[rest > i]
+            rest = every[every > i] if same else every
             if not len(rest):
                 continue
             n, m = a.sizes[i], b.sizes[rest]
@@ -237,17 +237,17 @@ def connect(a: Block, b: Block, same: bool, percent: int) -> list[tuple[int, int
                 continue
             mine = dense_a[a.edges[i] : a.edges[i + 1]]
             has[mine] = True
-            spans = [dense_b[b.edges[j] : b.edges[j + 1]] for j in rest]
-            shared = np.array([int(np.count_nonzero(has[s])) for s in spans])
+            if 4 * len(rest) < b1 - b0:
+                shared = np.array([np.count_nonzero(has[dense_b[b.edges[j] : b.edges[j + 1]]]) for j in rest])
+            else:
+                shared = np.add.reduceat(has[tokens], starts, dtype=np.int64)[rest - b0]
             has[mine] = False
-            linked = (100 + percent) * shared >= percent * (n + b.sizes[rest])
-            for j in rest[linked]:
-                x, y = union.find(i), union.find(shift + int(j))
+            linked = rest[(100 + percent) * shared >= percent * (n + b.sizes[rest])]
+            links.append(np.stack([np.full(len(linked), i), linked], axis=1))
+            for j in linked.tolist() if union else ():
+                x, y = union.find(i), union.find(shift + j)
                 if x != y:
                     union.parent[max(x, y)] = min(x, y)
-                    links.append((int(a.ids[i]), int(b.ids[j])))
-            if linked.any():
-                roots = np.array([union.find(shift + j) for j in range(b0, b1)])
 
     def traverse(a0: int, a1: int, b0: int, b1: int) -> None:
         if same and b1 <= a0 + 1 or not possible(a.node(a0, a1), b.node(b0, b1), percent):
@@ -264,34 +264,35 @@ def connect(a: Block, b: Block, same: bool, percent: int) -> list[tuple[int, int
             traverse(a0, a1, mid, b1)
 
     traverse(0, len(a.ids), 0, len(b.ids))
-    return links
+    return np.concatenate(links)
 
 
 _BLOCK = (
     "block long, cluster long, place int, smallest int, largest int, bitmap array<long>, lowest int, ids binary,"
-    " sizes binary, tokens binary"
+    " sizes binary, weights binary, tokens binary"
 )
 
 
 def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, n, id) -> blocks of one cluster each."""
+    """Rows sorted by (cluster, n, key) -> blocks of one cluster each."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
     tokens, cluster = 0, None
 
     def cut() -> dict:
         nonlocal number, held, tokens
         ids = np.array([x[0] for x in held], "<i8")
         sizes = np.array([x[1] for x in held], "<i8")
-        content = b"".join(x[2] for x in held)
-        block = Block(ids, sizes, np.frombuffer(content, np.uint64), np.zeros(len(ids)))
+        weights = np.array([x[2] for x in held], "<i8")
+        content = b"".join(x[3] for x in held)
+        block = Block(ids, sizes, np.frombuffer(content, np.uint64), weights)
         node = block.node(0, len(ids))
         row = {
             "block": number, "cluster": cluster, "place": 0, "smallest": node[1], "largest": node[2],
             "bitmap": node[0].view(np.int64).tolist(), "lowest": node[3],
-            "ids": ids.tobytes(), "sizes": sizes.tobytes(), "tokens": content,
+            "ids": ids.tobytes(), "sizes": sizes.tobytes(), "weights": weights.tobytes(), "tokens": content,
         }
         number, held, tokens = number + 1, [], 0
         return row
@@ -299,14 +300,14 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("block", pa.int64()), ("cluster", pa.int64()), ("place", pa.int32()), ("smallest", pa.int32())]
         + [("largest", pa.int32()), ("bitmap", pa.list_(pa.int64())), ("lowest", pa.int32())]
-        + [(c, pa.binary()) for c in ("ids", "sizes", "tokens")]
+        + [(c, pa.binary()) for c in ("ids", "sizes", "weights", "tokens")]
     )
     for batch in batches:
         for row in batch.to_pylist():
             if held and (row["cluster"] != cluster or len(held) >= BLOCK_ROWS or tokens >= BLOCK_TOKENS):
                 yield pa.RecordBatch.from_pylist([cut()], schema)
             cluster = row["cluster"]
-            held.append((row["rep"], row["n"], row["tokens"]))
+            held.append((row["key"], row["n"], row["weight"], row["tokens"]))
             tokens += row["n"]
     if held:
         yield pa.RecordBatch.from_pylist([cut()], schema)
@@ -320,58 +321,40 @@ def _connect(percent: int):
                 same = row["a_block"] == row["b_block"]
 
                 def side(s: str, row=row) -> Block:
-                    ids, sizes = (np.frombuffer(row[f"{s}_{c}"], "<i8") for c in ("ids", "sizes"))
-                    groups = np.frombuffer(row[f"{s}_groups"], "<i8") if row[f"{s}_groups"] else ids
-                    return Block(ids, sizes, np.frombuffer(row[f"{s}_tokens"], np.uint64), groups)
+                    ids, sizes, weights = (np.frombuffer(row[f"{s}_{c}"], "<i8") for c in ("ids", "sizes", "weights"))
+                    return Block(ids, sizes, np.frombuffer(row[f"{s}_tokens"], np.uint64), weights)
 
                 a = side("a")
-                links = connect(a, a if same else side("b"), same, percent)
+                b = a if same else side("b")
+                ids = a.ids if same else np.concatenate([a.ids, b.ids])
+                union = _Union(np.arange(len(ids)))
+                i, j = connect(a, b, same, percent, union).T
+                j_all = j if same else j + len(a.ids)
+                links = np.bincount(i, b.weights[j], len(ids)) + np.bincount(j_all, a.weights[i], len(ids))
+                linked = np.flatnonzero(links > 0)
+                first = np.array([union.find(k) for k in linked.tolist()], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]
+                    [pa.array(ids[linked]), pa.array(ids[first]), pa.array(links[linked].astype(np.int64))],
+                    names=["a", "b", "links"],
                 )
         give_back()
 
     return run
 
 
-def _grouped(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks with what each document is connected to already, and the one group if it is one."""
-
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), row["block"], np.int64)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)],
-                    names=["block", "i", "id"],
-                )
-
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        groups = rows.sort_values("i")["group"].to_numpy().astype("<i8")
-        one = int(groups[0]) if (groups == groups[0]).all() else None
-        return pd.DataFrame({"block": [key[0]], "groups": [groups.tobytes()], "one": [one]}).astype({"one": "Int64"})
-
-    members = blocks.select("block", "ids").mapInArrow(ids_of, "block long, i int, id long")
-    known = members.join(found, F.col("id") == F.col("node"), "left").select(
-        "block", "i", F.coalesce("component", "id").alias("group")
-    )
-    groups = known.groupBy("block").applyInPandas(packed, "block long, groups binary, one long")
-    return blocks.join(write_and_read(groups, "groups"), "block")
-
-
 def _linked_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    content = ["block", "ids", "sizes", "tokens", "groups"]
+    content = ["block", "ids", "sizes", "weights", "tokens"]
     left = blocks.select(*[F.col(c).alias(f"a_{c}") for c in content])
     right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in content])
     # Pairs differ much in the work they are, little in size: deal them out one by one.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = pairs.join(left, "a_block").join(right, "b_block").repartition(parts, "a_block", "b_block")
-    return joined.mapInArrow(_connect(percent), "a long, b long")
+    return joined.mapInArrow(_connect(percent), "a long, b long, links long")
 
 
 def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a cluster's blocks that lie further apart, may link, and are not one group yet."""
-    boxes = ["block", "place", "smallest", "largest", "bitmap", "lowest", "one"]
+    """Pairs of a cluster's blocks that may hold links; each block with itself, too."""
+    boxes = ["block", "place", "smallest", "largest", "bitmap", "lowest"]
     a = blocks.select("cluster", *[F.col(c).alias(f"a_{c}") for c in boxes])
     b = blocks.select("cluster", *[F.col(c).alias(f"b_{c}") for c in boxes])
     common = F.aggregate(
@@ -383,9 +366,8 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     # Blocks lie in the order of size, so b has the larger sets.
     return (
         a.join(b, "cluster")
-        .filter(F.col("a_place") + 1 < F.col("b_place"))
+        .filter(F.col("a_place") <= F.col("b_place"))
         .filter(100 * F.col("a_largest") >= percent * F.col("b_smallest"))
-        .filter(~F.coalesce(F.col("a_one") == F.col("b_one"), F.lit(False)))
         .filter((100 + percent) * most >= percent * (F.col("a_smallest") + F.col("b_smallest")))
         .select("a_block", "b_block")
     )
@@ -398,16 +380,17 @@ def near_duplicates(
     words: int = WORDS,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id.
+    """Per row of ``docs``: doc_id, n_shingles, n_links, component_id.
 
     Words are what white space (blank, tab to carriage return) separates, A-Z in lower case;
     a set holds the distinct shingles of ``words`` words, or of all words if there are
-    fewer. Documents link if 100 x intersection >= ``percent`` x union; ``component_id`` is
-    the smallest doc_id reachable.
+    fewer. Documents link if 100 x intersection >= ``percent`` x union; ``n_links`` counts the
+    other rows linked directly, ``component_id`` is the smallest doc_id reachable.
 
     NULL, empty and blank texts have 0 shingles and link with nothing, as does a NULL
-    doc_id (its component is NULL). Equal rows link with each other. Texts are read whole,
-    whatever their length; other columns are ignored.
+    doc_id (its component is NULL). Equal rows link with each other; rows that share a
+    doc_id are documents of their own. Texts are read whole, whatever their length; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     blocks = make_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), TEXT_BYTES)
@@ -422,19 +405,25 @@ def near_duplicates(
     reps = write_and_read(
         sets.filter("tokens is not null")
         .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("rare").alias("rare")),
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.count("*").alias("weight"),
+            F.first("tokens").alias("tokens"),
+            F.first("rare").alias("rare"),
+        )
+        .withColumn("key", F.monotonically_increasing_id()),
         "set_representatives",
     )
-    shared = reps.select("rep", "rare").mapInArrow(_spread, "rep long, token long")
-    hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = reps.select("key", "rare").mapInArrow(_spread, "key long, token long")
+    hubs = shared.groupBy("token").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     hubs = write_and_read(hubs.select("token", "hub"), "prefix_hubs")
-    together = shared.join(hubs, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    together = shared.join(hubs, "token").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(together)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["cluster", "n", "rep"]
+    order = ["cluster", "n", "key"]
     laid = (
-        reps.join(clusters, reps.rep == clusters.node)
-        .select(F.col("component").alias("cluster"), "n", "rep", "tokens")
+        reps.join(clusters, reps.key == clusters.node)
+        .select(F.col("component").alias("cluster"), "n", "key", "weight", "tokens")
         .repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .mapInArrow(_lay, _BLOCK)
@@ -444,24 +433,28 @@ def near_duplicates(
     places = laid.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("smallest", "largest", "block"))).alias("x"))
     placed = places.select(F.posexplode("x").alias("place", "x")).select(F.col("x.block").alias("block"), "place")
     placed = write_and_read(laid.drop("place").join(placed, "block"), "placed_blocks")
-    nothing = placed.withColumn("groups", F.lit(None).cast("binary"))
-    near = placed.select("cluster", F.col("block").alias("a_block"), "place")
-    behind = placed.select("cluster", F.col("block").alias("b_block"), (F.col("place") - 1).alias("place"))
-    first_pairs = near.select("a_block", F.col("a_block").alias("b_block")).unionByName(
-        near.join(behind, ["cluster", "place"]).select("a_block", "b_block")
-    )
-    links = write_and_read(_linked_blocks(first_pairs, nothing, percent), "links_near")
-    grouped = _grouped(placed, components(links))
-    far = _linked_blocks(write_and_read(_block_pairs(grouped, percent), "block_pairs"), grouped, percent)
-    links = links.unionByName(write_and_read(far, "links_far"))
-    found = write_and_read(components(links), "components")
-    per_set = reps.join(found, reps.rep == found.node, "left").select(
-        F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")
+    pairs = write_and_read(_block_pairs(placed, percent), "block_pairs")
+    linked = _linked_blocks(pairs, placed, percent).groupBy("a", "b").agg(F.sum("links").alias("links"))
+    linked = write_and_read(linked, "block_links")
+    found = components(linked.select("a", "b"))
+    counts = linked.groupBy("a").agg(F.sum("links").alias("links"))
+    per_rep = (
+        reps.join(counts, reps.key == counts.a, "left")
+        .join(found, reps.key == found.node, "left")
+        .select(
+            F.col("digest").alias("d"),
+            "rep",
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            F.coalesce("component", "key").alias("group"),
+        )
     )
-    per_set = write_and_read(per_set, "set_components")
+    per_rep = write_and_read(per_rep, "per_representative")
+    smallest = per_rep.groupBy("group").agg(F.min("rep").alias("component"))
+    per_set = write_and_read(per_rep.join(smallest, "group").select("d", "n_links", "component"), "set_components")
     return sets.select("doc_id", "n", "digest").join(per_set, F.col("digest") == F.col("d"), "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "doc_id").alias("component_id"),
     )
 
@@ -473,7 +466,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = f"""
