@@ -9,6 +9,7 @@ from rosterlake.llm import (
     language_id,
     license_scan,
     ngram_join,
+    personal_data,
     source_mix,
     substring_lines,
     suffix_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLE = {
@@ -33,4 +35,5 @@ ORACLE = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_line_dedup": substring_lines.ORACLE,
+    "op13_personal_data": personal_data.ORACLE,
 }
