@@ -5,6 +5,7 @@ from __future__ import annotations
 from rosterlake.llm import (
     adaptive_scan,
     bpe_automaton,
+    collocations,
     embedding_dedup,
     language_id,
     license_scan,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_personal_data": personal_data.op13_personal_data,
 }
 
@@ -35,5 +37,6 @@ ORACLE = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_line_dedup": substring_lines.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_personal_data": personal_data.ORACLE,
 }
