@@ -6,6 +6,7 @@ from rosterlake.llm import (
     adaptive_scan,
     bpe_automaton,
     collocations,
+    conversation_repair,
     embedding_dedup,
     language_id,
     license_scan,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_line_dedup": substring_lines.op10_line_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_collocations": collocations.op12_collocations,
     "op13_personal_data": personal_data.op13_personal_data,
 }
