@@ -81,7 +81,7 @@ class Words:
             said, spelled = np.zeros(0, np.int64), pa.array([], pa.large_binary())
         langs = langs.fill_null("und").dictionary_encode()
         spoken = langs.indices.to_numpy()[np.searchsorted(offsets, starts, "right") - 1].astype(np.int64)
-        keys, self.number = np.unique(spoken * max(len(spelled), 1) + said, return_inverse=True)
+        keys, self.number = _dense(spoken * max(len(spelled), 1) + said, len(langs.dictionary) * len(spelled))
         of_lang, of_word = np.divmod(keys, max(len(spelled), 1))
         self.lang = langs.dictionary.take(pa.array(of_lang))
         self.spelled = spelled.take(pa.array(of_word))
@@ -99,6 +99,14 @@ class Words:
         """The distinct phrases that begin ``where`` (rows of word numbers), and how often each does."""
         at, most = np.flatnonzero(where), max(len(self.hash), 1)
         key = self.number[at].astype(np.int64)
+        if size < 3:  # the key still tells its words
+            if size == 2:
+                key = key * most + self.number[at + 1]
+            key.sort()
+            edges = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
+            one = key[edges]
+            grams = np.stack(np.divmod(one, most), axis=1) if size == 2 else one[:, None]
+            return grams, np.diff(np.append(edges, len(key)))
         for i in range(1, size):
             if i > 1:
                 _, key = np.unique(key, return_inverse=True)  # small again: the product fits in 64 bits
@@ -125,6 +133,15 @@ class Words:
         return _rows(self.lang.take(pa.array(grams[:, 0])), grams.shape[1], phrase.cast(pa.string()), counts)
 
 
+def _dense(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, all below ``most``, in order, and for each key its place among them."""
+    if most > 8 * len(keys):
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(most, bool)
+    there[keys] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[keys]
+
+
 def _rows(lang: pa.Array, size: int, phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     sizes = pa.array(np.full(len(counts), size, np.int32))
     return pa.RecordBatch.from_arrays(
