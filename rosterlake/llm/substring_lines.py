@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm.common import read_table, write_and_read
 
-#: Shorter units (normalised characters) always stay: headings, bullets, single words.
-MIN_CHARS = 20
-
 _BLANKS = re.compile(r"[ \t\v\f\r]+")
 
 
@@ -95,13 +92,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_units, n_removed_units, kept, spans.
 
     ``kept`` is the text without its removed lines; ``spans`` are the bytes [start, end)
     of the original that each run of removed lines covers, without the last line break.
 
+    Every unit that is not empty after normalising counts; ``min_chars`` lets shorter ones stay.
     A NULL or empty text is one empty unit and stays as ''. Within a text the first of equal
     lines stays. Rows that share a doc_id are ranked by a hash of their text; rows that
     are equal in both count as one document and get the same result. A NULL doc_id ranks
@@ -156,14 +154,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE = f"""
+ORACLE = """
 WITH units AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 ), said AS (
   SELECT *, lower(trim(regexp_replace(line, '[ \\t\\v\\f\\r]+', ' ', 'g'), ' ')) AS norm FROM units
 ), ranked AS (
-  SELECT *, length(norm) >= {MIN_CHARS}
+  SELECT *, norm <> ''
       AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone
   FROM said
 ), runs AS (

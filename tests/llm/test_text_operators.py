@@ -323,7 +323,7 @@ def test_licenses_equal_brute_force(documents, odd, prose):
 # -- 10: lines -----------------------------------------------------------------------
 
 
-def brute_lines(rows, min_chars=20):
+def brute_lines(rows, min_chars=1):
     def norm(line):
         return re.sub(r"[ \t\v\f\r]+", " ", line).strip(" ").lower()
 
