@@ -1,8 +1,8 @@
 """Toxicity scores on text restored from obfuscation by a noisy-channel model.
 
 A character trigram model is counted over all documents. Tokens that may hide a word
-(digits or signs among letters, separators between letters, letters repeated three times,
-single letters set apart by blanks) become a lattice: each character may stand for itself, for a letter it
+(digits or signs among or for letters, a separator between letters, letters repeated three times,
+three single letters set apart by blanks) become a lattice: each character may stand for itself, for a letter it
 looks like, or for nothing. Viterbi decoding under the trigram model picks the reading.
 
 The restored words are scored against evidence learned from labelled rows: words and word
@@ -42,13 +42,14 @@ _CLASSES = 64
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
+    "*": "aeiou",
 }
 _SEPARATORS = set(".-_*~'`^#/\\")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile("[" + re.escape("".join(LOOKS_LIKE)) + "]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
-_APART = re.compile(r"(?:[^\W\d_][.\-_*~'`^#/\\]+){2,}[^\W\d_]")
+_APART = re.compile(r"[^\W\d_][.\-_*~'`^#/\\]+[^\W\d_]")
 
 
 def _class_table() -> np.ndarray:
@@ -152,8 +153,10 @@ def hides_something(token: str) -> bool:
     """Whether a token may be an obfuscated word."""
     if token.isalpha():
         return bool(_REPEATED.search(token))
-    inner = token.strip(".,;:!?\"'()[]{}|")
-    if sum(map(str.isalpha, inner)) < 2:
+    inner = token.strip(".,;:?\"'()[]{}")
+    letters, figures = sum(map(str.isalpha, inner)), sum(map(str.isdigit, inner))
+    signs = sum(c in LOOKS_LIKE for c in inner)
+    if letters + signs < 2 or letters + signs == figures:  # a sign stands for a letter; a number is no word
         return False
     return bool(_SIGN.search(inner) or _REPEATED.search(inner) or _APART.search(inner))
 
@@ -251,6 +254,7 @@ def _feature_rows(shared):
                 found = sorted({f for w in words for f in features(w)})
                 numbers = [pa.array([x] * len(found), pa.int32()) for x in (toxic, half)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *numbers], names=["feature", "toxic", "half"])
+        give_back()
 
     return run
 
@@ -267,6 +271,8 @@ def _summaries(shared):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["summary", "toxic"]
             )
+        del scorers
+        give_back()
 
     return run
 
@@ -330,6 +336,8 @@ def _score(shared):
         for batch in batches:
             scores = [scorer.score(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
+        scorer.clear()
+        give_back()
 
     return run
 
@@ -354,7 +362,10 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not predicted toxic."""
+    """The rows of ``docs``, all columns, whose text is not predicted toxic.
+
+    A NULL text is judged as an empty one; a NULL doc_id and repeated rows are judged like others.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(
         fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").distinct())
     )
