@@ -22,6 +22,7 @@ WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def give_back() -> None:
     """Hand freed memory back to the system; Python workers outlive their tasks, and so does what they hold."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not a C library with that call

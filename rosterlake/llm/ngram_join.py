@@ -27,11 +27,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rosterlake.llm.blocks import (
     BUCKET_BYTES,
     NO_ID,
     block_content,
+    carried,
     bucket_count,
     counts_told,
     document_counts,
@@ -123,13 +125,21 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _sets(buckets: int, words: int, percent: int):
+def row_numbers(block: int, n: int) -> np.ndarray:
+    """A number for each of a block's ``n`` rows, from the block's own (task << 32 | count)."""
+    return (((block >> 32 << 21) | (block & 0xFFFFFFFF)) << 21) + np.arange(n)
+
+
+def _sets(buckets: int, words: int, percent: int, numbered: bool):
     """Block and answers -> a row per document; tokens only where it can link."""
 
     def run(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = {"doc_id": [], "n": [], "tokens": [], "rare": []}
+        out = {"doc_id": [], "its": [], "n": [], "tokens": [], "rare": []}
         if len(block):
             ids, data, offsets = block_content(block.iloc[0])
+            out["its"] = [None if i == NO_ID else int(i) for i in ids]
+            if numbered:
+                ids = row_numbers(int(block["block"].iloc[0]), len(ids))
             shingles, edges = shingle_sets(data, offsets, words)
             keys = np.unique(shingles)
             known = counts_told(keys, told, buckets)[np.searchsorted(keys, shingles)] if len(keys) else keys
@@ -142,7 +152,7 @@ def _sets(buckets: int, words: int, percent: int):
                 out["tokens"].append(shingles[a:b].tobytes() if links[i] else None)
                 out["rare"].append(prefix(shingles[a:b], known[a:b], percent).tobytes() if links[i] else None)
             give_back()
-        return pd.DataFrame(out).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out).astype({"doc_id": "Int64", "its": "Int64"})
 
     return run
 
@@ -392,12 +402,21 @@ def near_duplicates(
     doc_id are documents of their own. Texts are read whole, whatever their length; other
     columns are ignored.
     """
-    spark = docs.sparkSession
     blocks = make_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), TEXT_BYTES)
+    return _linked(blocks, words, percent, numbered=False).drop("its")
+
+
+def _linked(blocks: DataFrame, words: int, percent: int, numbered: bool) -> DataFrame:
+    """``near_duplicates`` of the texts in ``blocks``; ``its`` is the doc_id.
+
+    With ``numbered`` every row has a number of its own in place of the doc_id, so that rows with
+    one doc_id or none are told apart.
+    """
+    spark = blocks.sparkSession
     buckets = bucket_count(blocks, BUCKET_BYTES // 2)
     told = document_counts(blocks, _features(words), buckets)
     sets = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _sets(buckets, words, percent), "doc_id long, n int, tokens binary, rare binary"
+        _sets(buckets, words, percent, numbered), "doc_id long, its long, n int, tokens binary, rare binary"
     )
     sets = write_and_read(
         sets.withColumn("digest", F.when(F.col("tokens").isNotNull(), F.sha2("tokens", 256))), "shingle_sets"
@@ -451,23 +470,53 @@ def near_duplicates(
     per_rep = write_and_read(per_rep, "per_representative")
     smallest = per_rep.groupBy("group").agg(F.min("rep").alias("component"))
     per_set = write_and_read(per_rep.join(smallest, "group").select("d", "n_links", "component"), "set_components")
-    return sets.select("doc_id", "n", "digest").join(per_set, F.col("digest") == F.col("d"), "left").select(
+    return sets.select("doc_id", "its", "n", "digest").join(per_set, F.col("digest") == F.col("d"), "left").select(
         "doc_id",
+        "its",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "doc_id").alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (with doc_id and text), all its columns, with one document of each group: the smallest doc_id."""
-    found = near_duplicates(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(write_and_read(found, "near_copies"), "doc_id", "left_anti").select(*docs.columns)
+def _pick(block: pa.Table, kept: pa.Table) -> pa.Table:
+    """The rows of a block whose places are in ``kept``, in order."""
+    row = block.to_pylist()[0]
+    ids, data, offsets = block_content(row)
+    at = np.sort(kept.column("place").to_numpy())
+    texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in at]
+    more = carried(row).take(pa.array(at))
+    out = {"doc_id": pa.array(ids[at], mask=ids[at] == NO_ID), "text": pa.array(texts, pa.string())}
+    give_back()
+    return pa.table(out | {c: more.column(c) for c in more.column_names})
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (with doc_id and text), all its columns, with one row of each group of near copies.
+
+    The one with the smallest doc_id stays, NULL last; of rows that share it the first
+    written. Rows with one doc_id, or none, are rows of their own, so of equal rows one stays. Texts without
+    words link with nothing and all stay. Other columns may have any name.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNotNull().alias("there"), *columns).alias("rest"))
+    blocks = make_blocks(rows, TEXT_BYTES)
+    found = _linked(blocks, words, percent, numbered=True)
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("its").isNull(), "its", "doc_id")).alias("first"))
+    number = F.col("first.doc_id")
+    block = F.shiftright(number, 42) * F.lit(1 << 32) + F.shiftright(number, 21).bitwiseAND(F.lit((1 << 21) - 1))
+    kept = first.select(block.alias("block"), number.bitwiseAND(F.lit((1 << 21) - 1)).alias("place"))
+    result = StructType([StructField("doc_id", LongType()), rows.schema["text"], rows.schema["rest"]])
+    picked = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_pick, result)
+    back = {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)}
+    back |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(F.col("rest.there"), F.col("text"))}
+    return picked.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 ORACLE = f"""
@@ -490,6 +539,8 @@ links AS (
 ), reach AS (
   SELECT doc_id AS node, doc_id AS seen FROM documents
   UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
-), component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN component ON node = doc_id
+), component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+direct AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, component_id
+FROM sets JOIN component ON node = doc_id LEFT JOIN direct ON a = doc_id
 """

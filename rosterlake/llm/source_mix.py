@@ -6,24 +6,23 @@ probabilities of a few documents at a time move along the null space of the bala
 constraints (words and documents taken), so both totals stay as they are while one
 probability after the other becomes 0 or 1. At most two per block stay open; these meet in
 blocks of their own, round after round, until one block a source is left, whose last two
-are rounded to the nearest total, and the gap that leaves is filled ("landing"). Blocks go by a hash of doc_id and hold some
-thousand rows, so a source with most of the rows is spread over as many tasks as it needs.
+are rounded to the nearest total, and the gap that leaves is filled ("landing"). Blocks go by a hash of doc_id, text and
+(of equal rows) a number, and hold some thousand rows, so a source or a doc_id with most of the rows is
+spread over as many tasks as it needs.
 Within a block long documents are settled first, so that the open ones are short.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import WORD_SPACE, read_table, text_batches, write_and_read
+from rosterlake.llm.common import give_back, read_table, write_and_read
 
 #: Rows a block of the flight phase has on average.
 BLOCK_ROWS = 2048
@@ -33,22 +32,6 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in text_batches(batch, "text", 8 << 20):
-            word = ~WORD_SPACE[data]
-            begins = word.copy()
-            begins[1:] &= ~word[:-1]
-            at = offsets[:-1][np.diff(offsets) > 0]
-            begins[at] = word[at]
-            total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-            sizes = total[offsets[1:]] - total[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in ("doc_id", "row", "source")] + [pa.array(sizes, pa.int64())],
-                names=["doc_id", "row", "source", "size"],
-            )
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, n_docs, source_size, target): shares by weight, none above ``most`` x its size.
 
@@ -146,19 +129,41 @@ def landing(sizes: np.ndarray, chances: np.ndarray, open_before: np.ndarray) ->
 def _settle(level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # Rows that tie are equal in all that counts, so their order does not matter.
-        rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="last")
+        order = ["size", "doc_id", "mark", "copy"]
+        rows = rows.sort_values(order, ascending=[False, True, True, True], na_position="last")
         rows = rows.reset_index(drop=True)
         sizes = rows["size"].to_numpy(np.int64)
         x = flight(sizes, rows["chance"].to_numpy(float), (level, str(key[0]), int(key[1])))
         if rows["blocks"].iloc[0] == 1:
             chance = rows["chance"].to_numpy(float)
             x = landing(sizes, x, (chance > 0) & (chance < 1))
+        give_back()
         return rows.assign(chance=x)
 
     return run
 
 
-_UNIT = "doc_id long, row long, source string, size long, source_size long, target double, whole int, chance double"
+_UNIT = (
+    "doc_id long, mark long, copy long, row long, source string, size long, source_size long, target double,"
+    " whole int, chance double"
+)
+
+
+def _copies_numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``copy``: rows with one doc_id and one text are numbered from 0.
+
+    Counted per written partition first, so that rows that say the same never meet in one task.
+    """
+    key = ("doc_id", "mark", "part")
+    placed = sizes.withColumn("part", F.shiftright("at", 33))
+    before = Window.partitionBy("doc_id", "mark").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*key).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(before))
+    offsets = offsets.filter("n > 1 or before is not null").toDF("of_id", "of_mark", "of_part", "n", "before")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(key, ("of_id", "of_mark", "of_part"), strict=True)]
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("at")) - 1
+    numbered = placed.withColumn("within", within).join(offsets, same[0] & same[1] & same[2], "left")
+    copy = (F.col("within") + F.coalesce("before", F.lit(0))).cast("long")
+    return numbered.withColumn("copy", copy).drop("within", "part", "at", "n", "before", "of_id", "of_mark", "of_part")
 
 
 def mix(
@@ -176,17 +181,16 @@ def mix(
     A NULL or empty text has size 0 and costs nothing to take; a NULL source is a source of
     its own, the last. If all sizes are 0, so are all targets. Rows that share a doc_id are
     separate units; ``row`` names a column of numbers that tells them apart in the result.
-    Nothing depends on partitioning or on chance, so reruns agree.
+    Nothing depends on partitioning or on chance, so reruns agree. Other columns are ignored.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         (F.col(row) if row else F.lit(None)).cast("long").alias("row"),
-        F.col(text).alias("text"),
-    )
-    sizes = write_and_read(
-        rows.mapInArrow(_count_words, "doc_id long, row long, source string, size long"), "mix_sizes"
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("mark"),
     )
+    sizes = write_and_read(rows.withColumn("at", F.monotonically_increasing_id()), "mix_sizes")
     wanted = write_and_read(targets(sizes, weights, most), "mix_targets")
     # A source's row count never decides what is drawn where; only the number of blocks follows it.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK_ROWS)).cast("int")
@@ -195,14 +199,14 @@ def mix(
         F.col("source").alias("its"), "source_size", "target", blocks.alias("blocks"),
         ratio.alias("ratio"), F.floor(ratio).cast("int").alias("whole"),
     )
-    units = sizes.join(per_source, F.col("source").eqNullSafe(F.col("its"))).withColumn(
+    units = _copies_numbered(sizes).join(per_source, F.col("source").eqNullSafe(F.col("its"))).withColumn(
         "chance", F.col("ratio") - F.col("whole")
     )
     done, level = [], 0
     while True:
         dealt = units.withColumn(
-            "block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("blocks")).cast("int")
-        ).select(*[c.split()[0] for c in _UNIT.split(", ")], "blocks", "block")
+            "block", F.pmod(F.xxhash64("doc_id", "mark", "copy", F.lit(level)), F.col("blocks")).cast("int")
+        ).select(*[c.split()[0] for c in _UNIT.split(",")], "blocks", "block")
         settled = write_and_read(
             dealt.groupBy("source", "block").applyInPandas(
                 _settle(level), f"{_UNIT}, blocks int, block int"
@@ -227,12 +231,19 @@ def mix(
 
 
 def resample(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` (doc_id, text, source, …) as often as they are taken."""
-    numbered = write_and_read(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix_rows")
-    taken = mix(numbered, row="mix_row").filter("copies > 0").select("row", "copies")
-    found = numbered.join(taken, F.col("mix_row") == F.col("row"))
-    repeated = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """The mix itself: rows of ``docs`` (doc_id, text, source, …) as often as they are taken.
+
+    Rows are told apart by a number they get when they are written, so repeated rows and NULL
+    ids are rows of their own. Other columns may have any name.
+    """
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    numbered = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("rest"))
+    numbered = write_and_read(numbered, "mix_rows")
+    at = {c: F.col(f"rest.c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text", "source")}
+    taken = mix(numbered.select("number", *at.values()), row="number").filter("copies > 0").select("row", "copies")
+    found = numbered.join(taken, F.col("number") == F.col("row"))
+    repeated = found.select("rest", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

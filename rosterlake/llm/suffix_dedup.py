@@ -387,14 +387,17 @@ def shorten(docs: DataFrame) -> DataFrame:
     """``docs`` (with doc_id and text), all its columns, without the repeats in its texts.
 
     What is left of a character cut in two is dropped; ``n_chars``, if there, is counted anew.
-    A text that is removed entirely stays as an empty one.
+    A text that is removed entirely stays as an empty one. Other columns may have any name.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, carry=others).withColumnRenamed("kept", "text").select("doc_id", "text", *others)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
+    rest = docs.select("doc_id", "text", F.struct(F.lit(True).alias("there"), *columns).alias("rest"))
+    cut = remove_repeats(rest, carry=("rest",)).select("doc_id", F.col("kept").alias("text"), "rest")
     out = cut.mapInArrow(_readable, StructType([f if f.name != "text" else docs.schema["text"] for f in cut.schema]))
+    back = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        back["n_chars"] = F.length("text")
+    return out.select(*[back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
