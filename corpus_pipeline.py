@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm import bpe_automaton, ngram_join, source_mix, suffix_dedup, toxicity
 from rosterlake.llm.common import read_table, write_and_read
+from rosterlake.sources.scratch import scratch_folder, temporary_scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8 or more."""
+    """One row of each group of near copies stays: five-word shingles, Jaccard 0.8 or more."""
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 
@@ -56,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = write_and_read(stage(spark, docs, sf_dir), f"stage_{name}")
+        folder = scratch_folder(spark, f"stage_{name}")
+        with temporary_scratch(spark):  # what a stage wrote on its way goes once its result is written
+            docs = write_and_read(stage(spark, docs, sf_dir), name, folder)
     return docs
