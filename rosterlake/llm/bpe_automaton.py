@@ -273,6 +273,7 @@ def _digest_column(shared, with_ids: bool):
                 if with_ids:
                     columns, names = [*columns, _lists(all_ids)], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
         del encoder
         give_back()
 
@@ -310,7 +311,8 @@ def digests(
 ) -> DataFrame:
     """Per row doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them.
 
-    With ``with_ids`` the ids too, so that texts are encoded once for both.
+    With ``with_ids`` the ids too, so that texts are encoded once for both. A NULL text
+    counts as empty, a NULL doc_id stays NULL; repeated rows give repeated results; other columns are ignored.
     """
     shared = _shared(docs.sparkSession, vocabulary)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

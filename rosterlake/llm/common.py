@@ -19,6 +19,10 @@ WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+# Arrow's own allocator keeps what it has once had; the system's returns large buffers at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
     """Hand freed memory back to the system; Python workers outlive their tasks, and so does what they hold."""
     gc.collect()
