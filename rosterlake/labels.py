@@ -48,6 +48,9 @@ OVERLOADED = "⚠ перегружен"
 UNDERLOADED = "✓ недогружен"
 OPTIMAL = "→ оптимально"
 
+# Fixed value: payroll above what a department may spend on it.
+OVER_BUDGET = "Превышен бюджет отдела"
+
 # Hierarchy texts.
 PATH_SEPARATOR = " → "
 INDENT = "  "

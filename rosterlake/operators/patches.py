@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import write_and_read
-from . import changes, quality
+from . import changes, guards, quality
 
 
 class Patched(NamedTuple):
@@ -29,7 +29,12 @@ def apply_checked_updates(
 
     ``refused`` names, for each employee whose row would break one, the rules: a check,
     a missing value, a text too long, a reference that leads nowhere, an address that
-    someone else has or asks for too. Those rows stay as they were.
+    someone else keeps or asks for too, a reporting loop, payroll over budget. Those rows
+    stay as they were, and so keep an address, a line, a salary that others may then clash with;
+    so the last three rules are applied, in this order, until they refuse nobody more.
+
+    Lines and budgets are judged in the order of ``employee_id``. Room that a patch frees in a
+    budget is there for the next batch.
     """
     updated, unknown = changes.apply_updates(employees, patches)
     asked = patches.select("employee_id").distinct()
@@ -47,15 +52,59 @@ def apply_checked_updates(
         broken = broken.unionByName(
             lost.select("employee_id", F.lit(f"foreign key {column}").alias("rule"))
         )
-    # Whoever keeps an address has it; two who ask for one both go without.
-    old = employees.select("employee_id", F.col("email").alias("old_email"))
-    asks = new.join(old, "employee_id").filter(~F.col("email").eqNullSafe(F.col("old_email")))
-    holders = updated.filter("email IS NOT NULL").groupBy("email").agg(F.count("*").alias("holders"))
-    clash = asks.join(holders, "email").filter("holders > 1")
-    broken = broken.unionByName(clash.select("employee_id", F.lit("unique email").alias("rule")))
-    refused = write_and_read(
-        broken.groupBy("employee_id").agg(F.sort_array(F.collect_set("rule")).alias("broken")), "refused"
+    old = write_and_read(
+        employees.join(asked, "employee_id", "left_semi").select(
+            "employee_id",
+            F.struct("email", "manager_id", "salary", "department_id", "is_active").alias("old"),
+        ),
+        "before_patch",
+    )
+    refused = write_and_read(broken.distinct(), "broken_rules")
+    both = new.join(old, "employee_id")
+    wishes = both.filter("email IS NOT NULL AND NOT email <=> old.email").select("employee_id", "email")
+    # Two who ask for one address both go without; so do those refused for other reasons.
+    open_ = wishes.join(refused, "employee_id", "left_anti")
+    alone = open_.groupBy("email").agg(F.count("*").alias("n")).filter("n > 1").select("email")
+    shared = open_.join(alone, "email").select("employee_id", F.lit("unique email").alias("rule"))
+    refused = write_and_read(refused.unionByName(shared), "broken_rules")
+    wishes = write_and_read(open_.join(alone, "email", "left_anti"), "wishes")
+    lines = both.filter("NOT manager_id <=> old.manager_id").select(
+        "employee_id", F.col("employee_id").alias("turn"), "manager_id"
     )
+    lines = write_and_read(lines, "new_lines")
+    stays = F.col("old.is_active") & F.col("old.department_id").eqNullSafe(F.col("department_id"))
+    need = guards.thousandths(F.col("salary")) - F.when(stays, guards.thousandths(F.col("old.salary"))).otherwise(0)
+    pay = both.filter("NOT salary <=> old.salary OR NOT department_id <=> old.department_id").select(
+        F.col("employee_id").alias("no"), "department_id", need.alias("need"),
+        F.when(F.col("is_active"), F.greatest(need, F.lit(0))).otherwise(0).alias("take"),
+    )
+    pay = write_and_read(pay, "new_pay")
+    room = write_and_read(guards.payroll_room(departments, employees), "room")
+    edges, owners = employees.select("employee_id", "manager_id"), employees.select("employee_id", "email")
+    def named(rows: DataFrame, rule: str) -> DataFrame:
+        return rows.select(rows.columns[0], F.lit(rule).alias("rule")).toDF("employee_id", "rule")
+
+    first, moved = True, True
+    while first or not more.isEmpty():
+        gone = refused.select("employee_id")
+        more = named(guards.refused_addresses(wishes, owners, gone.distinct()), "unique email")
+        more = write_and_read(more, "more")
+        gone = gone.unionByName(more.select("employee_id"))
+        if first or not more.join(lines, "employee_id", "left_semi").isEmpty() or moved:
+            loops = guards.refused_loops(edges, lines.join(gone, "employee_id", "left_anti"))
+            more = write_and_read(more.unionByName(named(loops, "reporting loop")), "more")
+            gone = refused.select("employee_id").unionByName(more.select("employee_id"))
+        if first:  # later there are fewer requests, so who fits once still does
+            over = guards.refused_by_budget(pay.join(gone.withColumnRenamed("employee_id", "no"), "no", "left_anti"), room)
+            over = named(over, "payroll over budget")
+            moved = not over.join(lines, "employee_id", "left_semi").isEmpty()
+            more = more.unionByName(over)
+        else:
+            moved = False
+        first, more = False, write_and_read(more, "more")
+        refused = write_and_read(refused.unionByName(more), "broken_rules")
+    refused = refused.groupBy("employee_id").agg(F.sort_array(F.collect_set("rule")).alias("broken"))
+    refused = write_and_read(refused, "refused")
     good = new.join(refused.select("employee_id"), "employee_id", "left_anti")
     rest = employees.join(good.select("employee_id"), "employee_id", "left_anti")
     return Patched(rest.unionByName(good.select(*employees.columns)), refused, unknown)

@@ -698,24 +698,26 @@ def t13_delete_employees(f: Fixtures) -> DataFrame:
 
 @query
 def t12_checked_updates(f: Fixtures) -> DataFrame:
-    # Everyone has a patch; five in six ask for the values they have already.
-    asked = f.employees.selectExpr(
+    # Everyone has a patch; most ask for some values they have already.
+    beside = f.employees.selectExpr("employee_id - 1 AS employee_id", "email AS next_email")
+    last = f.employees.agg(F.max("employee_id")).first()[0] or 0
+    asked = f.employees.join(beside, "employee_id", "left").selectExpr(
         "employee_id",
         "1 AS patch_no",
-        """cast(CASE WHEN employee_id % 6 <> 0 THEN salary WHEN employee_id % 12 = 0 THEN -1
-           ELSE salary + 1 END as decimal(12,2)) AS salary""",
-        """cast(CASE WHEN employee_id % 6 <> 0 THEN department_id WHEN employee_id % 18 = 0 THEN 99
-           ELSE 3 END as bigint) AS department_id""",
-        """CASE WHEN employee_id % 6 <> 0 THEN email WHEN employee_id % 30 = 0 THEN 'same@company.com'
-           ELSE 'p.' || email END AS email""",
-        """CASE WHEN employee_id % 6 = 1 THEN array('email', 'salary', 'department_id')
-           WHEN employee_id % 42 = 0 OR employee_id % 6 = 2 THEN array('email')
-           WHEN employee_id % 30 = 0 OR employee_id % 6 = 3 THEN array('email', 'salary')
-           ELSE array('salary', 'department_id') END AS fields""",
+        """cast(CASE WHEN employee_id % 12 = 0 THEN -1 WHEN employee_id % 6 = 0 THEN salary + 1
+           WHEN employee_id % 6 = 1 THEN salary + 30000 ELSE salary END as decimal(12,2)) AS salary""",
+        """cast(CASE WHEN employee_id % 18 = 0 THEN 99 WHEN employee_id % 6 = 0 THEN 3
+           ELSE department_id END as bigint) AS department_id""",
+        """CASE WHEN employee_id % 30 = 0 THEN 'same@company.com' WHEN employee_id % 6 = 0 THEN 'p.' || email
+           WHEN employee_id % 6 >= 4 THEN coalesce(next_email, email) ELSE email END AS email""",
+        f"""CASE WHEN employee_id % 10 = 1 AND 6 * employee_id <= {last} THEN 6 * employee_id
+           WHEN employee_id % 10 = 2 THEN employee_id + 1 WHEN employee_id % 10 = 3 THEN employee_id - 1
+           ELSE manager_id END AS manager_id""",
+        "array('email', 'salary', 'department_id', 'manager_id') AS fields",
     )
     job = patches.apply_checked_updates(f.employees, asked, f.departments, f.positions, AS_OF)
     return job.employees.join(job.refused, "employee_id", "left").select(
-        "employee_id", "email", "salary", "department_id", F.array_join("broken", ", ").alias("broken")
+        "employee_id", "email", "salary", "department_id", "manager_id", F.array_join("broken", ", ").alias("broken")
     )
 
 
@@ -734,6 +736,7 @@ def t14_validate_new_employees(f: Fixtures) -> DataFrame:
            ELSE 'new.' || email END AS email""",
         "CASE WHEN employee_id % 8 = 0 THEN 77 WHEN employee_id % 9 = 0 THEN 0 ELSE department_id END AS department_id",
         "CASE WHEN employee_id % 11 = 0 THEN manager_id + 100000000 ELSE manager_id END AS manager_id",
+        "salary",
     )
     return intake.validate_new_employees(requests, f.employees, f.departments)
 

@@ -9,6 +9,33 @@ from __future__ import annotations
 
 import re
 
+from ..labels import OVER_BUDGET
+
+
+def taken_in(turns: str) -> str:
+    """Rows of ``turns(no, email, department_id, pay)`` taken in one by one: which find their address taken, which no room."""
+    return f"""
+        WITH RECURSIVE numbered AS (
+            SELECT *, row_number() OVER (ORDER BY no) AS t,
+                   count(*) OVER (PARTITION BY email) > 1 AS contested,
+                   coalesce(email IN (SELECT email FROM employees WHERE email IS NOT NULL), false) AS known
+            FROM {turns}),
+        walk AS (
+            SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS no, CAST(NULL AS VARCHAR) AS email,
+                   false AS taken, false AS over, CAST([] AS VARCHAR[]) AS held,
+                   (SELECT MAP(list(department_id), list(CAST(room AS DECIMAL(20,3)))) FROM payroll_rooms) AS rooms
+            UNION ALL
+            SELECT t, no, email, found_taken, found_taken = false AND found_over,
+                   CASE WHEN contested AND NOT found_taken AND NOT found_over THEN list_append(held, email) ELSE held END,
+                   CASE WHEN found_taken OR found_over OR room IS NULL THEN rooms
+                        ELSE map_concat(rooms, MAP([department_id], [CAST(room - pay AS DECIMAL(20,3))])) END
+            FROM (SELECT n.*, held, rooms, rooms[n.department_id] AS room,
+                         known OR list_contains(held, n.email) AS found_taken,
+                         coalesce(n.pay > rooms[n.department_id], false) AS found_over
+                  FROM walk w JOIN numbered n ON n.t = w.t + 1))
+        SELECT no, email, taken, over FROM walk WHERE t > 0"""
+
+
 TABLES: dict[str, str] = {
     "departments": """
         SELECT CAST(n_nationkey + 1 AS BIGINT) AS department_id, n_name AS department_name,
@@ -262,18 +289,28 @@ TABLES: dict[str, str] = {
                     WHEN salary < 0 THEN 'Зарплата не может быть отрицательной'
                     WHEN department_id = 99 THEN 'Нарушено ограничение таблицы' END AS late
         FROM csv_rows""",
-    "csv_verdicts": """
+    "payroll_rooms": """
+        SELECT d.department_id, budget * 7 / 10 - coalesce(fund, 0) AS room
+        FROM departments d
+        LEFT JOIN (SELECT department_id, sum(salary) AS fund FROM employees WHERE is_active
+                   GROUP BY department_id) USING (department_id)""",
+    "csv_turns": """
+        SELECT row_no AS no, email, department_id, CAST(salary AS DECIMAL(20,2)) AS pay
+        FROM csv_faults WHERE early IS NULL AND late IS NULL""",
+    "csv_taken_in": taken_in("csv_turns"),
+    "csv_verdicts": f"""
         SELECT r.*,
                coalesce(early,
                         CASE WHEN h.holder < r.row_no
                              THEN 'Email ' || r.email || ' уже существует' END,
-                        late) AS reason
+                        late,
+                        CASE WHEN w.over THEN '{OVER_BUDGET}' END) AS reason
         FROM csv_faults r
+        LEFT JOIN csv_taken_in w ON w.no = r.row_no
         LEFT JOIN (SELECT email, min(holder) AS holder
                    FROM (SELECT email, -1 AS holder FROM employees
                          UNION ALL
-                         SELECT email, row_no FROM csv_faults
-                         WHERE early IS NULL AND late IS NULL)
+                         SELECT email, no FROM csv_taken_in WHERE NOT taken AND NOT over)
                    GROUP BY email) h ON h.email = r.email""",
 }
 

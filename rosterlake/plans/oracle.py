@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .mapping_sql import with_tables
+from ..labels import OVER_BUDGET
+from .mapping_sql import taken_in, with_tables
 
 
 def full(alias: str = "") -> str:
@@ -1103,29 +1104,81 @@ BODIES: dict[str, str] = {
                CAST(salary * 2 + n AS DOUBLE), department_id % 25 + 1, 'unknown'
         FROM employees, (SELECT unnest([1, 2]) AS n) WHERE employee_id % 90 = 0""",
     "t12_checked_updates": """
-        WITH asked AS (
-            SELECT e.*,
-                   CASE WHEN employee_id % 6 <> 0 OR employee_id % 42 = 0 THEN salary
-                        WHEN employee_id % 12 = 0 THEN -1 ELSE salary + 1 END AS new_salary,
-                   CASE WHEN employee_id % 6 <> 0 OR employee_id % 42 = 0 OR employee_id % 30 = 0
-                        THEN department_id WHEN employee_id % 18 = 0 THEN 99 ELSE 3 END AS new_place,
-                   CASE WHEN employee_id % 6 <> 0 OR (employee_id % 42 <> 0 AND employee_id % 30 <> 0)
-                        THEN email WHEN employee_id % 30 = 0 THEN 'same@company.com'
-                        ELSE 'p.' || email END AS new_email
-            FROM employees e),
+        WITH RECURSIVE asked AS (
+            SELECT e.*, n,
+                   CASE WHEN e.employee_id % 12 = 0 THEN -1 WHEN e.employee_id % 6 = 0 THEN e.salary + 1
+                        WHEN e.employee_id % 6 = 1 THEN e.salary + 30000 ELSE e.salary END AS new_salary,
+                   CASE WHEN e.employee_id % 18 = 0 THEN 99 WHEN e.employee_id % 6 = 0 THEN 3
+                        ELSE e.department_id END AS new_place,
+                   CASE WHEN e.employee_id % 30 = 0 THEN 'same@company.com'
+                        WHEN e.employee_id % 6 = 0 THEN 'p.' || e.email
+                        WHEN e.employee_id % 6 >= 4 THEN coalesce(x.email, e.email) ELSE e.email END AS new_email,
+                   CASE WHEN e.employee_id % 10 = 1 AND 6 * e.employee_id <= n THEN 6 * e.employee_id
+                        WHEN e.employee_id % 10 = 2 THEN e.employee_id + 1
+                        WHEN e.employee_id % 10 = 3 THEN e.employee_id - 1 ELSE e.manager_id END AS new_manager
+            FROM employees e
+            LEFT JOIN employees x ON x.employee_id = e.employee_id + 1,
+                 (SELECT max(employee_id) AS n FROM employees)),
+        row_rules AS (
+            SELECT employee_id, 'check salary_positive' AS rule FROM asked WHERE new_salary < 0
+            UNION ALL SELECT employee_id, 'foreign key department_id' FROM asked WHERE new_place = 99
+            UNION ALL SELECT employee_id, 'foreign key manager_id' FROM asked WHERE new_manager > n),
+        wishes AS (
+            SELECT *, count(*) OVER (PARTITION BY new_email) > 1 AS shared FROM asked
+            WHERE new_email <> email AND employee_id NOT IN (SELECT employee_id FROM row_rules)),
+        out_first AS (
+            FROM row_rules UNION ALL SELECT employee_id, 'unique email' FROM wishes WHERE shared),
+        waits AS (
+            SELECT w.employee_id, o.employee_id AS owner,
+                   o.employee_id NOT IN (SELECT employee_id FROM wishes WHERE NOT shared) AS kept
+            FROM wishes w JOIN employees o ON o.email = w.new_email AND o.employee_id <> w.employee_id
+            WHERE NOT shared),
+        no_address AS (
+            SELECT employee_id FROM waits WHERE kept
+            UNION SELECT w.employee_id FROM waits w JOIN no_address f ON f.employee_id = w.owner),
+        out_second AS (FROM out_first UNION ALL SELECT employee_id, 'unique email' FROM no_address),
+        -- Reports of m are 6m to 6m + 5. Asking for an own report closes a loop, and so does
+        -- the second of two who ask for each other, if the first got it.
+        loops AS (
+            SELECT employee_id, 'reporting loop' AS rule FROM asked
+            WHERE employee_id NOT IN (SELECT employee_id FROM out_second)
+              AND (employee_id % 10 = 1 AND 6 * employee_id <= n
+                   OR employee_id % 10 = 3
+                      AND employee_id - 1 NOT IN (SELECT employee_id FROM out_second))),
+        out_third AS (FROM out_second UNION ALL FROM loops),
+        pays AS (
+            SELECT employee_id, new_place,
+                   new_salary - CASE WHEN is_active AND new_place = department_id THEN salary ELSE 0 END AS need,
+                   is_active, row_number() OVER (ORDER BY employee_id) AS t
+            FROM asked
+            WHERE (new_salary <> salary OR new_place <> department_id)
+              AND employee_id NOT IN (SELECT employee_id FROM out_third)),
+        walk AS (
+            SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS employee_id, false AS over,
+                   (SELECT MAP(list(department_id), list(CAST(room AS DECIMAL(20,3)))) FROM payroll_rooms) AS rooms
+            UNION ALL
+            SELECT p.t, p.employee_id, need > rooms[new_place],
+                   CASE WHEN need > rooms[new_place] OR NOT is_active OR need < 0 THEN rooms
+                        ELSE map_concat(rooms, MAP([new_place], [CAST(rooms[new_place] - need AS DECIMAL(20,3))])) END
+            FROM walk w JOIN pays p ON p.t = w.t + 1),
+        out_fourth AS (
+            FROM out_third UNION ALL SELECT employee_id, 'payroll over budget' FROM walk WHERE over),
+        -- Whoever was refused since keeps an address that others may wait for.
+        no_address_either AS (
+            SELECT employee_id FROM waits
+            WHERE kept OR owner IN (SELECT employee_id FROM out_fourth)
+            UNION SELECT w.employee_id FROM waits w JOIN no_address_either f ON f.employee_id = w.owner),
+        out_last AS (
+            FROM out_fourth UNION ALL
+            SELECT employee_id, 'unique email' FROM no_address_either
+            WHERE employee_id NOT IN (SELECT employee_id FROM out_fourth)),
         judged AS (
-            SELECT *, concat_ws(', ',
-                       CASE WHEN new_salary < 0 THEN 'check salary_positive' END,
-                       CASE WHEN new_place = 99 THEN 'foreign key department_id' END,
-                       CASE WHEN new_email <> email
-                             AND count(*) OVER (PARTITION BY new_email) > 1 THEN 'unique email' END)
-                       AS broken
-            FROM asked)
-        SELECT employee_id, CASE WHEN broken = '' THEN new_email ELSE email END AS email,
-               CAST(CASE WHEN broken = '' THEN new_salary ELSE salary END AS DOUBLE) AS salary,
-               CASE WHEN broken = '' THEN new_place ELSE department_id END AS department_id,
-               nullif(broken, '') AS broken
-        FROM judged""",
+            SELECT employee_id, string_agg(DISTINCT rule, ', ' ORDER BY rule) AS broken FROM out_last GROUP BY 1)
+        SELECT employee_id, CASE WHEN broken IS NULL THEN new_email ELSE email END AS email,
+               CAST(CASE WHEN broken IS NULL THEN new_salary ELSE salary END AS DOUBLE) AS salary,
+               CASE WHEN broken IS NULL THEN new_place ELSE department_id END AS department_id,
+               CASE WHEN broken IS NULL THEN new_manager ELSE manager_id END AS manager_id, broken
+        FROM asked LEFT JOIN judged USING (employee_id)""",
     "t13_delete_employees": """
         WITH gone AS (
             SELECT employee_id FROM employees
@@ -1164,20 +1217,25 @@ BODIES: dict[str, str] = {
                    CASE WHEN employee_id % 8 = 0 THEN 77 WHEN employee_id % 9 = 0 THEN 0
                         ELSE department_id END AS department_id,
                    CASE WHEN employee_id % 11 = 0 THEN manager_id + 100000000
-                        ELSE manager_id END AS manager_id
+                        ELSE manager_id END AS manager_id, salary
             FROM employees),
         faults AS (
             SELECT *, CASE WHEN department_id = 77 THEN 'Отдел не существует'
                            WHEN manager_id > 100000000 THEN 'Руководитель не существует'
                       END AS fault
-            FROM requests)
-        SELECT request_no, first_name, f.email, department_id, manager_id,
+            FROM requests),
+        turns AS (
+            SELECT request_no AS no, email, department_id, salary AS pay FROM faults WHERE fault IS NULL),
+        taken_in AS ("""
+    + taken_in("turns")
+    + f""")
+        SELECT request_no, first_name, f.email, CAST(salary AS DOUBLE) AS salary, department_id, manager_id,
                CASE WHEN EXISTS (SELECT 1 FROM employees e WHERE e.email = f.email)
-                      OR EXISTS (SELECT 1 FROM faults o
-                                 WHERE o.email = f.email AND o.fault IS NULL
-                                   AND o.request_no < f.request_no)
-                    THEN 'Email уже используется' ELSE fault END AS error
-        FROM faults f""",
+                      OR EXISTS (SELECT 1 FROM taken_in o
+                                 WHERE o.email = f.email AND NOT taken AND NOT over AND o.no < f.request_no)
+                    THEN 'Email уже используется'
+                    ELSE coalesce(fault, CASE WHEN over THEN '{OVER_BUDGET}' END) END AS error
+        FROM faults f LEFT JOIN taken_in t ON t.no = f.request_no""",
     "t15_create_departments": """
         SELECT department_id, department_name, CAST(budget AS DOUBLE) AS budget, manager_id,
                location

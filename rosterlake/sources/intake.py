@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import labels
+from ..operators import guards
 from ..operators.quality import EMAIL_PATTERN
 from .scratch import write_and_read
 from .tables import json_record, split_new
@@ -131,25 +132,55 @@ def _known(keys: DataFrame, key: str, name: str) -> DataFrame:
     return keys.select(F.col(key).alias(name), F.lit(True).alias(f"{name}_known"))
 
 
-def _email_taken(rows: DataFrame, existing: DataFrame, number: str) -> DataFrame:
-    """Adds ``email_taken``: held already, or by an earlier row that is sound.
+def _decide(rows: DataFrame, existing: DataFrame, departments: DataFrame, number: str) -> DataFrame:
+    """Adds ``email_taken`` and ``over_budget`` to ``rows``, as if they were taken in one by one.
 
-    Rows whose ``fault`` is set never hold an email, so a later row may. The
-    first sound row per email is a plain minimum, which does not gather the rows
-    of one email in a task. The holders are written out and so shuffled on their
-    own, which lets the join split an email that many rows share.
+    An address is taken if someone has it already or an earlier row got in with it. A row
+    whose salary ``pay`` finds no room in its department's budget does not get in, so it
+    neither takes room nor an address. Rows whose ``fault`` is set never get in.
+
+    The two rules wait for each other, so they are applied in turn: the first to ask for an
+    address that was not refused last time is taken to hold it, and the budget is spent among
+    holders and those before them. A row depends on earlier rows only, so the one outcome that
+    repeats itself is that of taking them in order; it is reached after as many turns as refusals
+    depend on each other.
+
+    The first row per email is a plain minimum, which does not gather the rows of one
+    email in a task. The holders are written out and so shuffled on their own, which lets
+    the join split an email that many rows share.
     """
-    holders = write_and_read(
-        existing.select("email", F.lit(-1).cast("long").alias("holder"))
-        .unionByName(
-            rows.filter("fault IS NULL").select("email", F.col(number).alias("holder"))
-        )
-        .groupBy("email")
-        .agg(F.min("holder").alias("holder")),
-        "holders",
+    room = write_and_read(guards.payroll_room(departments, existing), "room")
+    sound = rows.filter("fault IS NULL").select(
+        F.col(number).alias("no"), "email", "department_id", guards.thousandths(F.coalesce("pay", F.lit(0))).alias("need")
     )
-    return rows.join(holders, "email", "left").withColumn(
-        "email_taken", F.coalesce(F.col("holder") < F.col(number), F.lit(False))
+    # Room never grows: what does not fit at first is refused whatever happens before its turn.
+    never = F.coalesce(F.col("need") > F.col("room"), F.lit(False))
+    every = write_and_read(sound.join(room, "department_id", "left").withColumn("never", never).drop("room"), "sound")
+    sound, hopeless = every.filter("NOT never").drop("never"), every.filter("never").select("no")
+    held = existing.select("email", F.lit(-1).cast("long").alias("no"))
+
+    def holders_of(accepted: DataFrame) -> DataFrame:
+        both = held.unionByName(accepted.select("email", "no"))
+        return write_and_read(both.groupBy("email").agg(F.min("no").alias("holder")), "holders")
+
+    holders = holders_of(sound)
+    while True:
+        free = sound.join(holders, "email", "left").filter("holder IS NULL OR holder >= no")
+        free = write_and_read(free.drop("holder"), "candidates")
+        refused = guards.refused_by_budget(free.withColumn("take", F.col("need")), room)
+        following = holders_of(sound.join(refused, "no", "left_anti"))
+        moved = holders.join(following.withColumnRenamed("holder", "now"), "email", "full").filter("NOT holder <=> now")
+        # Only addresses that another sound row asks for change anything.
+        waiting = sound.join(moved, "email").filter("no <> coalesce(holder, now)")
+        if waiting.isEmpty():
+            break
+        holders = following
+    refused = refused.unionByName(hopeless)
+    return (
+        rows.join(holders, "email", "left")
+        .join(refused.select(F.col("no").alias(number), F.lit(True).alias("refused")), number, "left")
+        .withColumn("email_taken", F.coalesce(F.col("holder") < F.col(number), F.lit(False)))
+        .withColumn("over_budget", F.coalesce("refused", F.lit(False)))
     )
 
 
@@ -165,7 +196,8 @@ def import_employees(
     The rows are parsed and checked once and written, then again with the outcome,
     which all three results read. The reason given
     is the first that applies: missing fields, address without ``@``, address in
-    use, unreadable value, negative salary, broken table rule.
+    use, unreadable value, negative salary, broken table rule, payroll over budget.
+    Rows count in order: what is refused neither takes an address nor room in a budget.
     """
 
     def number(name: str) -> Column:
@@ -234,9 +266,17 @@ def import_employees(
         F.col("email"),
         F.lit(labels.EMAIL_EXISTS.split("{}")[1]),
     )
-    reason = F.coalesce(F.col("early"), F.when(F.col("email_taken"), in_use), F.col("fault"))
+    reason = F.coalesce(
+        F.col("early"),
+        F.when(F.col("email_taken"), in_use),
+        F.col("fault"),
+        F.when(F.col("over_budget"), F.lit(labels.OVER_BUDGET)),
+    )
     decided = write_and_read(
-        _email_taken(rows, existing, "row_no").select(
+        _decide(
+            rows.withColumn("raw_department", F.col("department_id")).withColumn("department_id", F.col("department_id_read")),
+            existing, departments, "row_no",
+        ).withColumn("department_id", F.col("raw_department")).select(
             "row_no",
             *CSV_COLUMNS,
             "hired",
@@ -276,8 +316,8 @@ def validate_new_employees(
 ) -> DataFrame:
     """Create requests with ``error``, NULL where the employee may be created.
 
-    ``number`` orders the requests; an earlier request that goes through takes
-    its email.
+    ``number`` orders the requests; an earlier request that goes through takes its email
+    and, if requests have a ``salary``, room in its department's budget.
     """
     checked = requests.join(
         _known(departments, "department_id", "department_id"), "department_id", "left"
@@ -290,9 +330,12 @@ def validate_new_employees(
     fault = F.when(unknown("department_id"), labels.NO_SUCH_DEPARTMENT).when(
         unknown("manager_id"), labels.NO_SUCH_MANAGER
     )
-    return _email_taken(checked.withColumn("fault", fault), employees, number).select(
+    pay = F.col("salary") if "salary" in requests.columns else F.lit(0)
+    judged = _decide(checked.withColumn("fault", fault).withColumn("pay", pay), employees, departments, number)
+    over = F.when(F.col("over_budget"), labels.OVER_BUDGET)
+    return judged.select(
         *requests.columns,
-        F.when(F.col("email_taken"), labels.EMAIL_USED).otherwise(F.col("fault")).alias("error"),
+        F.when(F.col("email_taken"), labels.EMAIL_USED).otherwise(F.coalesce("fault", over)).alias("error"),
     )
 
 

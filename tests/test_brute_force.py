@@ -58,7 +58,7 @@ def test_random_reporting_lines(make, seed):
     assert found == {(p, "self_manager" if manager[p] == p else "cycle") for p in loops}
 
     tree = hierarchy.employee_hierarchy(
-        employees, make("departments", {"department_id": 1}), make("positions", {"position_id": 1})
+        employees, make("departments", {"department_id": 1, "budget": None}), make("positions", {"position_id": 1})
     ).collect()
     expected = {}
     for person in people:
@@ -109,7 +109,7 @@ def test_random_imports_row_by_row(spark, make, tmp_path, seed):
     result = intake.import_employees(
         intake.read_numbered_csv(spark, str(tmp_path)),
         make("employees", {"employee_id": 1, "email": "old@x.org"}),
-        make("departments", {"department_id": 1}),
+        make("departments", {"department_id": 1, "budget": None}),
         make("positions", {"position_id": 1}),
         AS_OF,
     )

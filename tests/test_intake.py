@@ -16,7 +16,7 @@ def run(spark, make, folder, *files, **options):
     return intake.import_employees(
         intake.read_numbered_csv(spark, str(folder), **options),
         make("employees", {"employee_id": 1, "email": "old@x.org"}),
-        make("departments", {"department_id": 1}),
+        make("departments", {"department_id": 1, "budget": None}),
         make("positions", {"position_id": 1}),
         AS_OF,
     )
@@ -133,7 +133,7 @@ def test_new_employees(spark, make):
     checked = intake.validate_new_employees(
         requests,
         make("employees", {"employee_id": 1, "email": "old@x.org"}),
-        make("departments", {"department_id": 1}),
+        make("departments", {"department_id": 1, "budget": None}),
     )
     assert {r.request_no: r.error for r in checked.collect()} == {
         1: labels.NO_SUCH_DEPARTMENT,
@@ -258,7 +258,7 @@ def test_large_keys_dates_lengths_and_line_breaks(spark, make, tmp_path):
     existing = make("employees", {"employee_id": big - 1, "email": "boss@b.com"})
     lines = intake.read_numbered_csv(spark, str(folder))
     result = intake.import_employees(
-        lines, existing, make("departments", {"department_id": 1}), make("positions", {"position_id": 1}), date(1999, 6, 30)
+        lines, existing, make("departments", {"department_id": 1, "budget": None}), make("positions", {"position_id": 1}), date(1999, 6, 30)
     )
     got = {r.row_no: r for r in result.accepted.collect()}
     assert set(got) == {2, 3, 5}
