@@ -931,19 +931,18 @@ def _feed(f: Fixtures) -> DataFrame:
 
 @query
 def x1_stream_audit(f: Fixtures) -> DataFrame:
-    audit = feeds.drain_rows(feeds.audit_rows(_feed(f)), "audit")
+    audit = feeds.drain_once(_feed(f), feeds.audit_rows, "audit")
     return audit.withColumn("changed_at", _readable("changed_at"))
 
 
 @query
 def x2_stream_history(f: Fixtures) -> DataFrame:
-    return feeds.drain_rows(feeds.history_rows(_feed(f)), "history")
+    return feeds.drain_once(_feed(f), feeds.history_rows, "history")
 
 
 @query
 def x3_stream_department_figures(f: Fixtures) -> DataFrame:
-    drained = feeds.drain_rows(_feed(f), "changes")
-    return feeds.department_figures(drained, f.employees)
+    return feeds.stream_department_figures(_feed(f), f.employees, "figures")
 
 
 @query
