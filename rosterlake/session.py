@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Adaptive execution picks join strategies from measured sizes and splits hot
-#: partitions, so no operator in this package forces a broadcast by hint.
+#: partitions, so no operator of the workforce part forces a broadcast by hint.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
