@@ -151,7 +151,7 @@ def _decide(rows: DataFrame, existing: DataFrame, departments: DataFrame, number
     """
     room = write_and_read(guards.payroll_room(departments, existing), "room")
     sound = rows.filter("fault IS NULL").select(
-        F.col(number).alias("no"), "email", "department_id", guards.thousandths(F.coalesce("pay", F.lit(0))).alias("need")
+        F.col(number).alias("no"), "email", "department_id", guards.thousandths(F.col("pay")).alias("need")
     )
     # Room never grows: what does not fit at first is refused whatever happens before its turn.
     never = F.coalesce(F.col("need") > F.col("room"), F.lit(False))
@@ -330,7 +330,7 @@ def validate_new_employees(
     fault = F.when(unknown("department_id"), labels.NO_SUCH_DEPARTMENT).when(
         unknown("manager_id"), labels.NO_SUCH_MANAGER
     )
-    pay = F.col("salary") if "salary" in requests.columns else F.lit(0)
+    pay = F.col("salary") if "salary" in requests.columns else F.lit(None).cast("decimal(12,2)")
     judged = _decide(checked.withColumn("fault", fault).withColumn("pay", pay), employees, departments, number)
     over = F.when(F.col("over_budget"), labels.OVER_BUDGET)
     return judged.select(
