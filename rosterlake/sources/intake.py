@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import labels
 from ..operators import guards
 from ..operators.quality import EMAIL_PATTERN
+from .csv_records import read_csv_records
 from .scratch import write_and_read
 from .tables import json_record, split_new
 
@@ -87,27 +88,34 @@ def read_date(text: str) -> Column:
     )
 
 
+def _text(field: str | None, name: str) -> Column:
+    """A column of an import file, NULL where its text means "no value" or the file does not have it."""
+    if field is None:
+        return F.lit(None).cast("string").alias(name)
+    return F.when(~F.col(field).isin(MISSING_TEXTS), F.col(field)).alias(name)
+
+
 def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Rows of CSV files as text with ``row_no`` in file order, counted from 1.
 
-    With ``multi_line`` quoted fields may hold line breaks, and a file is read by one
-    task; without it large files are split.
+    With ``multi_line`` quoted fields may hold line breaks; :mod:`csv_records` finds where records
+    start in files that are read in splits. Without it Spark's own reader cuts records at line ends.
 
     Positions run on within a split, so the splits' sizes give the offsets; only
     those, one row per split, meet in one task. They are written out, so that the
     planner sees how small they are and leaves the rows where they are.
     """
+    if multi_line:
+        records = read_csv_records(spark, path)
+        present = records.schema["fields"].dataType.names
+        return records.select("row_no", *[_text(f"fields.{c}" if c in present else None, c) for c in CSV_COLUMNS])
     lines = (
         spark.read.option("header", True)
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
     placed = lines.select(
-        *[
-            (F.col(c) if c in lines.columns else F.lit(None).cast("string")).alias(c)
-            for c in CSV_COLUMNS
-        ],
+        *[_text(c if c in lines.columns else None, c) for c in CSV_COLUMNS],
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
@@ -119,11 +127,7 @@ def read_numbered_csv(spark: SparkSession, path: str, multi_line: bool = True) -
         .select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     )
     return placed.join(write_and_read(splits, "splits"), ["file", "block"]).select(
-        (F.col("offset") + F.col("position") - F.col("first") + 1).alias("row_no"),
-        *[
-            F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c)
-            for c in CSV_COLUMNS
-        ],
+        (F.col("offset") + F.col("position") - F.col("first") + 1).alias("row_no"), *CSV_COLUMNS
     )
 
 
