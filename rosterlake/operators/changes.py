@@ -11,6 +11,7 @@ from ..functions.expressions import moment
 from ..functions.payroll import FUND_LIMIT, budget_room
 from ..sources.scratch import write_and_read
 from ..sources.tables import json_record
+from .snapshots import differing
 
 # The columns an audit row shows, defaults for who and why.
 AUDITED = [
@@ -32,8 +33,16 @@ HEAD_LEVELS = ["manager", "director", "executive"]
 LONGEST_LEAVE = 60
 
 
-def _pair(before: DataFrame, after: DataFrame, how: str, columns: list[str]) -> DataFrame:
-    """Rows of two snapshots side by side as ``old`` and ``new`` structs."""
+def _pair(
+    before: DataFrame, after: DataFrame, how: str, columns: list[str], few_changes: bool = False
+) -> DataFrame:
+    """Rows of two snapshots side by side as ``old`` and ``new`` structs.
+
+    With ``few_changes`` digests tell first where the two differ, and only rows from there are paired:
+    more reading, far less shuffling if most rows are as they were.
+    """
+    if few_changes:
+        before, after = differing(before, after, "employee_id", columns)
     old = before.select("employee_id", F.struct(*columns).alias("old"))
     new = after.select("employee_id", F.struct(*columns).alias("new"))
     return old.join(new, "employee_id", how)
@@ -48,10 +57,14 @@ def _differs(left: str, right: str) -> Column:
 
 
 def audit_diff(
-    before: DataFrame, after: DataFrame, at: datetime, changed_by: int = SYSTEM_USER
+    before: DataFrame,
+    after: DataFrame,
+    at: datetime,
+    changed_by: int = SYSTEM_USER,
+    few_changes: bool = False,
 ) -> DataFrame:
     """Audit rows for what was inserted, changed or deleted between two snapshots."""
-    paired = _pair(before, after, "full_outer", _shared(before, after)).filter(
+    paired = _pair(before, after, "full_outer", _shared(before, after), few_changes).filter(
         _differs("old", "new")
     )
 
@@ -79,10 +92,11 @@ def salary_changes(
     as_of: date,
     reason: str = DEFAULT_REASON,
     changed_by: int = SYSTEM_USER,
+    few_changes: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Salary history rows for changed salaries; decreases come back apart."""
     changed = (
-        _pair(before, after, "inner", ["salary"])
+        _pair(before, after, "inner", ["salary"], few_changes)
         .filter(_differs("old.salary", "new.salary"))
         .select(
             "employee_id",
@@ -97,9 +111,21 @@ def salary_changes(
     return changed.filter(rises), changed.filter(~F.coalesce(rises, F.lit(False)))
 
 
-def touch(before: DataFrame, after: DataFrame, at: Column, key: str = "employee_id") -> DataFrame:
+def touch(
+    before: DataFrame, after: DataFrame, at: Column, key: str = "employee_id", few_changes: bool = False
+) -> DataFrame:
     """``after`` with ``updated_at`` set to ``at`` on the rows that changed."""
     columns = [c for c in after.columns if c in before.columns and c not in (key, "updated_at")]
+    if few_changes:
+        was, now = differing(before, after, key, columns)
+        both = was.select(key, F.struct(*columns).alias("old")).join(
+            now.select(key, F.struct(*columns).alias("new")), key
+        )
+        changed = write_and_read(both.filter(_differs("old", "new")).select(key, F.lit(True).alias("changed")), "touched")
+        return after.join(changed, key, "left").select(
+            *[F.col(c) for c in after.columns if c != "updated_at"],
+            F.when(F.col("changed"), at).otherwise(F.col("updated_at")).alias("updated_at"),
+        )
     old = before.select(key, F.struct(*columns).alias("old"), F.lit(True).alias("was_there"))
     changed = F.coalesce("was_there", F.lit(False)) & ~F.col("old").eqNullSafe(
         F.struct(*columns)

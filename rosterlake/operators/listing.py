@@ -10,13 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import arranged, asc, desc, full_name, moment
+from .pages import deep_page
+
+#: From this row on a page is read from ranges.
+DEEP = 100_000
 
 
 def page(df: DataFrame, skip: int, limit: int | None, *keys: Column) -> DataFrame:
     """One page in the order of ``keys``, or all that follows ``skip`` without a limit.
 
-    Every task keeps ``skip + limit`` rows; for deep pages filter by the last key seen instead.
+    Every task keeps ``skip + limit`` rows, so pages beyond ``DEEP`` rows are read from ranges instead, in which a
+    task keeps rows of the page only. For many pages keep the ranges, or go on from the last key seen
+    (:func:`pages.save_ranges`, :func:`pages.page_after`).
     """
+    if skip >= DEEP:
+        return deep_page(df, skip, limit, *keys)
     df = df.orderBy(*keys)
     df = df.offset(skip) if skip else df
     return df if limit is None else df.limit(limit)

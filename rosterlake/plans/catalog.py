@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType
 
 from ..functions import payroll
-from ..operators import changes, hierarchy, listing, patches, quality, raises, reports, staffing
+from ..functions.expressions import asc, desc
+from ..operators import change_checks, changes, hierarchy, listing, pages, patches, quality, raises, reports
+from ..operators import snapshots, staffing
 from ..sources import intake, tables
 from ..sources.fixtures import AS_OF, BASE_SCHEMAS, Fixtures
 from ..sources.scratch import scratch_folder, write_and_read
@@ -203,6 +205,22 @@ def q5_list_audit(f: Fixtures) -> DataFrame:
     return page.withColumn("changed_at", _readable("changed_at"))
 
 
+@query
+def s3_deep_page(f: Fixtures) -> DataFrame:
+    """A page far down the whole assignment list, read from ranges."""
+    keys = [desc("hourly_rate"), asc("project_id"), asc("employee_id")]
+    page = pages.deep_page(f.employee_projects, 2000, 100, *keys, ranges=16)
+    return page.select("employee_id", "project_id", "hourly_rate")
+
+
+@query
+def s3_page_after(f: Fixtures) -> DataFrame:
+    """The people who follow a salary and key in the salary list."""
+    keys = [("salary", True), ("employee_id", False)]
+    chosen = pages.page_after(f.employees, keys, [Decimal("120000.00"), 0], 100)
+    return chosen.select("employee_id", "salary")
+
+
 @query
 def q6_department_employees(f: Fixtures) -> DataFrame:
     return listing.department_employees(f.employees, f.positions, 3)
@@ -512,6 +530,28 @@ def t1_audit_diff(f: Fixtures) -> DataFrame:
     return audit.withColumn("changed_at", F.to_date("changed_at"))
 
 
+@query
+def t1_few_changes(f: Fixtures) -> DataFrame:
+    audit = changes.audit_diff(f.before, f.after.drop("changed_on"), MIDNIGHT, few_changes=True)
+    return audit.withColumn("changed_at", F.to_date("changed_at"))
+
+
+@query
+def t2_few_changes(f: Fixtures) -> DataFrame:
+    kept, rejected = changes.salary_changes(f.before, f.after, AS_OF, few_changes=True)
+    return kept.withColumn("outcome", F.lit("kept")).unionByName(
+        rejected.withColumn("outcome", F.lit("rejected"))
+    )
+
+
+@query
+def t3_few_changes(f: Fixtures) -> DataFrame:
+    touched = changes.touch(
+        f.before, f.after.drop("changed_on"), F.lit(date(1999, 7, 1)), few_changes=True
+    )
+    return touched.select("employee_id", "salary", "department_id", "position_id", "updated_at")
+
+
 @query
 def t2_salary_changes(f: Fixtures) -> DataFrame:
     kept, rejected = changes.salary_changes(f.before, f.after, AS_OF)
@@ -895,6 +935,42 @@ def c5_partial_unique(f: Fixtures) -> DataFrame:
     return quality.duplicate_keys(f.employees.filter("phone IS NOT NULL"), ["phone"])
 
 
+@query
+def c5_open_assignments(f: Fixtures) -> DataFrame:
+    """People with more than one open assignment to a project, where every line item is an assignment."""
+    lines, orders = f.base("lineitem"), f.base("orders")
+    opened = lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+        "o_custkey + 1 AS employee_id",
+        "l_suppkey + 1 AS project_id",
+        "CASE WHEN l_returnflag <> 'N' THEN l_shipdate END AS end_date",
+    )
+    return quality.duplicate_keys(opened.filter("end_date IS NULL"), ["employee_id", "project_id"])
+
+
+def _next_tables(before: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The dirty tables after some rows went, came or changed."""
+    after = dict(before)
+    after["employees"] = before["employees"].selectExpr(
+        "* EXCEPT (employee_id, email, salary)",
+        "CASE WHEN employee_id % 50 = 0 THEN employee_id + 2000000000 ELSE employee_id END AS employee_id",
+        "CASE WHEN employee_id % 19 = 0 THEN concat('moved.', cast(employee_id % 5 as string), '@x.org') ELSE email END AS email",
+        "cast(CASE WHEN employee_id % 13 = 0 THEN -1 ELSE salary END as decimal(12,2)) AS salary",
+    )
+    after["departments"] = before["departments"].filter("department_id % 7 <> 0")
+    return after
+
+
+@query
+def c_change_report(f: Fixtures) -> DataFrame:
+    before = Dirty(f).tables
+    after = _next_tables(before)
+    moved = {
+        table: snapshots.changed_rows(before[table], after[table], quality.PRIMARY_KEYS[table])
+        for table in ("employees", "departments")
+    }
+    return change_checks.change_report(after, moved, AS_OF).filter("change <> 0")
+
+
 @query
 def c6_request_errors(f: Fixtures) -> DataFrame:
     dirty = Dirty(f).tables

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..labels import OVER_BUDGET
 from .mapping_sql import taken_in, with_tables
 
@@ -461,6 +463,24 @@ def _constraint_sql() -> str:
     return "\nUNION ALL ".join(lines)
 
 
+def _change_sql() -> str:
+    """The report over the dirty tables after some rows changed, less the one before."""
+    before = _constraint_sql()
+    after = re.sub(r"\bbad_(employees|departments)\b", r"next_\1", before)
+    return f"""WITH next_employees AS (
+            SELECT * REPLACE (
+                CASE WHEN employee_id % 50 = 0 THEN employee_id + 2000000000 ELSE employee_id END AS employee_id,
+                CASE WHEN employee_id % 19 = 0 THEN 'moved.' || employee_id % 5 || '@x.org'
+                     ELSE email END AS email,
+                CASE WHEN employee_id % 13 = 0 THEN -1 ELSE salary END AS salary)
+            FROM bad_employees),
+        next_departments AS (SELECT * FROM bad_departments WHERE department_id % 7 <> 0),
+        was AS ({before}), now AS ({after})
+        SELECT table_name, constraint_name, now.violations - was.violations AS change
+        FROM now JOIN was USING (table_name, constraint_name)
+        WHERE now.violations <> was.violations"""
+
+
 EMPLOYEE_CHECKS = {
     "check email_format": EMAIL_SQL,
     "check salary_positive": "salary >= 0",
@@ -604,6 +624,16 @@ BODIES: dict[str, str] = {
         FROM audit_log
         WHERE operation_type = 'INSERT'
         ORDER BY changed_at DESC, record_id, new_values LIMIT 50 OFFSET 10""",
+    "s3_deep_page": """
+        SELECT employee_id, project_id, CAST(hourly_rate AS DOUBLE) AS hourly_rate
+        FROM employee_projects
+        ORDER BY hourly_rate DESC NULLS FIRST, project_id, employee_id LIMIT 100 OFFSET 2000""",
+    "s3_page_after": """
+        SELECT employee_id, CAST(salary AS DOUBLE) AS salary
+        FROM (SELECT *, row_number() OVER (ORDER BY salary DESC NULLS FIRST, employee_id) AS place
+              FROM employees)
+        WHERE place > (SELECT count(*) FROM employees WHERE salary > 120000 OR salary IS NULL)
+        ORDER BY place LIMIT 100""",
     "q6_department_employees": f"""
         SELECT {EMPLOYEE_COLUMNS}, position_title, {full('boss')} AS manager_name
         FROM employees e
@@ -1266,6 +1296,11 @@ BODIES: dict[str, str] = {
     "c5_partial_unique": """
         SELECT phone, count(*) AS held FROM employees
         WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+    "c5_open_assignments": """
+        SELECT o_custkey + 1 AS employee_id, l_suppkey + 1 AS project_id, count(*) AS held
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE l_returnflag = 'N' GROUP BY 1, 2 HAVING count(*) > 1""",
+    "c_change_report": _change_sql(),
     "c6_request_errors": "\nUNION ALL ".join(
         f"SELECT '{kind}' AS kind, {key} AS id, {_broken_list(checks)} AS errors "
         f"FROM {source} WHERE {_broken_list(checks)} <> ''"
@@ -1297,4 +1332,7 @@ BODIES: dict[str, str] = {
     "x3_stream_department_movement": MOVEMENT_SQL,
 }
 
+for _name in ("t1_audit_diff", "t2_salary_changes", "t3_touch"):
+    BODIES[f"{_name[:2]}_few_changes"] = BODIES[_name]
+
 ORACLE: dict[str, str] = {name: with_tables(body) for name, body in BODIES.items()}
