@@ -28,6 +28,8 @@ STRIDE = WINDOW - max(WIDTHS) + 1
 FIT_PER_LANGUAGE, FIT_WINDOWS = 2500, 2
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 UNDETERMINED = "und"
+#: Parts in which the ids of a language are ranked first; each hands on FIT_PER_LANGUAGE at most.
+_PARTS = 64
 #: Windows predicted at a time.
 _CHUNK = 64
 
@@ -174,9 +176,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 def learn(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Network | None:
     """A network trained on a bounded sample of ``docs(doc_id, text, lang)`` that is not held out."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(order))
-    chosen = chosen.filter(F.col("turn") <= per_language).select(F.col("doc_id").alias("its"))
+    order = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id").cast("long")), F.lit(_PARTS))
+    ranked = labelled.select("doc_id", "lang", part.alias("part"))
+    # What is among the first of its language is so in its part of it, too.
+    for within in (["lang", "part"], ["lang"]):
+        turn = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+        ranked = ranked.withColumn("turn", turn).filter(F.col("turn") <= per_language).drop("turn")
+    chosen = ranked.select(F.col("doc_id").alias("its"))
     # So many ids per language at most are broadcast.
     picked = labelled.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("its"))
     rows = (
