@@ -93,10 +93,7 @@ def change_report(
     parts = []
     for table, rows in signed.items():
         parts.append(_rules(table, rows, as_of))
-        keys = [(f"primary key {quality.PRIMARY_KEYS[table]}", (quality.PRIMARY_KEYS[table],), "true")]
-        keys += [(f"unique {', '.join(k)}", k, "true") for t, k in quality.UNIQUE_KEYS if t == table]
-        keys += [(f"unique {', '.join(k)} where {c}", k, c) for t, k, c in quality.PARTIAL_UNIQUE_KEYS if t == table]
-        for name, key, condition in keys:
+        for name, key, condition in quality._keys_of(table):
             present = F.expr(condition)
             for column in key:
                 present = present & F.col(column).isNotNull()

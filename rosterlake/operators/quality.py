@@ -238,105 +238,104 @@ def orphan_rows(child: DataFrame, column: str, parent: DataFrame, key: str) -> D
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
-def _key_fields(df: DataFrame, key: Sequence[str], width: int) -> list[Column]:
+def _key_fields(df: DataFrame, key: Sequence[str], texts: int, wholes: int) -> list[Column]:
     """The columns of a key in typed places: texts apart from whole numbers."""
-    texts = [c for c in key if isinstance(df.schema[c].dataType, StringType)]
-    wholes = [c for c in key if c not in texts]
+    named = [c for c in key if isinstance(df.schema[c].dataType, StringType)]
+    numbered = [c for c in key if c not in named]
     fields = []
-    for place in range(width):
-        text = F.col(texts[place]) if place < len(texts) else F.lit(None)
-        whole = F.col(wholes[place]) if place < len(wholes) else F.lit(None)
-        fields += [text.cast("string").alias(f"text_{place}"), whole.cast("long").alias(f"whole_{place}")]
+    for kind, columns, width in (("string", named, texts), ("long", numbered, wholes)):
+        for place in range(width):
+            value = F.col(columns[place]) if place < len(columns) else F.lit(None)
+            fields.append(value.cast(kind).alias(f"{kind}_{place}"))
     return fields
 
 
-#: What a tagged row of the report says: a broken row rule, a key to be unique, a reference, what is referred to.
-_BROKEN, _KEY, _CHILD, _PARENT = range(4)
+def _keys_of(table: str) -> list[tuple[str, tuple[str, ...], str]]:
+    """Name, columns and condition of what may occur once in a table."""
+    keys = [(f"primary key {PRIMARY_KEYS[table]}", (PRIMARY_KEYS[table],), "true")]
+    keys += [(f"unique {', '.join(k)}", k, "true") for t, k in UNIQUE_KEYS if t == table]
+    return keys + [(f"unique {', '.join(k)} where {c}", k, c) for t, k, c in PARTIAL_UNIQUE_KEYS if t == table]
 
 
 def constraint_report(tables: dict[str, DataFrame], as_of: date) -> DataFrame:
     """Violations per table and constraint; every table is read once.
 
-    One select per table emits tagged rows for the rules a row breaks, the keys it
-    holds, the references it makes and the key others refer to. All of them go through one
-    aggregation: a broken rule is a count per task before the shuffle, a key held more than
-    once is a violation, and so is every row whose reference meets no parent.
+    One select per table emits tagged rows for the rules a row breaks, the keys it holds, the
+    references it makes and the key others refer to. They are counted per line of the report and value, with nothing
+    but the count beside them: a broken rule is one row per task, a key held more than once a
+    violation. Of references that leaves their distinct values, which then meet the keys they refer to.
     """
-    width = max(len(key) for _, key in UNIQUE_KEYS)
+    tables = {t: _complete(t, df) for t, df in tables.items() if t in SCHEMAS}
+    keys = [(t, k) for t in tables for _, k, _ in _keys_of(t)]
+    named = [sum(isinstance(tables[t].schema[c].dataType, StringType) for c in k) for t, k in keys]
+    texts, wholes = max(named), max(len(k) - n for (_, k), n in zip(keys, named, strict=True))
     parents = {parent: key for _, _, parent, key in REFERENCES if parent in tables}
     numbers = {parent: number for number, parent in enumerate(parents)}
     lines: list[tuple[str, str]] = []
-    references: list[int] = []
+    single: list[int] = []
+    references: dict[int, int] = {}
     tagged = None
 
     def number_of(table: str, name: str) -> int:
         lines.append((table, name))
         return len(lines) - 1
 
-    def tag(kind: int, group: int, line: int, fields: Sequence[Column]) -> Column:
-        head = [F.lit(x).alias(n) for n, x in (("kind", kind), ("group", group), ("line", line))]
-        return F.struct(*head, *fields)
+    def tag(line: int, fields: Sequence[Column]) -> Column:
+        return F.struct(F.lit(line).alias("line"), *fields)
 
     for table, df in tables.items():
-        if table not in SCHEMAS:
-            continue
-        df = _complete(table, df)
-        no_key = _key_fields(df, (), width)
+        no_key = _key_fields(df, (), texts, wholes)
         entries = []
         for name, broken in _row_rules(table, df, as_of).items():
+            entries.append(F.when(broken, tag(number_of(table, name), no_key)))
+        for name, key, condition in _keys_of(table):
             line = number_of(table, name)
-            entries.append(F.when(broken, tag(_BROKEN, line, line, no_key)))
-        keys = [(f"primary key {PRIMARY_KEYS[table]}", (PRIMARY_KEYS[table],), "true")]
-        keys += [(f"unique {', '.join(k)}", k, "true") for t, k in UNIQUE_KEYS if t == table]
-        keys += [
-            (f"unique {', '.join(k)} where {c}", k, c) for t, k, c in PARTIAL_UNIQUE_KEYS if t == table
-        ]
-        for name, key, condition in keys:
-            line = number_of(table, name)
+            single.append(line)
             present = F.expr(condition)
             for column in key:
                 present = present & F.col(column).isNotNull()
-            entries.append(F.when(present, tag(_KEY, line, line, _key_fields(df, key, width))))
+            entries.append(F.when(present, tag(line, _key_fields(df, key, texts, wholes))))
         for owner, column, parent, _ in REFERENCES:
             if owner == table and parent in parents:
                 line = number_of(table, f"foreign key {column}")
-                references.append(line)
-                fields = _key_fields(df, (column,), width)
-                entries.append(F.when(F.col(column).isNotNull(), tag(_CHILD, numbers[parent], line, fields)))
+                references[line] = numbers[parent]
+                fields = _key_fields(df, (column,), texts, wholes)
+                entries.append(F.when(F.col(column).isNotNull(), tag(line, fields)))
         if table in parents:
-            fields = _key_fields(df, (parents[table],), width)
-            entries.append(tag(_PARENT, numbers[table], -1, fields))
+            # What is referred to has the lines below zero.
+            entries.append(tag(-1 - numbers[table], _key_fields(df, (parents[table],), texts, wholes)))
         rows = df.select(F.inline(F.array_compact(F.array(*entries))))
         tagged = rows if tagged is None else tagged.unionByName(rows)
 
-    # A parent and its children meet under one kind; a child counts by its line.
-    kind = F.when(F.col("kind") == _PARENT, _CHILD).otherwise(F.col("kind")).alias("kind")
-    key = [f"{c}_{place}" for place in range(width) for c in ("text", "whole")]
-    met = (
-        tagged.select(kind, "group", "line", *key)
-        .groupBy("kind", "group", *key)
+    key = [f"string_{place}" for place in range(texts)] + [f"long_{place}" for place in range(wholes)]
+    held = tagged.groupBy("line", *key).agg(F.count("*").alias("held"))
+    # References and what they refer to meet under the parent's line; all else is settled and needs no key.
+    meets = F.col("line") < 0
+    place = F.col("line")
+    for parent in numbers.values():
+        own = [line for line, number in references.items() if number == parent]
+        meets = meets | F.col("line").isin(own)
+        place = F.when(F.col("line").isin(own), -1 - parent).otherwise(place)
+    violations = F.when(F.col("line").isin(single), F.lit(1).cast("long")).otherwise(F.col("held"))
+    counted = (
+        held.filter(~F.col("line").isin(single) | (F.col("held") > 1))
+        .select("line", violations.alias("held"), place.alias("place"), *[F.when(meets, F.col(c)).alias(c) for c in key])
+        .groupBy("place", *key)
         .agg(
-            F.count("*").alias("held"),
+            F.sum("held").alias("held"),
             F.bool_or(F.col("line") < 0).alias("known"),
-            *[F.count_if(F.col("line") == line).alias(f"line_{line}") for line in references],
+            *[F.sum(F.when(F.col("line") == line, F.col("held"))).alias(f"line_{line}") for line in references],
         )
     )
-    found = F.struct(F.col("group").alias("line"), F.col("held").alias("violations"))
-    twice = F.struct(F.col("group").alias("line"), F.lit(1).cast("long").alias("violations"))
-    lost = F.array(
-        *[
-            F.struct(F.lit(line).alias("line"), F.col(f"line_{line}").alias("violations"))
-            for line in references
-        ]
-    )
-    violations = (
-        F.when(F.col("kind") == _BROKEN, F.array(found))
-        .when((F.col("kind") == _KEY) & (F.col("held") > 1), F.array(twice))
-        .when((F.col("kind") == _CHILD) & ~F.col("known"), lost)
-    )
-    counted = (
-        met.select(F.inline(violations)).groupBy("line").agg(F.sum("violations").alias("violations"))
-    )
+
+    def entry(line: Column, count: Column) -> Column:
+        return F.struct(line.alias("line"), count.alias("violations"))
+
+    found = F.when(F.col("place") >= 0, F.array(entry(F.col("place"), F.col("held"))))
+    if references:
+        lost = F.array(*[entry(F.lit(line), F.col(f"line_{line}")) for line in references])
+        found = found.when(~F.col("known"), lost)
+    counted = counted.select(F.inline(found)).groupBy("line").agg(F.sum("violations").alias("violations"))
     names = tagged.sparkSession.createDataFrame(
         [(number, table, name) for number, (table, name) in enumerate(lines)],
         "line INT, table_name STRING, constraint_name STRING",
