@@ -9,7 +9,6 @@ Records of one line go on from where they were read, only the lines of longer on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,72 +24,117 @@ OPTIONS = {"escape": '"', "multiLine": "true"}
 
 # Whole fields, each with its comma, and then one whose quotes do not close. A quote opens
 # a field only as its first character; what follows the closing quote belongs to the field.
-_CLOSED = r'"[^"]*+(?:""[^"]*+)*+"(?!")[^,]*+'
-_OPEN_END = re.compile(rf'(?:(?:{_CLOSED}|[^",][^,]*+|),)*+"[^"]*+(?:""[^"]*+)*+', re.DOTALL)
-
-
-def ends_within_quotes(line: str, within: bool) -> bool:
-    """Whether a quoted field is open after ``line``, if one was (``within``) or was not before it."""
-    return _OPEN_END.fullmatch('"' + line if within else line) is not None
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to lines, split by split and in order, what holds if the split starts outside or within quotes."""
-    place, within, records = 0, [False, True], [0, 0]
+_QUOTED = r'"[^"]*(?:""[^"]*)*'
+_PLAIN = r'(?:[^",][^,]*)?'
+OPEN_END = rf'\A(?:(?:{_QUOTED}"{_PLAIN}|{_PLAIN}),)*{_QUOTED}\z'
+
+
+def open_ends(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a quoted field is open after each line, if none was open before it, and if one was."""
+    outside = np.zeros(len(lines), bool)
+    within = ~outside
+    quoted = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
+    some = lines.take(pa.array(quoted))
+    outside[quoted] = pc.match_substring_regex(some, OPEN_END).to_numpy(zero_copy_only=False)
+    some = pc.binary_join_element_wise('"', some, "")
+    within[quoted] = pc.match_substring_regex(some, OPEN_END).to_numpy(zero_copy_only=False)
+    return outside, within
+
+
+class _Split:
+    """What is known of a split after some of its lines, for both cases."""
+
+    def __init__(self) -> None:
+        self.place, self.within, self.records = 0, [False, True], [0, 0]
+
+    def read(self, outside: np.ndarray, within: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, starts, ends, record) of the next lines, the last three with a row per case.
+
+        A line that ends the same in both cases settles what follows; one that turns both round flips it.
+        """
+        n = len(blank)
+        places = np.arange(self.place, self.place + n)
+        self.place += n
+        at = np.arange(n)
+        settled = np.maximum.accumulate(np.where(outside == within, at, -1))
+        turns = np.cumsum(outside & ~within)
+        since = turns - np.where(settled >= 0, turns[settled], 0)
+        starts, ends, counts = np.empty((2, n), bool), np.empty((2, n), bool), np.empty((2, n), np.int64)
+        for case in (0, 1):
+            base = np.where(settled >= 0, outside[settled], self.within[case])
+            ends[case] = base ^ (since % 2 == 1)
+            starts[case, 0], starts[case, 1:] = self.within[case], ends[case, :-1]
+            counts[case] = self.records[case] + np.cumsum(~starts[case] & ~blank)
+            self.within[case], self.records[case] = bool(ends[case, -1]), int(counts[case, -1])
+        return places, starts, ends, counts
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """Batches cut where a split ends: (split, is it a new one, lines)."""
     previous = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        text = batch.column("value")
-        quoted = np.flatnonzero(pc.match_substring(text, '"').to_numpy(zero_copy_only=False))
-        blank = pc.is_in(text, pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
         changes = np.zeros(n, bool)
         for name in SPLIT:
             column = batch.column(name)
             changes[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        first = tuple(batch.column(name)[0].as_py() for name in SPLIT)
-        changes[0] = first != previous
-        previous = tuple(batch.column(name)[n - 1].as_py() for name in SPLIT)
-        places = np.empty(n, np.int64)
-        starts, ends = np.empty((2, n), bool), np.empty((2, n), bool)
-        counts = np.empty((2, n), np.int64)
-        edges = np.flatnonzero(changes).tolist()
-        for low, high in zip(sorted({0, *edges}), [*[e for e in edges if e], n]):
-            if changes[low]:
-                place, within, records = 0, [False, True], [0, 0]
-            places[low:high] = np.arange(place, place + high - low)
-            place += high - low
-            for case in (0, 1):
-                at, now = low, within[case]
-                for i in quoted[(quoted >= low) & (quoted < high)].tolist():
-                    starts[case, at : i + 1] = now
-                    ends[case, at:i] = now
-                    now = ends_within_quotes(text[i].as_py(), now)
-                    ends[case, i] = now
-                    at = i + 1
-                starts[case, at:high] = ends[case, at:high] = now
-                within[case] = now
-                opened = ~starts[case, low:high] & ~blank[low:high]
-                counts[case, low:high] = records[case] + np.cumsum(opened)
-                records[case] = int(counts[case, high - 1])
+        edges = [0, *np.flatnonzero(changes).tolist(), n]
+        for low, high in zip(edges, edges[1:]):
+            split = tuple(batch.column(name)[low].as_py() for name in SPLIT)
+            yield split, split != previous, batch.slice(low, high - low)
+            previous = split
+
+
+def _blank(lines: pa.Array) -> np.ndarray:
+    return pc.is_in(lines, pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to lines, split by split and in order, what holds if the split starts outside or within quotes."""
+    state = _Split()
+    for _, new, part in _parts(batches):
+        if new:
+            state = _Split()
+        lines = part.column("value")
+        places, *marks = state.read(*open_ends(lines), _blank(lines))
         yield pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(name) for name in ["value", *SPLIT]],
-                pa.array(places),
-                *[pa.array(part[case]) for part in (starts, ends, counts) for case in (0, 1)],
-            ],
+            [lines, *[part.column(n) for n in SPLIT], pa.array(places), *[pa.array(m[c]) for m in marks for c in (0, 1)]],
             names=["value", *SPLIT, "place", "starts0", "starts1", "ends0", "ends1", "record0", "record1"],
         )
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per split: what holds at its end, and whether its first line ends with a carriage return."""
+    state, last, crlf = _Split(), None, False
+
+    def row() -> pa.RecordBatch:
+        values = [*last, *state.within, *state.records, crlf]
+        names = [*SPLIT, "ends0", "ends1", "record0", "record1", "crlf"]
+        return pa.RecordBatch.from_pylist([dict(zip(names, values, strict=True))])
+
+    for split, new, part in _parts(batches):
+        lines = part.column("value")
+        if new:
+            if last:
+                yield row()
+            state, last, crlf = _Split(), split, lines[0].as_py().endswith("\r")
+        state.read(*open_ends(lines), _blank(lines))
+    if last:
+        yield row()
+
+
+_TOTAL = (
+    "file string, block long, length long, ends0 boolean, ends1 boolean, record0 long, record1 long, crlf boolean"
+)
 _MARKED = (
     "value string, file string, block long, length long, place long, starts0 boolean, starts1 boolean,"
     " ends0 boolean, ends1 boolean, record0 long, record1 long"
 )
 
 
-def _splits(marked: DataFrame) -> DataFrame:
+def _splits(totals: DataFrame) -> DataFrame:
     """One row per split: ``within`` quotes at its start or not, records before it, header in it or not.
 
     A split either passes on what it starts with, turns it round, or ends the same in both
@@ -104,14 +148,7 @@ def _splits(marked: DataFrame) -> DataFrame:
     settled = F.col("ends0") == F.col("ends1")
     turned = (F.col("turns") - F.coalesce("turns_settled", F.lit(0))) % 2 == 1
     return (
-        marked.groupBy(*SPLIT)
-        .agg(
-            F.max_by("ends0", "place").alias("ends0"),
-            F.max_by("ends1", "place").alias("ends1"),
-            F.max("record0").alias("record0"),
-            F.max("record1").alias("record1"),
-            F.max((F.col("block") == 0) & (F.col("place") == 0) & F.endswith("value", F.lit("\r"))).alias("crlf"),
-        )
+        totals.withColumn("crlf", F.col("crlf") & (F.col("block") == 0))
         .withColumn("crlf", F.max("crlf").over(Window.partitionBy("file")))
         .withColumn("turns", F.sum((F.col("ends0") & ~F.col("ends1")).cast("int")).over(so_far))
         .withColumn("turns_settled", F.last(F.when(settled, F.col("turns")), ignorenulls=True).over(so_far))
@@ -143,14 +180,14 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_block_length").alias("length"),
     )
-    marked = lines.mapInArrow(_mark, _MARKED)
+    totals = lines.mapInArrow(_total, _TOTAL)
     # Written, so that the planner sees how small it is and leaves the lines where they are.
-    splits = write_and_read(_splits(marked), "splits")
+    splits = write_and_read(_splits(totals), "splits")
 
     def case(name: str) -> Column:
         return F.when(F.col("within"), F.col(f"{name}1")).otherwise(F.col(f"{name}0")).alias(name)
 
-    placed = marked.join(splits, SPLIT, "left").select(
+    placed = lines.mapInArrow(_mark, _MARKED).join(splits, SPLIT, "left").select(
         "value", "block", "place", case("starts"), case("ends"), case("record"), "in_file", "header", "crlf",
         # Files that changed, or were split otherwise, since the splits were counted.
         F.coalesce("offset", F.raise_error(F.lit(f"files in {path} changed while they were read"))).alias("offset"),
