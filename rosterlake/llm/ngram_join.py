@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -48,6 +48,8 @@ PERCENT = 85
 #: 64-bit words of a token bitmap.
 BITMAP_WORDS = 32
 LEAF_ROWS, BLOCK_ROWS, BLOCK_TOKENS = 32, 512, 1 << 18
+#: Factor between sizes of two bands, and blocks of a band that meet others in one place.
+BAND, BAND_BLOCKS = 1.25, 256
 #: Text of a block of documents.
 TEXT_BYTES = 1 << 20
 
@@ -278,13 +280,13 @@ def connect(a: Block, b: Block, same: bool, percent: int, union: _Union | None =
 
 
 _BLOCK = (
-    "block long, cluster long, place int, smallest int, largest int, bitmap array<long>, lowest int, ids binary,"
+    "block long, cluster long, smallest int, largest int, bitmap array<long>, lowest int, ids binary,"
     " sizes binary, weights binary, tokens binary"
 )
 
 
 def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, n, key) -> blocks of one cluster each."""
+    """Rows sorted by (cluster, n, key) -> blocks of one cluster each, numbered in that order."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -300,7 +302,7 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(ids, sizes, np.frombuffer(content, np.uint64), weights)
         node = block.node(0, len(ids))
         row = {
-            "block": number, "cluster": cluster, "place": 0, "smallest": node[1], "largest": node[2],
+            "block": number, "cluster": cluster, "smallest": node[1], "largest": node[2],
             "bitmap": node[0].view(np.int64).tolist(), "lowest": node[3],
             "ids": ids.tobytes(), "sizes": sizes.tobytes(), "weights": weights.tobytes(), "tokens": content,
         }
@@ -308,7 +310,7 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return row
 
     schema = pa.schema(
-        [("block", pa.int64()), ("cluster", pa.int64()), ("place", pa.int32()), ("smallest", pa.int32())]
+        [("block", pa.int64()), ("cluster", pa.int64()), ("smallest", pa.int32())]
         + [("largest", pa.int32()), ("bitmap", pa.list_(pa.int64())), ("lowest", pa.int32())]
         + [(c, pa.binary()) for c in ("ids", "sizes", "weights", "tokens")]
     )
@@ -362,21 +364,42 @@ def _linked_blocks(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFra
     return joined.mapInArrow(_connect(percent), "a long, b long, links long")
 
 
+def _band(size: Column) -> Column:
+    """Sizes of a factor of BAND or less apart fall into one band or two neighbouring ones."""
+    return F.floor(F.log(BAND, size)).cast("int")
+
+
 def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a cluster's blocks that may hold links; each block with itself, too."""
-    boxes = ["block", "place", "smallest", "largest", "bitmap", "lowest"]
-    a = blocks.select("cluster", *[F.col(c).alias(f"a_{c}") for c in boxes])
-    b = blocks.select("cluster", *[F.col(c).alias(f"b_{c}") for c in boxes])
+    """Pairs of a cluster's blocks that may hold links; each block with itself, too.
+
+    Blocks meet by cluster and band of sizes: a block stands in the band of its smallest set
+    and looks into all bands in which a set may begin that its own can link with. Where more
+    than BAND_BLOCKS stand in one band they are dealt out, and those that look visit every part.
+    """
+    boxes = ["block", "smallest", "largest", "bitmap", "lowest"]
+    b = blocks.select("cluster", _band(F.col("smallest")).alias("band"), *[F.col(c).alias(f"b_{c}") for c in boxes])
+    last = _band(F.col("largest") * 100 / percent)
+    a = blocks.select(
+        "cluster",
+        F.explode(F.sequence(_band(F.col("smallest")), last)).alias("band"),
+        *[F.col(c).alias(f"a_{c}") for c in boxes],
+    )
+    crowded = b.groupBy("cluster", "band").count().filter(F.col("count") > BAND_BLOCKS)
+    crowded = crowded.select("cluster", "band", F.ceil(F.col("count") / BAND_BLOCKS).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    b = b.join(crowded, ["cluster", "band"], "left").withColumn("part", F.pmod(F.xxhash64("b_block"), parts).cast("int"))
+    a = a.join(crowded, ["cluster", "band"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     common = F.aggregate(
         F.zip_with("a_bitmap", "b_bitmap", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x
     )
     most = F.least(
         *[F.col(f"{s}_largest") - F.greatest(F.lit(0), F.col(f"{s}_lowest") - common) for s in "ab"]
     )
-    # Blocks lie in the order of size, so b has the larger sets.
+    # A cluster's blocks are numbered in the order of size, so b has the larger sets.
     return (
-        a.join(b, "cluster")
-        .filter(F.col("a_place") <= F.col("b_place"))
+        a.drop("parts")
+        .join(b.drop("parts"), ["cluster", "band", "part"])
+        .filter(F.col("a_block") <= F.col("b_block"))
         .filter(100 * F.col("a_largest") >= percent * F.col("b_smallest"))
         .filter((100 + percent) * most >= percent * (F.col("a_smallest") + F.col("b_smallest")))
         .select("a_block", "b_block")
@@ -448,12 +471,8 @@ def _linked(blocks: DataFrame, words: int, percent: int, numbered: bool) -> Data
         .mapInArrow(_lay, _BLOCK)
     )
     laid = write_and_read(laid, "cluster_blocks")
-    # Places of a cluster's blocks, from one short row a block: by size, then in range order.
-    places = laid.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("smallest", "largest", "block"))).alias("x"))
-    placed = places.select(F.posexplode("x").alias("place", "x")).select(F.col("x.block").alias("block"), "place")
-    placed = write_and_read(laid.drop("place").join(placed, "block"), "placed_blocks")
-    pairs = write_and_read(_block_pairs(placed, percent), "block_pairs")
-    linked = _linked_blocks(pairs, placed, percent).groupBy("a", "b").agg(F.sum("links").alias("links"))
+    pairs = write_and_read(_block_pairs(laid, percent), "block_pairs")
+    linked = _linked_blocks(pairs, laid, percent).groupBy("a", "b").agg(F.sum("links").alias("links"))
     linked = write_and_read(linked, "block_links")
     found = components(linked.select("a", "b"))
     counts = linked.groupBy("a").agg(F.sum("links").alias("links"))

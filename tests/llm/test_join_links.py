@@ -45,3 +45,15 @@ def test_links_between_blocks_that_are_no_neighbours(documents, prose):
     rows = [(i, near_copy(base, rng.randint(0, 1), rng)) for i in range(2 * ngram_join.BLOCK_ROWS + 200)]
     got = by_id(ngram_join.near_duplicates(documents(rows, 4)), "n_links", "component_id")
     assert got == brute_links(rows)
+
+
+def test_crowded_bands_lose_no_link(documents, prose, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BAND_BLOCKS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 600)
+    rng = random.Random(8)
+    bases = [prose(n, 50 + n) for n in (12, 40, 46, 52, 70)]
+    rows = [(i, near_copy(bases[i % 5], rng.randint(0, 2), rng)) for i in range(400)]
+    # Sizes that run through several bands, each text a few words longer than the one before.
+    rows += [(1000 + i, " ".join(prose(400, 9).split()[: 60 + 4 * i])) for i in range(80)]
+    got = by_id(ngram_join.near_duplicates(documents(rows, 4)), "n_links", "component_id")
+    assert got == brute_links(rows)
