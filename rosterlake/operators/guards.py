@@ -17,6 +17,8 @@ from ..sources.scratch import write_and_read
 
 #: Rows of a block of neighbours in a running sum, and changed lines that are judged at a time.
 BLOCK_ROWS, LINES_AT_ONCE = 65536, 16384
+#: Spans of turns that more changed lines are split into, at most.
+SPANS = 32
 #: Requests of one department that a task walks through in one go.
 AT_ONCE = 100_000
 
@@ -24,6 +26,15 @@ AT_ONCE = 100_000
 PAYROLL_TENTHS = 7
 
 
+def join_by_key(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the employees.
+
+    Packed numbers make a small file, by which the planner would send a table of a million rows to
+    the driver and from there to everyone, in each of many rounds. Both sides are shuffled instead.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def thousandths(amount: Column) -> Column:
     """An amount with two decimals in thousandths, in which seven tenths of a budget are whole."""
     return (amount.cast("decimal(17,2)") * 1000).cast("long")
@@ -137,13 +148,13 @@ def _nearest(edges: DataFrame, stops: DataFrame) -> DataFrame:
     Whose line reaches none, or runs in circles, has no row.
     """
     at_stop = stops.select("employee_id", F.col("employee_id").alias("stop"))
-    pending = edges.join(stops, "employee_id", "left_anti").filter("manager_id IS NOT NULL")
+    pending = join_by_key(edges, stops, "employee_id", "left_anti").filter("manager_id IS NOT NULL")
     pending = write_and_read(pending.select("employee_id", F.col("manager_id").alias("top")), "pending")
     found, left = at_stop, pending.count()
     while left:
         step = pending.select(F.col("employee_id").alias("top"), F.col("top").alias("next"))
         known = found.select(F.col("employee_id").alias("top"), "stop")
-        jumped = pending.join(known, "top", "left").join(step, "top", "left")
+        jumped = join_by_key(join_by_key(pending, known, "top", "left"), step, "top", "left")
         jumped = write_and_read(jumped.filter("stop IS NOT NULL OR next IS NOT NULL"), "jumped")
         found = found.unionByName(jumped.filter("stop IS NOT NULL").select("employee_id", "stop"))
         pending = jumped.filter("stop IS NULL").select("employee_id", F.col("next").alias("top"))
@@ -171,48 +182,62 @@ def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(refused, pa.int64())], names=["employee_id"])
 
 
+def _contracted(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """(employee_id, turn, old_stop, new_stop): where the old and the new line first meet someone whose line changes."""
+    stops = _nearest(edges, changes.select("employee_id"))
+    old = join_by_key(edges, changes.select("employee_id"), "employee_id", "left_semi").select(
+        "employee_id", F.col("manager_id").alias("old_manager")
+    )
+    lines = join_by_key(changes, old, "employee_id", "left")
+    lines = join_by_key(lines, stops.toDF("manager_id", "new_stop"), "manager_id", "left")
+    lines = join_by_key(lines, stops.toDF("old_manager", "old_stop"), "old_manager", "left")
+    return lines.select("employee_id", "turn", "old_stop", "new_stop").distinct()
+
+
 def refused_loops(edges: DataFrame, changes: DataFrame) -> DataFrame:
     """(employee_id): which of ``changes(employee_id, turn, manager_id)`` would close a loop in their turn.
 
     ``edges(employee_id, manager_id)`` are the lines before. Changes are judged in the order of
     ``turn`` (unique, one change an employee); one that is refused leaves the line as it was.
 
-    Some thousand changes at a time: the lines that stay are contracted to the employees whose
-    line changes, by jumping; what is left is as small as the block and is walked in order.
-    The next block goes on from the lines that came out.
+    The lines that stay are contracted to the employees whose line changes, by jumping. Some
+    thousand changes are walked in order. More of them are split into spans of turns, which are judged one after
+    the other on what is left of the lines, each going on from the lines that came out of the one before: all
+    employees are read once, and a block meets only the changes of the span that it is in.
     """
     changes = write_and_read(changes, "changed_lines")
-    refused, after = changes.limit(0).select("employee_id"), None
-    while True:
-        rest = changes if after is None else changes.filter(F.col("turn") > after)
-        block = write_and_read(rest.orderBy("turn").limit(LINES_AT_ONCE), "line_block")
-        span = block.agg(F.max("turn").alias("last"), F.count("*").alias("n")).first()
-        if not span["n"]:
-            return refused
-        stops = _nearest(edges, block.select("employee_id"))
-        old = edges.join(block.select("employee_id"), "employee_id", "left_semi").select(
-            "employee_id", F.col("manager_id").alias("old_manager")
-        )
-        lines = (
-            block.join(old, "employee_id", "left")
-            .join(stops.toDF("manager_id", "new_stop"), "manager_id", "left")
-            .join(stops.toDF("old_manager", "old_stop"), "old_manager", "left")
-        )
-        closing = lines.select("employee_id", "turn", "old_stop", "new_stop").coalesce(1).mapInArrow(
-            _closing, "employee_id long"
-        )
-        closing = write_and_read(closing, "closing")
-        refused = refused.unionByName(closing)
-        if span["n"] < LINES_AT_ONCE:
+    many = changes.count()
+    if not many:
+        return changes.select("employee_id")
+    lines = write_and_read(_contracted(edges, changes), "contracted")
+    ends: list = []
+    if many > LINES_AT_ONCE:
+        spans = max(2, min(SPANS, 11 * many // (10 * LINES_AT_ONCE) + 1))
+        ends = changes.approxQuantile("turn", [n / spans for n in range(1, spans)], 0.002)
+        first, last = changes.agg(F.min("turn"), F.max("turn")).first()
+        ends = sorted({int(end) for end in ends if first <= end < last})
+    if not ends:
+        closing = lines.coalesce(1).mapInArrow(_closing, "employee_id long")
+        return write_and_read(closing, "closing")
+    now = lines.select("employee_id", F.col("old_stop").alias("manager_id"))
+    refused = None
+    for after, end in zip([None, *ends], [*ends, None], strict=True):
+        span = lines
+        if after is not None:
+            span = span.filter(F.col("turn") > after)
+        if end is not None:
+            span = span.filter(F.col("turn") <= end)
+        closing = refused_loops(now, span.select("employee_id", "turn", F.col("new_stop").alias("manager_id")))
+        refused = closing if refused is None else refused.unionByName(closing)
+        if end is None:
             return refused
-        moved = block.join(closing, "employee_id", "left_anti").select(
-            "employee_id", F.col("manager_id").alias("new_manager"), F.lit(True).alias("moved")
+        moved = join_by_key(span, closing, "employee_id", "left_anti").select(
+            "employee_id", F.col("new_stop").alias("new_manager"), F.lit(True).alias("moved")
         )
-        edges = edges.join(moved, "employee_id", "left").select(
+        now = join_by_key(now, moved, "employee_id", "left").select(
             "employee_id", F.when(F.col("moved"), F.col("new_manager")).otherwise(F.col("manager_id")).alias("manager_id")
         )
-        edges = write_and_read(edges, "lines")
-        after = span["last"]
+        now = write_and_read(now, "lines")
 
 
 # --- addresses -------------------------------------------------------------------
@@ -227,19 +252,18 @@ def refused_addresses(asks: DataFrame, owners: DataFrame, kept: DataFrame) -> Da
     chains are followed by jumping; a ring of wishes can be granted as one.
     """
     owner = owners.filter("email IS NOT NULL").select(F.col("employee_id").alias("owner"), "email")
-    waits = asks.join(owner, "email").filter("owner <> employee_id").select("employee_id", F.col("owner").alias("on"))
-    pending = write_and_read(waits.join(kept, "employee_id", "left_anti"), "waits")
-    asking = asks.select("employee_id").join(kept, "employee_id", "left_anti")
+    waits = join_by_key(asks, owner, "email").filter("owner <> employee_id").select("employee_id", F.col("owner").alias("on"))
+    pending = write_and_read(join_by_key(waits, kept, "employee_id", "left_anti"), "waits")
+    asking = join_by_key(asks.select("employee_id"), kept, "employee_id", "left_anti")
     # Fails at once: the owner keeps it.
-    fails = write_and_read(
-        pending.join(asking.select(F.col("employee_id").alias("on")), "on", "left_anti").select("employee_id"), "fails"
-    )
-    pending = write_and_read(pending.join(fails, "employee_id", "left_anti"), "waits")
+    keeps = join_by_key(pending, asking.select(F.col("employee_id").alias("on")), "on", "left_anti")
+    fails = write_and_read(keeps.select("employee_id"), "fails")
+    pending = write_and_read(join_by_key(pending, fails, "employee_id", "left_anti"), "waits")
     left = pending.count()
     while left:
         step = pending.select(F.col("employee_id").alias("on"), F.col("on").alias("next"))
         bad = fails.select(F.col("employee_id").alias("on"), F.lit(True).alias("bad"))
-        jumped = pending.join(bad, "on", "left").join(step, "on", "left")
+        jumped = join_by_key(join_by_key(pending, bad, "on", "left"), step, "on", "left")
         # Neither fails nor waits any more: it is granted, and so is the wish for it.
         jumped = write_and_read(jumped.filter("bad OR next IS NOT NULL"), "jumped")
         fails = fails.unionByName(jumped.filter("bad").select("employee_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import write_and_read
 from . import changes, guards, quality
+from .guards import join_by_key
 
 
 class Patched(NamedTuple):
@@ -38,7 +39,7 @@ def apply_checked_updates(
     """
     updated, unknown = changes.apply_updates(employees, patches)
     asked = patches.select("employee_id").distinct()
-    new = write_and_read(updated.join(asked, "employee_id", "left_semi"), "patched")
+    new = write_and_read(join_by_key(updated, asked, "employee_id", "left_semi"), "patched")
     broken = quality.check_violations("employees", new, as_of).select(
         "employee_id", F.explode("broken").alias("rule")
     )
@@ -48,26 +49,28 @@ def apply_checked_updates(
         "manager_id": (employees, "employee_id"),
     }
     for column, (parent, key) in parents.items():
+        # Departments and positions are few; managers are as many as the rows.
+        parent = parent.hint("merge") if parent is employees else parent
         lost = quality.orphan_rows(new, column, parent, key)
         broken = broken.unionByName(
             lost.select("employee_id", F.lit(f"foreign key {column}").alias("rule"))
         )
     old = write_and_read(
-        employees.join(asked, "employee_id", "left_semi").select(
+        join_by_key(employees, asked, "employee_id", "left_semi").select(
             "employee_id",
             F.struct("email", "manager_id", "salary", "department_id", "is_active").alias("old"),
         ),
         "before_patch",
     )
     refused = write_and_read(broken.distinct(), "broken_rules")
-    both = new.join(old, "employee_id")
+    both = join_by_key(new, old, "employee_id")
     wishes = both.filter("email IS NOT NULL AND NOT email <=> old.email").select("employee_id", "email")
     # Two who ask for one address both go without; so do those refused for other reasons.
-    open_ = wishes.join(refused, "employee_id", "left_anti")
+    open_ = join_by_key(wishes, refused, "employee_id", "left_anti")
     alone = open_.groupBy("email").agg(F.count("*").alias("n")).filter("n > 1").select("email")
-    shared = open_.join(alone, "email").select("employee_id", F.lit("unique email").alias("rule"))
+    shared = join_by_key(open_, alone, "email").select("employee_id", F.lit("unique email").alias("rule"))
     refused = write_and_read(refused.unionByName(shared), "broken_rules")
-    wishes = write_and_read(open_.join(alone, "email", "left_anti"), "wishes")
+    wishes = write_and_read(join_by_key(open_, alone, "email", "left_anti"), "wishes")
     lines = both.filter("NOT manager_id <=> old.manager_id").select(
         "employee_id", F.col("employee_id").alias("turn"), "manager_id"
     )
@@ -90,14 +93,15 @@ def apply_checked_updates(
         more = named(guards.refused_addresses(wishes, owners, gone.distinct()), "unique email")
         more = write_and_read(more, "more")
         gone = gone.unionByName(more.select("employee_id"))
-        if first or not more.join(lines, "employee_id", "left_semi").isEmpty() or moved:
-            loops = guards.refused_loops(edges, lines.join(gone, "employee_id", "left_anti"))
+        if first or not join_by_key(more, lines, "employee_id", "left_semi").isEmpty() or moved:
+            loops = guards.refused_loops(edges, join_by_key(lines, gone, "employee_id", "left_anti"))
             more = write_and_read(more.unionByName(named(loops, "reporting loop")), "more")
             gone = refused.select("employee_id").unionByName(more.select("employee_id"))
         if first:  # later there are fewer requests, so who fits once still does
-            over = guards.refused_by_budget(pay.join(gone.withColumnRenamed("employee_id", "no"), "no", "left_anti"), room)
+            asking = join_by_key(pay, gone.withColumnRenamed("employee_id", "no"), "no", "left_anti")
+            over = guards.refused_by_budget(asking, room)
             over = named(over, "payroll over budget")
-            moved = not over.join(lines, "employee_id", "left_semi").isEmpty()
+            moved = not join_by_key(over, lines, "employee_id", "left_semi").isEmpty()
             more = more.unionByName(over)
         else:
             moved = False
@@ -105,6 +109,6 @@ def apply_checked_updates(
         refused = write_and_read(refused.unionByName(more), "broken_rules")
     refused = refused.groupBy("employee_id").agg(F.sort_array(F.collect_set("rule")).alias("broken"))
     refused = write_and_read(refused, "refused")
-    good = new.join(refused.select("employee_id"), "employee_id", "left_anti")
-    rest = employees.join(good.select("employee_id"), "employee_id", "left_anti")
+    good = join_by_key(new, refused.select("employee_id"), "employee_id", "left_anti")
+    rest = join_by_key(employees, good.select("employee_id"), "employee_id", "left_anti")
     return Patched(rest.unionByName(good.select(*employees.columns)), refused, unknown)

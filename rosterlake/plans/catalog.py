@@ -17,8 +17,8 @@ from pyspark.sql.types import ArrayType, DecimalType
 
 from ..functions import payroll
 from ..functions.expressions import asc, desc
-from ..operators import change_checks, changes, hierarchy, listing, pages, patches, quality, raises, reports
-from ..operators import snapshots, staffing
+from ..operators import change_checks, changes, guards, hierarchy, listing, pages, patches, quality, raises
+from ..operators import reports, snapshots, staffing
 from ..sources import intake, tables
 from ..sources.fixtures import AS_OF, BASE_SCHEMAS, Fixtures
 from ..sources.scratch import scratch_folder, write_and_read
@@ -741,7 +741,7 @@ def t12_checked_updates(f: Fixtures) -> DataFrame:
     # Everyone has a patch; most ask for some values they have already.
     beside = f.employees.selectExpr("employee_id - 1 AS employee_id", "email AS next_email")
     last = f.employees.agg(F.max("employee_id")).first()[0] or 0
-    asked = f.employees.join(beside, "employee_id", "left").selectExpr(
+    asked = guards.join_by_key(f.employees, beside, "employee_id", "left").selectExpr(
         "employee_id",
         "1 AS patch_no",
         """cast(CASE WHEN employee_id % 12 = 0 THEN -1 WHEN employee_id % 6 = 0 THEN salary + 1
@@ -756,7 +756,7 @@ def t12_checked_updates(f: Fixtures) -> DataFrame:
         "array('email', 'salary', 'department_id', 'manager_id') AS fields",
     )
     job = patches.apply_checked_updates(f.employees, asked, f.departments, f.positions, AS_OF)
-    return job.employees.join(job.refused, "employee_id", "left").select(
+    return guards.join_by_key(job.employees, job.refused, "employee_id", "left").select(
         "employee_id", "email", "salary", "department_id", "manager_id", F.array_join("broken", ", ").alias("broken")
     )
 

@@ -93,6 +93,31 @@ def test_a_chain_of_a_thousand_and_swaps(spark):
     assert sorted(r.employee_id for r in got.collect()) == [1, 3]
 
 
+def test_many_changes_do_not_rewrite_all_lines_or_broadcast(spark, monkeypatch):
+    """100 employees, 15 changes, 9 at a time: the lines handed on are those of the changes."""
+    written, plans, original = {}, [], guards.write_and_read
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        done = original(df, label)
+        written.setdefault(label, []).append(done.count())
+        return done
+
+    monkeypatch.setattr(guards, "LINES_AT_ONCE", 9)
+    monkeypatch.setattr(guards, "write_and_read", watched)
+    edges = {i: (i // 2 or None) for i in range(1, 101)}
+    changes = [(i, 2 * i if i % 3 else i + 1) for i in range(1, 31, 2)]
+    got = guards.refused_loops(
+        spark.createDataFrame(list(edges.items()), "employee_id long, manager_id long"),
+        spark.createDataFrame([(i, i, m) for i, m in changes], "employee_id long, turn long, manager_id long"),
+    )
+    assert sorted(r.employee_id for r in got.collect()) == brute_loops(edges, changes)
+    asks = spark.createDataFrame([(i, f"e{i + 1}") for i in range(1, 5)], "employee_id long, email string")
+    owners = spark.createDataFrame([(i, f"e{i}") for i in range(1, 6)], "employee_id long, email string")
+    assert guards.refused_addresses(asks, owners, asks.limit(0).select("employee_id")).distinct().count() == 4
+    assert max(written["lines"]) <= len(changes) and not any("Broadcast" in plan for plan in plans)
+
+
 def brute_addresses(owners, wishes, kept):
     """Grant every wish, then take back what clashes until nothing does."""
     kept = set(kept)
