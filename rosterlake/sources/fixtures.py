@@ -183,8 +183,11 @@ class Fixtures:
         # Types and statuses by key.
         types = "array('annual','sick','maternity','unpaid','other')"
         statuses = "array('requested','approved','taken','rejected','cancelled')"
+        # Dealt by order once, the lines are grouped and meet their orders without being shuffled again.
         lines = (
             self.base("lineitem")
+            .select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag")
+            .repartition("l_orderkey")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_shipdate").alias("ship"),

@@ -167,3 +167,15 @@ def test_a_report_reads_its_fact_table_once(spark):
     f = Fixtures(spark, DATA)
     text = plan(reports.department_salary_report(f.departments, f.employees, f.positions))
     assert len(re.findall(r"FileScan parquet \[c_custkey", text)) == 1
+
+
+def test_order_lines_are_shuffled_once_for_vacations(spark):
+    """With nothing broadcast, one shuffle of the lines and one of the orders."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = Fixtures(spark, DATA).vacations
+        assert plan(rows).count("Exchange hashpartitioning") == 2
+        assert rows.count() == rows.select("vacation_id").distinct().count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
