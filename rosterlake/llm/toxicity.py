@@ -50,6 +50,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile("[" + re.escape("".join(LOOKS_LIKE)) + "]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
 _APART = re.compile(r"[^\W\d_][.\-_*~'`^#/\\]+[^\W\d_]")
+_PLUS = re.compile(r"\+[.,]?\d")
 
 
 def _class_table() -> np.ndarray:
@@ -155,6 +156,7 @@ def hides_something(token: str) -> bool:
         return bool(_REPEATED.search(token))
     inner = token.strip(".,;:?\"'()[]{}")
     letters, figures = sum(map(str.isalpha, inner)), sum(map(str.isdigit, inner))
+    figures += not letters and bool(_PLUS.match(inner))  # the plus before a number is part of it
     signs = sum(c in LOOKS_LIKE for c in inner)
     if letters + signs < 2 or letters + signs == figures:  # a sign stands for a letter; a number is no word
         return False

@@ -46,6 +46,17 @@ def test_plain_tokens_stay(token):
     assert not toxicity.hides_something(token)
 
 
+@pytest.mark.parametrize("token", ["+1", "+12", "+49-170", "+.5", "(+736)"])
+def test_signed_numbers_stay(token):
+    assert not toxicity.hides_something(token)
+    assert toxicity.Reader(model()).restored(f"the {token} of") == f"the {token} of"
+
+
+@pytest.mark.parametrize("token", ["+1+5", "+17$", "+1t$", "@55", "4$$", "5!7"])
+def test_words_of_signs_are_still_read(token):
+    assert toxicity.hides_something(token)
+
+
 def enumerated(channel: toxicity.Channel, token: str) -> tuple[float, str]:
     """The best reading of all: every choice for every character, scored from the start."""
     token = token.lower()
